@@ -19,6 +19,13 @@ VIEWS: dict[str, str] = {
   FROM (SELECT DISTINCT CAST(floor(event_id/8) AS BIGINT) AS image_id FROM {events}) q""",
     "fx_categories": """SELECT CAST(category_id AS BIGINT) AS category_id, name
   FROM (VALUES (1,'resistor'),(2,'capacitor'),(3,'inductor'),(4,'diode'),(5,'op_amp'),(6,'ignore_region')) AS t(category_id, name)""",
+    # three annotation files: images dealt out by number, category ids shifted per file
+    "fx_file_categories": """SELECT CAST(f AS BIGINT) AS file_idx, CAST(category_id+10*f AS BIGINT) AS old_id, CAST(category_id AS BIGINT) AS pos, name
+  FROM (VALUES (0,1,'resistor'),(0,2,'capacitor'),(0,3,'inductor'),(0,4,'diode'),(0,5,'op_amp'),(1,1,'resistor'),(1,2,'capacitor'),(1,3,'coil'),(1,4,'diode'),(1,5,'op_amp'),(2,1,'lamp'),(2,2,'capacitor'),(2,3,'inductor'),(2,4,'relay')) AS t(f, category_id, name)""",
+    "fx_file_images": """SELECT image_id%3 AS file_idx, image_id AS old_id, image_id AS pos, concat('schematic_', CAST(image_id%500 AS VARCHAR(20)), '.png') AS file_name
+  FROM (SELECT DISTINCT CAST(floor(event_id/8) AS BIGINT) AS image_id FROM {events}) q""",
+    "fx_file_annotations": f"""SELECT {IMG}%3 AS file_idx, event_id AS pos, {IMG}+CASE WHEN event_id%31=0 THEN 100000000 ELSE 0 END AS image_id, 1+event_id%5+10*({IMG}%3) AS category_id,
+  {_JITTER} AS x, {_JITTERY} AS y, {_SIZE} FROM {{events}}""",
     "fx_annotations": f"""SELECT event_id AS ann_id, {IMG} AS image_id, 1+event_id%5 AS category_id,
   {_JITTER} AS x, {_JITTERY} AS y, {_SIZE}, (event_id%4)*15 AS rotation FROM {{events}}""",
     # saved detector output: model a with near copies and misplaced boxes, model b coarser
@@ -30,6 +37,10 @@ VIEWS: dict[str, str] = {
   {_JITTER}+5+9*(event_id%7), {_JITTERY}+3, {_SIZE} FROM {{events}}
   UNION ALL SELECT 'b', event_id, {IMG}, 1+event_id%5, CAST((event_id*31)%1000 AS DOUBLE)/1000,
   {_JITTER}+(event_id*17)%31-15+CASE WHEN event_id%5=0 THEN 250 ELSE 0 END, {_JITTERY}+(event_id*23)%21-10, {_SIZE} FROM {{events}}""",
+    # label text lines: class and four corners as fractions, some lines cut short
+    "fx_labels": f"""SELECT event_id AS line_id, {IMG} AS image_id, CASE WHEN event_id%23=0 THEN '3 0.5' ELSE concat(CAST(event_id%6 AS VARCHAR(20)),
+  x1, y1, x2, y1, x2, y2, x1, y2) END AS line FROM (SELECT event_id, concat(' 0.', lpad(CAST((event_id*37)%700 AS VARCHAR(20)), 3, '0')) AS x1, concat(' 0.', lpad(CAST((event_id*53)%500 AS VARCHAR(20)), 3, '0')) AS y1,
+  concat(' 0.', lpad(CAST((event_id*37)%700+20+(event_id*7)%60 AS VARCHAR(20)), 3, '0')) AS x2, concat(' 0.', lpad(CAST((event_id*53)%500+20+(event_id*11)%40 AS VARCHAR(20)), 3, '0')) AS y2 FROM {{events}}) q""",
     "fx_regions": f"""SELECT e AS region_id, CAST(floor(e/8) AS BIGINT) AS image_id, (e*37)%700-10 AS x, (e*53)%500-10 AS y, CAST(80 AS BIGINT) AS w, CAST(50 AS BIGINT) AS h
   FROM (SELECT CAST(floor(event_id/16) AS BIGINT) AS g, min(event_id)+3 AS e FROM {{events}} GROUP BY 1) q""",
     "fx_segments": """SELECT CAST(floor(o_orderkey/10) AS BIGINT) AS sheet_id, o_orderkey%10 AS seg, concat('edge-', CAST(o_orderkey%10 AS VARCHAR(20))) AS segment_id,
@@ -53,6 +64,11 @@ VIEWS: dict[str, str] = {
   CASE p_partkey%5 WHEN 0 THEN 'resistor' WHEN 1 THEN 'capacitor' WHEN 2 THEN 'inductor' WHEN 3 THEN 'diode' ELSE 'mystery' END,
   CASE WHEN p_partkey%4=0 THEN '' WHEN p_partkey%4=1 THEN concat(' value=', CAST(p_size AS VARCHAR(20)), 'K')
   WHEN p_partkey%4=2 THEN concat(' value=', CAST(p_size AS VARCHAR(20)), ',7n') ELSE concat(' value=', CAST(p_size AS VARCHAR(20)), 'u') END) END AS region_comment FROM {part}""",
+    "fx_notes": """SELECT p_partkey AS note_id, CASE WHEN p_partkey%13=0 THEN NULL ELSE concat('in ', CASE WHEN p_partkey%2=0 THEN 'sector ' ELSE '' END, substr('ABCDabcd', CAST(1+p_partkey%8 AS INTEGER), 1), CAST(p_partkey%5 AS VARCHAR(20)), CASE WHEN p_partkey%7=0 THEN '7' ELSE ' ok' END) END AS comment FROM {part}""",
+    # region comments of page-edge connectors and broken lines, some with faults
+    "fx_edge_comments": """SELECT c_custkey AS region_id, CASE c_custkey%3 WHEN 0 THEN concat('type=edge_connector edge_id=', CASE c_nationkey%5 WHEN 4 THEN 'Z' ELSE 'B' END, CASE WHEN c_custkey%90<10 THEN '0' ELSE '' END, CAST(c_custkey%90 AS VARCHAR(20)), CASE WHEN c_custkey%4=0 THEN '' ELSE concat(' page=', CAST(1+c_custkey%1100 AS VARCHAR(20))) END, CASE WHEN c_custkey%5=0 THEN ' note=ab' ELSE '' END)
+  WHEN 1 THEN concat('type=broken_line reason=', CASE WHEN c_custkey%2=0 THEN 'gap' ELSE 'washed-out' END, CASE c_custkey%5 WHEN 0 THEN '' WHEN 1 THEN ' severity=Major' WHEN 2 THEN ' severity=huge' ELSE ' severity=minor' END)
+  ELSE concat('type=resistor designator=R', CAST(c_custkey AS VARCHAR(20)), CASE c_custkey%4 WHEN 0 THEN ' power=0.25W' WHEN 1 THEN ' power=big' ELSE '' END, CASE WHEN c_custkey%5=0 THEN ' value=about' ELSE ' value=1 value=4.7K' END) END AS region_comment FROM {customer}""",
     "fx_entries": """SELECT event_id AS seq, user_id AS entry_id, event_type AS entry_type, ts AS updated_at, concat('f', CAST(user_id AS VARCHAR(20)), '.json') AS filename,
   event_type='error' AS is_delete FROM {events}""",
     "fx_epochs": """SELECT event_id%20 AS run, CAST(floor(event_id/20) AS BIGINT) AS epoch,
