@@ -153,3 +153,22 @@ def priority_matching(
             return held.select(F.col("held").alias(seeker), F.col("t").alias(target))
         pairs = stage(pairs.join(refused, ["s", "t"], "left_anti"))
     raise RuntimeError("matching did not settle; raise max_rounds")
+
+
+def previous(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Value of the row before, also when that row lies in an earlier slice.
+
+    The order columns must be ascending columns of the frame.
+    """
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
+    heads = tails.select(*keys, SLICE, F.lag("_tail").over(before).alias("_prior"))
+    local = sliced.withColumns({"_lag": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
+    return (
+        local.join(heads, [*keys, SLICE])
+        .withColumn(name, F.when(F.col("_first"), F.col("_prior")).otherwise(F.col("_lag")))
+        .drop("_lag", "_first", "_prior")
+    )

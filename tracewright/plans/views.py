@@ -69,6 +69,12 @@ VIEWS: dict[str, str] = {
     "fx_edge_comments": """SELECT c_custkey AS region_id, CASE c_custkey%3 WHEN 0 THEN concat('type=edge_connector edge_id=', CASE c_nationkey%5 WHEN 4 THEN 'Z' ELSE 'B' END, CASE WHEN c_custkey%90<10 THEN '0' ELSE '' END, CAST(c_custkey%90 AS VARCHAR(20)), CASE WHEN c_custkey%4=0 THEN '' ELSE concat(' page=', CAST(1+c_custkey%1100 AS VARCHAR(20))) END, CASE WHEN c_custkey%5=0 THEN ' note=ab' ELSE '' END)
   WHEN 1 THEN concat('type=broken_line reason=', CASE WHEN c_custkey%2=0 THEN 'gap' ELSE 'washed-out' END, CASE c_custkey%5 WHEN 0 THEN '' WHEN 1 THEN ' severity=Major' WHEN 2 THEN ' severity=huge' ELSE ' severity=minor' END)
   ELSE concat('type=resistor designator=R', CAST(c_custkey AS VARCHAR(20)), CASE c_custkey%4 WHEN 0 THEN ' power=0.25W' WHEN 1 THEN ' power=big' ELSE '' END, CASE WHEN c_custkey%5=0 THEN ' value=about' ELSE ' value=1 value=4.7K' END) END AS region_comment FROM {customer}""",
+    # chat messages that name wires, spelled in several ways
+    "fx_messages": """SELECT p_partkey AS msg_id, CAST(floor(p_partkey/2) AS BIGINT) AS sheet_id, concat('please check ', CASE p_partkey%4 WHEN 0 THEN 'edge ' WHEN 1 THEN 'Edge-' WHEN 2 THEN 'EDGE_' ELSE 'punkt nr ' END,
+  CAST(p_size%14 AS VARCHAR(20)), ' and edge', CAST(p_partkey%11 AS VARCHAR(20)), CASE WHEN p_partkey%3=0 THEN ' soon' ELSE '?' END) AS text FROM {part}""",
+    # a log text per row with dated headings in mixed order
+    "fx_logs": """SELECT p_partkey AS log_id, concat('intro ', p_brand, chr(10), '## 2024-0', CAST(1+p_size%9 AS VARCHAR(20)), '-1', CAST(p_partkey%10 AS VARCHAR(20)), ' second', chr(10), 'body', chr(10),
+  '### 2023-1', CAST(p_size%3 AS VARCHAR(20)), '-0', CAST(1+p_partkey%9 AS VARCHAR(20)), ' first', chr(10), '## 2025-01-01 ', p_type, chr(10)) AS text FROM {part}""",
     "fx_entries": """SELECT event_id AS seq, user_id AS entry_id, event_type AS entry_type, ts AS updated_at, concat('f', CAST(user_id AS VARCHAR(20)), '.json') AS filename,
   event_type='error' AS is_delete FROM {events}""",
     "fx_epochs": """SELECT event_id%20 AS run, CAST(floor(event_id/20) AS BIGINT) AS epoch,
