@@ -172,3 +172,59 @@ def previous(
         .withColumn(name, F.when(F.col("_first"), F.col("_prior")).otherwise(F.col("_lag")))
         .drop("_lag", "_first", "_prior")
     )
+
+
+def ordered_pairing(pairs: DataFrame, taste: Sequence[Column], max_rounds: int = 200) -> DataFrame:
+    """Pairs an in-order loop makes when seekers and targets may be the same tokens.
+
+    `pairs(i, j)`: seeker i, in ascending order, takes its best still unused j and
+    both are used up. A round settles every seeker that comes first among all
+    seekers touching it or its candidates; such seekers cannot disturb each other.
+    """
+    left = stage(pairs.select("i", "j", F.struct(*taste).alias("f")))
+    made = None
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        touch = left.select("i", F.col("j").alias("n")).unionByName(left.select("i", F.col("i").alias("n"))).distinct()
+        first = touch.groupBy("n").agg(F.min("i").alias("m"))
+        waits = touch.join(first, "n").where("i <> m").select("i").distinct()
+        ready = left.join(waits, "i", "left_anti")
+        picks = stage(ready.groupBy("i").agg(F.min_by("j", F.struct("f", "j")).alias("j")))
+        made = picks if made is None else made.unionByName(picks)
+        used = picks.select(F.explode(F.array("i", "j")).alias("n"))
+        left = stage(
+            left.join(used.withColumnRenamed("n", "i"), "i", "left_anti").join(used.withColumnRenamed("n", "j"), "j", "left_anti"))
+    else:
+        raise RuntimeError("pairing did not settle; raise max_rounds")
+    return pairs.select("i", "j").limit(0) if made is None else made
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root): smallest node of the connected component, for every node of `edges(a, b)`.
+
+    Alternates two steps that hang each node's larger neighbours, then its smaller
+    ones, on the smallest; paths shrink geometrically and a hub only ever needs a
+    minimum, which combines before the shuffle.
+    """
+    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
+    for _ in range(max_rounds):
+        both = e.where("u <> v").select("u", "v").unionByName(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.where("u <> v").distinct()
+        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low2, "u")
+        nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e_next = stage(nxt.distinct())
+        seen = e_next.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        done, mark = tuple(seen) == mark, tuple(seen)
+        if done:
+            break
+        e = e_next
+    else:
+        raise RuntimeError("components did not settle; raise max_rounds")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(e_next.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))

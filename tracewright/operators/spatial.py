@@ -53,3 +53,19 @@ def near_join(left: DataFrame, right: DataFrame, on: Sequence[str], radius_x: fl
         .where((F.abs(lx - rx) <= radius_x) & (F.abs(ly - r_y) <= ry))
         .drop("_cx", "_cy")
     )
+
+
+def reach_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_reach: tuple[Column, Column],
+               right_reach: tuple[Column, Column], cell: float = 64.0) -> DataFrame:
+    """Pairs whose centres lie within the sum of both reaches on each axis.
+
+    A rule such as `distance <= k * max(own, other)` is covered when each side
+    reaches k times its own size, so callers put the exact rule behind this join.
+    Sides carry `l_cx, l_cy` and `r_cx, r_cy`.
+    """
+    def boxed(df: DataFrame, p: str, reach: tuple[Column, Column]) -> DataFrame:
+        rx, ry = reach[0] + 1e-6, reach[1] + 1e-6
+        return df.withColumns({f"_{p}x": F.col(f"{p}_cx") - rx, f"_{p}y": F.col(f"{p}_cy") - ry, f"_{p}w": 2 * rx, f"_{p}h": 2 * ry})
+
+    out = overlap_join(boxed(left, "l", left_reach), boxed(right, "r", right_reach), on, cell, "_l", "_r")
+    return out.drop(*[f"_{p}{c}" for p in "lr" for c in "xywh"])

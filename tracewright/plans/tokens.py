@@ -1,0 +1,273 @@
+"""Token-table queries: text rules, splits, repairs, pairing, values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.functions import metadata as M
+from tracewright.functions import tokens as K
+from tracewright.functions import values as V
+from tracewright.operators import pairing as P
+from tracewright.operators import tokens as O
+from tracewright.plans.registry import query
+
+
+def _r(c, name, digits=6):
+    return F.round(c, digits).alias(name)
+
+
+_STEPS = [
+    r"regexp_replace({}, '[\"'']+$', '')", r"regexp_replace({}, '(?i),(LF|UF|Lit)$', 'µF')", r"regexp_replace({}, '^([0-9]+)\s+[uU]F$', '\1µF')",
+    r"regexp_replace({}, '^([0-9]+)\s+([KkMRPNFGpnΩ])$', '\1\2')", r"regexp_replace({}, '([0-9]),([0-9])', '\1.\2', 'g')", r"regexp_replace({}, '^0([0-9])$', '\1')",
+    r"regexp_replace({}, '^[O0](\p{{Lu}})$', '\1')", r"regexp_replace({}, '^[Oo](\+[A-Za-z])', '\1')",
+    r"CASE WHEN translate({0},'IO','10')<>{0} AND regexp_matches(translate({0},'IO','10'),'^[0-9]+[.]?[0-9]*[PNFUKRMGpnfukrmgΩ]$') THEN upper(translate({0},'IO','10')) ELSE {0} END",
+    r"CASE WHEN translate({0},'Ss','55')<>{0} AND regexp_matches(translate({0},'Ss','55'),'^[0-9]+[.]?[0-9]*[PNFUKRMGpnfukrmgΩ]$') THEN translate({0},'Ss','55') ELSE {0} END",
+    r"regexp_replace({}, '^25([A-Z][0-9]{{3,4}})$', '2S\1')",
+    r"CASE WHEN regexp_matches({0},'^2S[A-Z][0-9IOlo]+$') THEN concat(substr({0},1,3), translate(substr({0},4),'IOlo','1010')) ELSE {0} END",
+    r"regexp_replace({}, '^I((SS|N)[0-9]{{3,5}})$', '1\1')", r"regexp_replace({}, '^0([1-9][0-9]{{2}})$', 'D\1')", r"regexp_replace({}, '^RB([0-9]{{2,4}})$', 'R8\1')",
+    r"regexp_replace({}, '^Q[B8][O0]([0-9]{{1,3}})$', 'Q80\1')", r"regexp_replace({}, '([0-9]\.)B', '\18', 'g')", r"regexp_replace({}, '^LI([0-9]{{2,3}})$', 'L1\1')",
+    r"regexp_replace({}, '^m([0-9]+\.?[0-9]*[KkMRPNFUGpnfuΩ])$', '\1')", r"regexp_replace({}, '^/$', '7')", r"regexp_replace({}, '^([0-9]{{1,3}})[,.]$', '\1')", r"regexp_replace({}, '^1C([0-9]{{2,4}})', 'IC\1')",
+]
+_ENDS = [
+    (r"(?i)^([0-9][0-9.]*[PNFUKRΩ])M$", ""), (r"(?i)^([A-Z]{1,3}[0-9]*)=", ""), (r"(?i)^((?:IC|[RCLQ])[0-9]{2,3})[0-9]+[KMPRNUF]", ""), (r"^([0-9]{2,})\.00$", "Ω"),
+    (r"^([0-9][0-9.]*[kKM]?)[goQ]$", "Ω"), (r"^([0-9]{2,3})52$", "Ω"), (r"^([0-9][0-9.]*[kKmMGg]?)[sS][23]?$", "Ω"),
+]
+
+
+def _clean_sql(source, id_cols, text, out):
+    """CTEs that clean column `text` of `source` step by step."""
+    ctes = [f"{out}0 AS (SELECT {id_cols}, {text} AS c FROM {source})"]
+    for i, step in enumerate(_STEPS):
+        ctes.append(f"{out}{i + 1} AS MATERIALIZED (SELECT {id_cols}, {step.format('c')} AS c FROM {out}{i})")
+    ends = " ".join(
+        f"WHEN {'c<>' + chr(39) + '2S' + chr(39) + ' AND ' if k == 6 else ''}regexp_matches(c,'{p}') THEN concat(regexp_extract(c,'{p}',1),'{tail}')" for k, (p, tail) in enumerate(_ENDS))
+    ctes.append(f"{out} AS MATERIALIZED (SELECT {id_cols}, CASE {ends} ELSE regexp_replace(c, '[.]{{2,4}}', '~', 'g') END AS t FROM {out}{len(_STEPS)})")
+    return ", ".join(ctes)
+
+
+def _category_sql(t):
+    up, tr = f"upper(trim({t}))", f"trim({t})"
+    value = (f"CASE WHEN regexp_matches({tr},'(?i)^(2S[ABCD]|1S[SN]|B[CDFRU]|MA)[0-9]{{2,5}}[A-Z]{{0,2}}$') OR regexp_matches({tr},'(?i)^(UL|TDA|TL|LM|NE|UA|UPC|MC|TA|AN|AD|OP|MAX|LF|CA)[0-9]{{2,5}}[A-Z]{{0,2}}$') THEN true "
+             f"WHEN regexp_matches({tr},'^[A-Za-z]{{2}}[\\pL\\pN]*$') AND NOT regexp_matches({tr},'^[A-Za-z]+[0-9]+$') THEN false ELSE regexp_matches({tr},'[KMRΩUNPFV.,/]|OHM') OR regexp_matches({tr},'[0-9].*[0-9]') END")
+    return (f"CASE WHEN {tr}='' THEN 'other' WHEN regexp_matches({up},'^IC[0-9]+$') OR regexp_matches({tr},'^[RCLQDMT]p[LP]$') OR regexp_matches({up},'^[RCLQDMTS][0-9]+[A-Z]?$') OR regexp_matches({up},'^SF[0-9]{{2,4}}$') THEN 'component' "
+            f"WHEN regexp_matches({up},'^[+-]?[0-9]+V$') THEN 'net_label' WHEN regexp_matches({tr},'[0-9]') AND ({value}) THEN 'value' WHEN regexp_matches(regexp_replace({up},'[_-]','','g'),'^[\\pL\\pN]+$') AND length({up})<=6 THEN 'net_label' "
+            f"WHEN regexp_matches({tr},'(?i)^[LR]\\s+ch$') THEN 'net_label' WHEN regexp_matches(regexp_replace({up},'[+/_-]','','g'),'^[\\pL\\pN]+$') AND length({up}) BETWEEN 2 AND 6 THEN 'net_label' ELSE 'other' END")
+
+
+def _noise_sql(t, w, h, conf, floor):
+    area, side = f"({w}*{h})", f"greatest({w},{h})"
+    rescued = f"(({conf}>=25 AND regexp_matches({t},'^[0-9]+[.]?[0-9]*[KkMRPNFUGpnfuΩ]{{1,2}}$')) OR ({conf}>=15 AND regexp_matches({t},'^[0-9]+[.]?[0-9]*µF$')) OR ({conf}>=40 AND regexp_matches({t},'^[0-9]{{1,2}}$')) OR ({conf}>=40 AND regexp_matches({t},'^[0-9]{{1,3}}\\s+[0-9]{{1,3}}$')))"
+    runs = "('123456','1234567','12345678','123456789','12345678910','1234567891011','123456789101112','12345678910111213','1234567891011121314')"
+    return (f"(({conf}<{floor} AND NOT {rescued}) OR {t} IN ('+','-','~','m','M','=',':','00','#') OR upper({t}) IN ('THE','AND','FOR','NOT','BUT','ARE','HAS','HAD','77','777') OR ({t}='+/-' AND {area}<0.02*{side}*{side}) OR {area}<1 "
+            f"OR (length({t})<=2 AND NOT regexp_matches({t},'[\\pL\\pN]') AND {area}<0.05*{side}*{side}) OR (regexp_matches(upper({t}),'^[7MW]{{1,3}}$') AND {area}<0.002*{side}*{side}) OR regexp_matches({t},'^[IlT|]{{2,4}}$') OR ({t}='1' AND {conf}<45) "
+            f"OR ({t} IN ('O','0','o','C','c') AND {conf}<55) OR ({t} IN ('W','Y') AND {conf}<80) OR ({t}='MA' AND {conf}<55) OR regexp_matches({t},'^[*]*$') OR (regexp_matches({t},'^[0-9]{{6,}}$') AND {t} NOT IN {runs}))")
+
+
+_CLEAN = _clean_sql("fx_raw_tokens", "page_id, ord", "text", "cl")
+
+
+@query("clean_text_p16", f"WITH {_CLEAN} SELECT page_id, ord, t AS text FROM cl")
+def _(t):
+    return t("fx_raw_tokens").select("page_id", "ord", K.clean(F.col("text")).alias("text"))
+
+
+@query("category_p17", f"WITH {_CLEAN} SELECT page_id, ord, {_category_sql('t')} AS category FROM cl")
+def _(t):
+    return t("fx_raw_tokens").select("page_id", "ord", K.category(K.clean(F.col("text"))).alias("category"))
+
+
+@query("noise_f01", f"SELECT page_id, ord, text FROM fx_raw_tokens WHERE NOT {_noise_sql('text', 'w', 'h', 'confidence', '30')}")
+def _(t):
+    return t("fx_raw_tokens").where(~K.is_noise(F.col("text"), F.col("w"), F.col("h"), F.col("confidence"), 30.0)).select("page_id", "ord", "text")
+
+
+@query("compound_split_o02", f"""WITH raw AS (SELECT *, regexp_extract(text,'(?i)^([A-Z]{{1,3}}[0-9]*)=',0) AS eq, CASE WHEN regexp_matches(text,'(?i)^([A-Z]{{1,3}}[0-9]*)=') THEN '' ELSE regexp_extract(text,'(?i)^((?:IC|[RCLQ])[0-9]{{2,3}})[0-9]+[KMPRNUF]',1) END AS ne FROM fx_raw_tokens),
+rs AS (SELECT *, substr(text, length(concat(eq,ne))+1) AS rest FROM raw), {_CLEAN}, {_clean_sql('rs', 'page_id, ord', 'rest', 'cr')},
+j AS (SELECT rs.*, cl.t AS t1, cr.t AS t2, eq<>'' OR ne<>'' AS sp, CASE WHEN eq<>'' THEN 25 ELSE 30 END AS lim, CASE WHEN (eq<>'' OR ne<>'') AND length(cl.t)<length(rs.text) THEN w*length(cl.t)/length(rs.text) ELSE w END AS w1, w*length(concat(eq,ne))/length(rs.text) AS cut
+  FROM rs JOIN cl ON cl.page_id=rs.page_id AND cl.ord=rs.ord JOIN cr ON cr.page_id=rs.page_id AND cr.ord=rs.ord),
+k AS (SELECT * FROM j WHERE NOT {_noise_sql('t1', 'w1', 'h', 'confidence', 'lim')})
+SELECT page_id, ord, 0 AS part, t1 AS text, round(x,6) AS x, round(w1,6) AS w, {_category_sql('t1')} AS category FROM k
+UNION ALL SELECT page_id, ord, 1, t2, round(x+cut,6), round(w-cut,6), {_category_sql('t2')} FROM k WHERE sp AND t2<>'' AND NOT {_noise_sql('t2', 'w', 'h', 'confidence', 'lim')}""")
+def _(t):
+    s = O.clean_and_split(t("fx_raw_tokens"))
+    o = F.col("ord")
+    return s.select("page_id", F.get(o, F.lit(0)).alias("ord"), F.get(o, F.lit(1)).cast("int").alias("part"), "text", _r("x", "x"), _r("w", "w"), "category")
+
+
+def _tokens(t):
+    """Unsplit tokens with a category from their raw text."""
+    raw = t("fx_raw_tokens").withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2, "category": K.category(F.col("text"))})
+    return raw.withColumn("ord", F.array(F.col("ord").cast("bigint"))).select(O.COLUMNS)
+
+
+@query("pin_runs_o03", """SELECT page_id, ord, i AS pin, round(x+i*w/10,6) AS x, round(w/10,6) AS w FROM fx_raw_tokens, range(0,10) r(i) WHERE text='12345678910'""")
+def _(t):
+    s = O.split_pin_runs(_tokens(t)).where(F.size("ord") == 2)
+    return s.select("page_id", F.get("ord", F.lit(0)).alias("ord"), F.get("ord", F.lit(1)).alias("pin"), _r("x", "x"), _r("w", "w"))
+
+
+@query("spaced_pins_o04", f"""WITH v AS (SELECT *, regexp_extract(text,'^([0-9]{{1,3}})\\s+([0-9]{{1,3}})$',1) AS a, regexp_extract(text,'^([0-9]{{1,3}})\\s+([0-9]{{1,3}})$',2) AS b FROM fx_raw_tokens WHERE {_category_sql('text')}='value'), s AS (SELECT * FROM v WHERE a<>'')
+SELECT page_id, ord, a AS text, round(x,6) AS x, round(w*length(a)/(length(a)+1+length(b)),6) AS w FROM s UNION ALL SELECT page_id, ord, b, round(x+w*(length(a)+1)/(length(a)+1+length(b)),6), round(w*length(b)/(length(a)+1+length(b)),6) FROM s""")
+def _(t):
+    s = O.split_spaced_pins(_tokens(t)).where(F.size("ord") == 2)
+    return s.select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text", _r("x", "x"), _r("w", "w"))
+
+
+_TOK = f"tk AS (SELECT *, x+w/2 AS cx, y+h/2 AS cy, {_category_sql('text')} AS category FROM fx_raw_tokens)"
+
+
+@query("overlines_o05", f"""WITH {_TOK} SELECT page_id, ord, CASE WHEN category='net_label' AND text IN ('I','-','|','—') AND EXISTS (SELECT 1 FROM tk q WHERE q.page_id=t.page_id AND q.category='net_label' AND q.text='Q' AND abs(q.cx-t.cx)<greatest(20,t.h*1.5) AND t.cy-q.cy>0 AND t.cy-q.cy<t.h*10) THEN '-Q' ELSE text END AS text FROM tk t""")
+def _(t):
+    return O.fix_overlines(_tokens(t)).select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text")
+
+
+@query("endpoint_digits_o06", f"""WITH {_TOK}, f AS (SELECT t.*, category='value' AND regexp_matches(text,'^[1-9]0$') AND confidence<85 AND EXISTS (SELECT 1 FROM tk q WHERE q.page_id=t.page_id AND q.category='net_label' AND regexp_matches(q.text,'^[0-9]$') AND sqrt((q.cx-t.cx)*(q.cx-t.cx)+(q.cy-t.cy)*(q.cy-t.cy))<=50) AS hit FROM tk t)
+SELECT page_id, ord, CASE WHEN hit THEN substr(text,1,1) ELSE text END AS text, CASE WHEN hit THEN w/2 ELSE w END AS w, CASE WHEN hit THEN 'net_label' ELSE category END AS category FROM f""")
+def _(t):
+    return O.fix_endpoint_digits(_tokens(t)).select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text", "w", "category")
+
+
+@query("ic_letters_o07", f"""WITH {_TOK} SELECT page_id, ord, CASE WHEN regexp_matches(upper(text),'^IC[0-9]+[BOSIZGD]$') THEN concat('IC', translate(substr(upper(text),3),'BOSIZGD','8051260')) ELSE text END AS text,
+CASE WHEN regexp_matches(upper(text),'^IC[0-9]+[BOSIZGD]$') THEN 'component' ELSE category END AS category FROM tk""")
+def _(t):
+    return O.fix_ic_letters(_tokens(t)).select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text", "category")
+
+
+@query("truncated_ics_o08", f"""WITH {_TOK}, known AS (SELECT DISTINCT page_id, CAST(floor(CAST(regexp_extract(text,'(?i)IC([0-9]{{2,4}})',1) AS INTEGER)/100) AS INTEGER) AS hd FROM tk WHERE regexp_matches(text,'(?i)IC[0-9]{{2,4}}')),
+paired AS (SELECT DISTINCT page_id, text FROM tk WHERE ord%3=0)
+SELECT t.page_id, t.ord, CASE WHEN regexp_matches(t.text,'^C[0-9]{{3,4}}$') AND k.hd IS NOT NULL AND p.text IS NULL THEN concat('I', t.text) ELSE t.text END AS text FROM tk t
+LEFT JOIN known k ON k.page_id=t.page_id AND k.hd=CASE WHEN regexp_matches(t.text,'^C[0-9]{{3,4}}$') THEN CAST(floor(CAST(substr(t.text,2) AS INTEGER)/100) AS INTEGER) END LEFT JOIN paired p ON p.page_id=t.page_id AND p.text=t.text""")
+def _(t):
+    tk = _tokens(t)
+    pairs = tk.where(F.get("ord", F.lit(0)) % 3 == 0).select("page_id", F.col("text").alias("component"))
+    return P.restore_ics(tk, pairs).select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text")
+
+
+@query("engine_rows_o09", f"""SELECT page_id, ord, text, round(c,6) AS confidence, x, y, w, h, {_category_sql('text')} AS category FROM (SELECT page_id, ord, trim(concat(' ', text, ' ')) AS text, confidence/100*100 AS c, x, y, w, h FROM fx_raw_tokens) q WHERE c>=30""")
+def _(t):
+    x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
+    quad = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h), F.array(x, y + h))
+    raw = t("fx_raw_tokens").select(
+        "page_id", F.array(F.col("ord").cast("bigint")).alias("ord"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), (F.col("confidence") / 100).alias("score"),
+        F.when(F.col("ord") % 2 == 0, quad).alias("quad"), F.array(x, y, x + w, y + h).alias("rect"))
+    return O.from_ocr(raw, 30.0).select("page_id", F.get("ord", F.lit(0)).alias("ord"), "text", _r("confidence", "confidence"), "x", "y", _r("w", "w"), _r("h", "h"), "category")
+
+
+_FLAT = ["page_id", "text", "category"]
+
+
+def _show(df):
+    return df.select("page_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), "text", "category",
+                     _r("confidence", "confidence"), *[_r(c, c) for c in "xywh"])
+
+
+@query("unit_merge_g10")
+def _(t):
+    return _show(O.merge_units(_tokens(t)))
+
+
+@query("contained_tokens_j10")
+def _(t):
+    return _show(O.drop_contained(_tokens(t)))
+
+
+@query("line_merge_g11")
+def _(t):
+    return _show(O.merge_lines(_tokens(t), "other", False, True))
+
+
+@query("column_merge_g11")
+def _(t):
+    return _show(O.merge_columns(_tokens(t)))
+
+
+@query("slash_merge_g10")
+def _(t):
+    return _show(O.merge_slashes(_tokens(t)))
+
+
+@query("hyphen_merge_g10")
+def _(t):
+    return _show(O.merge_hyphens(_tokens(t)))
+
+
+@query("model_repair_g10")
+def _(t):
+    return _show(O.fix_models(_tokens(t)))
+
+
+@query("designator_repair_g10")
+def _(t):
+    return _show(O.extend_designators(_tokens(t)))
+
+
+@query("token_repairs_o01")
+def _(t):
+    return _show(O.repair(t("fx_raw_tokens")))
+
+
+def _ids(df, *cols):
+    return df.select(*[F.array_join(F.col(c).cast("array<string>"), ".").alias(c) if c in ("comp", "val") else F.col(c) for c in cols])
+
+
+@query("primary_values_j09")
+def _(t):
+    return _ids(P.primary_values(_tokens(t)).withColumn("d", F.round("d", 6)), "page_id", "comp", "val", "d")
+
+
+@query("exclusive_values_g09")
+def _(t):
+    tk = _tokens(t)
+    return _ids(P.exclusive_values(tk, P.primary_values(tk)), "page_id", "comp", "val")
+
+
+@query("value_pairs_g12")
+def _(t):
+    return _ids(P.pair(_tokens(t)), "page_id", "comp", "component", "value", "x", "y", "w", "h")
+
+
+_COMP = "c AS (SELECT ann_id, image_id, x, y, w, h, concat('R', CAST(ann_id%30 AS VARCHAR)) AS name, CASE WHEN ann_id%4=0 THEN '' ELSE concat(CAST(ann_id%20 AS VARCHAR), 'k') END AS value FROM fx_annotations)"
+_DET = "d AS (SELECT model, image_id, x, y, w, h, lower(concat('*R', CAST(pred_id%30 AS VARCHAR), ' ', CAST(pred_id%10 AS VARCHAR), 'K')) AS text FROM fx_predictions)"
+_HITS = f"""{_COMP}, {_DET}, hits AS (SELECT d.model, c.image_id, c.ann_id, max(contains(replace(d.text,'*',''), lower(c.name))) AS n, max(c.value<>'' AND contains(replace(d.text,'*',''), c.value)) AS v
+FROM d JOIN c ON c.image_id=d.image_id AND least(c.x+c.w,d.x+d.w)>greatest(c.x,d.x) AND least(c.y+c.h,d.y+d.h)>greatest(c.y,d.y) GROUP BY 1,2,3)"""
+
+
+def _read(t):
+    k, p = F.col("ann_id"), F.col("pred_id")
+    c = t("fx_annotations").select("image_id", k.alias("comp_id"), *"xywh", F.concat(F.lit("R"), (k % 30).cast("string")).alias("name"),
+                                   F.when(k % 4 == 0, "").otherwise(F.concat((k % 20).cast("string"), F.lit("k"))).alias("value"))
+    d = t("fx_predictions").select("model", "image_id", *"xywh", F.concat(F.lit("*R"), (p % 30).cast("string"), F.lit(" "), (p % 10).cast("string"), F.lit("K")).alias("text"))
+    return c, d
+
+
+@query("component_hits_j07", f"WITH {_HITS} SELECT model, image_id, ann_id AS comp_id, n AS name_hit, v AS value_hit FROM hits")
+def _(t):
+    return P.component_hits(*_read(t))
+
+
+@query("ocr_coverage_a08", f"""WITH {_HITS}, s AS (SELECT count(*) AS n, count(*) FILTER (value<>'') AS v, count(DISTINCT image_id) AS i FROM c), f AS (SELECT model, count(*) AS found FROM d GROUP BY 1)
+SELECT f.model, round((SELECT count(*) FROM hits WHERE hits.model=f.model AND n)/CAST(s.n AS DOUBLE),6) AS name_rate, round((SELECT count(*) FROM hits WHERE hits.model=f.model AND v)/CAST(s.v AS DOUBLE),6) AS value_rate, round(f.found/CAST(s.i AS DOUBLE),6) AS per_image FROM f, s""")
+def _(t):
+    c = P.coverage(*_read(t))
+    return c.select("model", *[_r(x, x) for x in ("name_rate", "value_rate", "per_image")])
+
+
+_PV = """v AS (SELECT region_id, category, regexp_extract(region_comment,' value=(\\S+)',1) AS raw FROM (SELECT region_id, category, concat(' ', regexp_replace(region_comment,'([0-9]),([0-9])','\\1.\\2','g')) AS region_comment FROM fx_comments) q),
+p AS (SELECT region_id, category, raw, CAST(regexp_extract(raw,'^([0-9.]+)',1) AS DOUBLE) AS num, regexp_extract(raw,'([a-zA-Z]*)$',1) AS u FROM v WHERE raw<>''),
+m AS (SELECT *, CASE WHEN category='resistor' THEN CASE u WHEN 'K' THEN 3 END WHEN category IN ('capacitor','inductor') THEN CASE u WHEN 'n' THEN -9 WHEN 'u' THEN -6 END END AS e FROM p)"""
+
+
+def _parsed(t):
+    text = M.entry(M.comment_map(M.without_decimal_commas(F.col("region_comment"))), "value")
+    return t("fx_comments").withColumn("p", V.parse_value(text, F.col("category"))).where("p IS NOT NULL")
+
+
+@query("component_values_p14", f"WITH {_PV} SELECT region_id, CASE category WHEN 'capacitor' THEN 'F' WHEN 'inductor' THEN 'H' ELSE 'Ω' END AS unit, num AS number, e AS exponent FROM m WHERE e IS NOT NULL")
+def _(t):
+    return _parsed(t).select("region_id", F.col("p.base").alias("unit"), F.col("p.number").cast("double").alias("number"), F.col("p.exponent").alias("exponent"))
+
+
+@query("value_texts_p15", f"""WITH {_PV} SELECT region_id, concat(CASE WHEN num=floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE CAST(num AS VARCHAR) END, CASE u WHEN 'K' THEN 'K' ELSE u END) AS deck,
+concat(CASE WHEN num=floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE CAST(num AS VARCHAR) END, CASE u WHEN 'K' THEN 'k' WHEN 'u' THEN 'µ' ELSE 'n' END, CASE category WHEN 'capacitor' THEN 'F' WHEN 'inductor' THEN 'H' ELSE 'Ω' END) AS display FROM m WHERE e IS NOT NULL""")
+def _(t):
+    return _parsed(t).select("region_id", V.deck_value(F.col("p")).alias("deck"), V.display_value(F.col("p")).alias("display"))

@@ -58,6 +58,11 @@ VIEWS: dict[str, str] = {
   ELSE CASE WHEN p_partkey%20=9 THEN '777' ELSE 'OUT' END END AS text,
   CAST(20+(p_partkey*7)%80 AS DOUBLE) AS confidence, CAST(100*CAST(floor((p_partkey%10)/2) AS BIGINT) + (p_partkey*3)%7 AS DOUBLE) AS x,
   CAST(30*(p_partkey%2) + (p_partkey*5)%6 AS DOUBLE) AS y, 40.0E0 AS w, 20.0E0 AS h FROM {part}""",
+    # raw recognised texts in forty shapes of typical misreadings, laid out in rows of eight
+    "fx_raw_tokens": """SELECT page_id, ord, text, confidence, CAST(40*(ord%8)+(page_id*3+ord*5)%7 AS DOUBLE) AS x, CAST(28*CAST(floor(ord/8) AS BIGINT)+(ord*3)%6 AS DOUBLE) AS y, CAST(8*length(text) AS DOUBLE) AS w, CAST(14+ord%3 AS DOUBLE) AS h
+  FROM (SELECT CAST(floor(p_partkey/40) AS BIGINT) AS page_id, p_partkey%40 AS ord, CAST(10+(p_partkey*13)%90 AS DOUBLE) AS confidence,
+  CASE p_partkey%40 WHEN 0 THEN concat('R', n) WHEN 1 THEN concat(n, 'K') WHEN 2 THEN concat(n, ',', n, 'uF') WHEN 3 THEN concat('R', n, '=22K') WHEN 4 THEN concat('R1', n, '15K') WHEN 5 THEN '12345678910' WHEN 6 THEN concat(n, ' 12') WHEN 7 THEN concat('25C17', n) WHEN 8 THEN concat('ISS1', n) WHEN 9 THEN concat('04', n) WHEN 10 THEN concat('RB', n) WHEN 11 THEN concat('QBO', n) WHEN 12 THEN concat('LI', n) WHEN 13 THEN concat('m', n, 'K') WHEN 14 THEN '/' WHEN 15 THEN concat(n, ',') WHEN 16 THEN n WHEN 17 THEN 'K' WHEN 18 THEN concat(n, 'Pm') WHEN 19 THEN concat(n, '.00') WHEN 20 THEN concat(n, 'kQ') WHEN 21 THEN concat(n, '52') WHEN 22 THEN '2S' WHEN 23 THEN concat('C17', n) WHEN 24 THEN 'speaker' WHEN 25 THEN 'out-put' WHEN 26 THEN 'Q' WHEN 27 THEN concat(n, '/') WHEN 28 THEN 'Amplif-' WHEN 29 THEN concat('C4', n) WHEN 30 THEN '1' WHEN 31 THEN '.2K' WHEN 32 THEN concat('IC4', n, 'B') WHEN 33 THEN '777' WHEN 34 THEN 'I' WHEN 35 THEN '25V' WHEN 36 THEN 'iers on' WHEN 37 THEN '5' WHEN 38 THEN concat(substr(n, 1, 1), '0') WHEN 39 THEN concat(n, '...', n, 'pF') END AS text
+  FROM (SELECT p_partkey, CAST(10+p_size%90 AS VARCHAR(20)) AS n FROM {part}) a) q""",
     "fx_comments": """SELECT p_partkey AS region_id, CAST(floor(p_partkey/25) AS BIGINT) AS task_id,
   CASE p_partkey%5 WHEN 0 THEN 'resistor' WHEN 1 THEN 'capacitor' WHEN 2 THEN 'inductor' WHEN 3 THEN 'diode' ELSE 'mystery' END AS category,
   CASE WHEN p_partkey%9=0 THEN NULL ELSE concat(CASE WHEN p_partkey%7=0 THEN '' ELSE concat('designator=X', CAST(p_partkey%300 AS VARCHAR(20)), ' ') END, 'type=',
