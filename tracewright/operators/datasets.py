@@ -125,3 +125,15 @@ def renamed(image_id: Column, file_name: Column, lo: int, hi: int, by: int) -> C
     """File names of an id range moved up by `by` to make them unique."""
     number = F.regexp_extract(file_name, r"_(\d+)\.", 1).cast("bigint")
     return F.when(image_id.between(lo, hi), F.format_string("schematic_%03d.png", number + by)).otherwise(file_name)
+
+
+def generated_labels(components: DataFrame, classes: dict[str, int], unknown: int | None = None) -> DataFrame:
+    """Polygon labels of generated drawings: turned box, scaled to the canvas, clamped.
+
+    Unknown types are left out, or get class `unknown` when it is given.
+    """
+    from tracewright.functions.labels import lookup
+
+    corners = G.rotated_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("rotation"))
+    rows = components.withColumn("class_idx", lookup(F.col("type"), classes, None, unknown)).where("class_idx IS NOT NULL")
+    return rows.withColumn("coords", G.scale_polygon(corners, F.col("width"), F.col("height")))

@@ -279,3 +279,10 @@ def training_samples(manifest: DataFrame, files: DataFrame, labels: Sequence[str
     j = rows.withColumn("_p", path).join(here, "_p", "left").join(root, rows["filename"] == root["_q"], "left")
     return j.where("_in_label OR _in_root").withColumn(
         "path", F.when(F.col("_in_label"), F.col("_p")).otherwise(F.col("filename"))).drop("_p", "_q", "_in_label", "_in_root")
+
+
+def with_defaults(entries: DataFrame) -> DataFrame:
+    """Missing ids and labels filled in from the sequence number and the type."""
+    return entries.withColumns({
+        "id": F.coalesce("id", F.concat(F.lit("entry-"), F.col("seq").cast("string"))),
+        "label": F.coalesce("label", F.concat(F.lit("Entry "), "type"))})

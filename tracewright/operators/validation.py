@@ -48,3 +48,35 @@ def content_copies(files: DataFrame, id_col: str, content: Column) -> DataFrame:
     hashed = files.select(id_col, F.sha2(content, 256).alias("hash"))
     many = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return hashed.join(many, "hash")
+
+
+def sample_checks(components: DataFrame, files: DataFrame) -> DataFrame:
+    """Components, designators and values per sample, and whether its picture is there."""
+    filled = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    per = components.groupBy("request_id", "image").agg(
+        F.count(F.lit(1)).alias("comps"), F.count_if(filled("component")).alias("designators"), F.count_if(filled("value")).alias("filled"))
+    have = files.select("image", F.lit(True).alias("_f")).distinct()
+    return per.join(have, "image", "left").withColumn("image_missing", F.col("_f").isNull()).drop("_f")
+
+
+# fixed values: picture types a fixture folder may hold
+PICTURES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".pdf")
+
+
+def fixture_issues(files: DataFrame, annotations: DataFrame, max_bytes: int) -> DataFrame:
+    """Fixture folder rules: type, size, annotation present and complete, no copies.
+
+    `files(name, length, hash)`, `annotations(stem, has_image, has_annotations)`.
+    """
+    ext = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
+    stem = F.regexp_replace("name", r"\.[^.]+$", "")
+    copies = files.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
+    rows = files.join(copies, "hash").withColumn("stem", stem).join(annotations.withColumn("_a", F.lit(True)), "stem", "left")
+    present = F.col("_a").isNotNull()
+    return rows.select("name", F.explode(M.issues(
+        M.issue(~ext.isin(*PICTURES), "warning", "name", "extension"),
+        M.issue(F.col("length") > max_bytes, "warning", "length", "too_large"),
+        M.issue(~present, "warning", "annotation", "missing_annotation"),
+        M.issue(present & ~(F.col("has_image") & F.col("has_annotations")), "error", "annotation", "missing_keys"),
+        M.issue(F.col("copies") > 1, "warning", "hash", "duplicate"),
+    )).alias("i")).select("name", "i.*")

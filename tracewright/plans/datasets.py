@@ -163,3 +163,75 @@ def _(t):
     lines = t("fx_labels").where(F.size(L.parts(F.col("line"))) >= 3).join(t("fx_images"), "image_id")
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
     return lines.groupBy(stem.alias("stem")).agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("first_line"))
+
+
+def _results(t):
+    """Labelling results built from annotations: rectangles, point rectangles, polygons and other types."""
+    x, y, w, h = (F.col(c) / 10.0 for c in "xywh")
+    name = F.element_at(F.array(*[F.lit(c) for c in ("resistor", "capacitor", "inductor", "diode", "gizmo")]), F.col("category_id").cast("int"))
+    k = F.col("ann_id") % 4
+    pts = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h))
+    kind = F.when(k == 2, "polygonlabels").when(k == 3, "textarea").otherwise("rectanglelabels")
+    none = lambda ty: F.lit(None).cast(ty)
+    value = F.struct(
+        F.when(k != 2, x).alias("x"), F.when(k != 2, y).alias("y"), F.when(k != 2, w).alias("width"), F.when(k != 2, h).alias("height"),
+        F.when(k == 0, F.col("rotation").cast("double")).alias("rotation"), F.when(k.isin(1, 2), pts).alias("points"),
+        F.when(k < 2, F.array(name)).alias("rectanglelabels"), F.when(k == 2, F.array(name)).alias("polygonlabels"), none("array<string>").alias("brushlabels"),
+        none("array<string>").alias("labels"), none("array<string>").alias("choices"), F.when(k == 3, F.lit("note")).alias("text"))
+    meta = F.struct(F.when(F.col("ann_id") % 3 == 0, F.array(F.concat(F.lit("designator=R"), F.col("ann_id").cast("string")), F.lit("value=4.7k"))).alias("text"))
+    r = F.struct(kind.alias("type"), F.lit("label").alias("from_name"), none("string").alias("annotationType"), value.alias("value"), meta.alias("meta"))
+    return t("fx_annotations").join(t("fx_images"), "image_id").select("ann_id", "image_id", "width", "height", r.alias("r"))
+
+
+_NAME = "CASE category_id WHEN 1 THEN 'resistor' WHEN 2 THEN 'capacitor' WHEN 3 THEN 'inductor' WHEN 4 THEN 'diode' ELSE 'gizmo' END"
+_RES = """q AS (SELECT a.ann_id, a.image_id, a.category_id, a.ann_id%4 AS k, a.rotation, a.x*i.width/1000 AS x, a.y*i.height/1000 AS y, a.w*i.width/1000 AS w, a.h*i.height/1000 AS h FROM fx_annotations a JOIN fx_images i ON i.image_id=a.image_id),
+c AS (SELECT *, abs(w/2*cos(radians(rotation)))+abs(h/2*sin(radians(rotation))) AS hw, abs(w/2*sin(radians(rotation)))+abs(h/2*cos(radians(rotation))) AS hh FROM q WHERE k<3),
+b AS (SELECT *, CASE WHEN k=0 THEN x+w/2-hw ELSE x END AS bx, CASE WHEN k=0 THEN y+h/2-hh ELSE y END AS by_, CASE WHEN k=0 THEN 2*hw ELSE w END AS bw, CASE WHEN k=0 THEN 2*hh ELSE h END AS bh FROM c)"""
+
+
+@query("task_components_p35", f"""SELECT ann_id, CASE WHEN ann_id%3=0 THEN concat('R', CAST(ann_id AS VARCHAR)) WHEN ann_id%4<2 THEN {_NAME} ELSE 'label' END AS label, CASE WHEN ann_id%4=3 THEN 'note' WHEN ann_id%3=0 THEN '4.7k' END AS value, CASE WHEN ann_id%4<>2 THEN x/10 END AS bx FROM fx_annotations""")
+def _(t):
+    from tracewright.sources import tasks
+
+    c = tasks.component(F.col("r"))
+    return _results(t).select("ann_id", c["label"].alias("label"), c["value"].alias("value"), F.get(c["bbox"], F.lit(0)).alias("bx"))
+
+
+@query("task_polygons_p36", f"""WITH {_RES} SELECT ann_id, CASE WHEN category_id<5 THEN category_id END AS category_id, CASE k WHEN 0 THEN 'rotated_rectangle' WHEN 1 THEN 'rectangle_as_polygon' ELSE 'polygon' END AS method, category_id=5 AS skipped,
+round(bx,4) AS bx, round(by_,4) AS by_, round(bw,4) AS bw, round(bh,4) AS bh, round(bw*bh,3) AS area FROM b""")
+def _(t):
+    from tracewright.sources import tasks
+
+    p = tasks.polygons(_results(t), {"resistor": 1, "capacitor": 2, "inductor": 3, "diode": 4})
+    at = lambda i, n: F.round(F.get("bbox", F.lit(i)), 4).alias(n)
+    return p.select("ann_id", F.col("category_id").cast("bigint").alias("category_id"), "method", "skipped", at(0, "bx"), at(1, "by_"), at(2, "bw"), at(3, "bh"), F.round("area", 3).alias("area"))
+
+
+@query("task_ignore_regions_p37", f"""WITH {_RES} SELECT ann_id, image_id, CASE WHEN k=2 THEN 3 ELSE 4 END AS n_points FROM q WHERE category_id=5 AND k<3""")
+def _(t):
+    from tracewright.sources import tasks
+
+    g = tasks.ignore_regions(_results(t), ["gizmo"])
+    return g.select("ann_id", "image_id", F.floor(F.size("points") / 2).cast("int").alias("n_points"))
+
+
+@query("task_for_image_j25", """WITH tk AS (SELECT p_partkey AS ord, concat('scan_', CAST(p_partkey%90 AS VARCHAR), '.png') AS image FROM part) SELECT i.image_id, i.file_name AS image, min(tk.ord) AS ord FROM fx_images i LEFT JOIN tk ON tk.image=i.file_name GROUP BY 1,2""")
+def _(t):
+    from tracewright.sources import tasks
+
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("scan_"), (k % 90).cast("string"), F.lit(".png"))
+    tk = t("part").select(k.alias("ord"), F.when(k % 2 == 0, F.concat(F.lit("up/ab12f-"), name)).alias("file_upload"),
+                          F.when(k % 2 == 1, F.concat(F.lit("/data/local/"), name)).alias("image_ref"))
+    return tasks.task_for_image(t("fx_images").select("image_id", F.col("file_name").alias("image")), tk)
+
+
+@query("generated_labels_p34", """SELECT ann_id, cls, round(greatest(0,least(1,x1/w0)),6) AS x1, round(greatest(0,least(1,y1/h0)),6) AS y1 FROM (SELECT a.ann_id, a.category_id-1 AS cls, i.width AS w0, i.height AS h0,
+a.x-a.w/2*cos(radians(a.rotation))+a.h/2*sin(radians(a.rotation)) AS x1, a.y-a.w/2*sin(radians(a.rotation))-a.h/2*cos(radians(a.rotation)) AS y1 FROM fx_annotations a JOIN fx_images i ON i.image_id=a.image_id WHERE a.category_id<5) q""")
+def _(t):
+    from tracewright.operators.datasets import generated_labels
+
+    letter = F.element_at(F.array(*[F.lit(c) for c in "RCLDZ"]), F.col("category_id").cast("int"))
+    c = t("fx_annotations").join(t("fx_images"), "image_id").withColumn("type", letter)
+    g = generated_labels(c, {"R": 0, "C": 1, "L": 2, "D": 3})
+    return g.select("ann_id", F.col("class_idx").cast("bigint").alias("cls"), F.round(F.get("coords", F.lit(0)), 6).alias("x1"), F.round(F.get("coords", F.lit(1)), 6).alias("y1"))

@@ -286,3 +286,20 @@ def _(t):
 @query("identifier_squeeze_p19", """SELECT conv_id, turn, md5(regexp_replace(strip_accents(lower(text)),'[ _-]','','g')) AS squeezed FROM conversations""")
 def _(t):
     return t("conversations").select("conv_id", "turn", F.md5(T.squeeze(F.col("text"))).alias("squeezed"))
+
+
+@query("sample_checks_v06", """WITH d AS (SELECT concat('scan_', CAST(doc_id AS VARCHAR), '.png') AS image FROM documents), c AS (SELECT request_id, count(*) AS comps, count(*) FILTER (component<>'') AS designators, count(*) FILTER (trim(value)<>'') AS filled FROM fx_corrections GROUP BY 1)
+SELECT c.request_id, comps, designators, filled, d.image IS NULL AS image_missing FROM c LEFT JOIN d ON d.image=concat('scan_', CAST(c.request_id*2 AS VARCHAR), '.png')""")
+def _(t):
+    from tracewright.operators.validation import sample_checks
+
+    c = t("fx_corrections").withColumn("image", F.format_string("scan_%d.png", F.col("request_id") * 2))
+    files = t("documents").select(F.format_string("scan_%d.png", "doc_id").alias("image"))
+    return sample_checks(c, files).select("request_id", "comps", "designators", "filled", "image_missing")
+
+
+@query("history_defaults_p31", """SELECT seq, CASE WHEN entry_id%3=0 THEN concat('entry-', CAST(seq AS VARCHAR)) ELSE CAST(entry_id AS VARCHAR) END AS id, CASE WHEN entry_id%2=0 THEN entry_type ELSE concat('Entry ', entry_type) END AS label FROM fx_entries""")
+def _(t):
+    e = t("fx_entries").select("seq", F.when(F.col("entry_id") % 3 != 0, F.col("entry_id").cast("string")).alias("id"), F.col("entry_type").alias("type"),
+                               F.when(F.col("entry_id") % 2 == 0, F.col("entry_type")).alias("label"))
+    return O.with_defaults(e).select("seq", "id", "label")
