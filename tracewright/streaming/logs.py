@@ -59,7 +59,7 @@ def session_tail(messages: DataFrame, keep: int = 40) -> DataFrame:
         _append(keep), SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_store(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_store(changes: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
     """Apply every batch of changes to the versioned entry store.
 
     A batch that is run again after a failure gives the same store: the last
@@ -69,7 +69,8 @@ def upsert_store(changes: DataFrame, path: str, checkpoint: str) -> StreamingQue
         base = tables.read_entries(batch.sparkSession, path)
         tables.write_entries(records.upsert(base, batch, "id", "seq", "is_delete"), path)
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    w = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if drain else w).start()
 
 
 def outcome_counts(requests: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -83,3 +84,14 @@ def sweep_progress(results: DataFrame, expected: int) -> DataFrame:
     return results.groupBy("max_joins").agg(
         F.count(F.lit(1)).alias("done"), F.count_if("timeout").alias("timeouts"), F.avg("elapsed_s").alias("avg_elapsed")
     ).withColumn("percent", F.round(F.col("done") * 100.0 / F.lit(max(expected, 1)), 2))
+
+
+def run_to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Drain what the source holds now; every output row keeps the number of its batch."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        # a batch run again after a failure replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(save).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
