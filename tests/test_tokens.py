@@ -189,7 +189,9 @@ def test_units(pages):
             best = min(side) if side else min(over, default=None)
             if best:
                 used |= {i, best[1]}
-                made.append(_merged(ts[best[1]], u, ts[best[1]]["text"] + u["text"], "value"))
+                # the joined text is cleaned again: a lone 0 before a capital is a circle
+                text = re.sub(r"^0([A-Z])$", r"\1", ts[best[1]]["text"] + u["text"])
+                made.append(_merged(ts[best[1]], u, text, "value"))
         return [t for i, t in enumerate(ts) if i not in used] + made
 
     # leave out the follow-up that joins a digit with a ".2K" next in the list

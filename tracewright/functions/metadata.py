@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ POLARITIES = ("unknown", "polarized", "electrolytic", "np")
 SEVERITIES = ("minor", "major", "critical")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pairs(comment: Column) -> Column:
     fields = F.filter(F.split(F.trim(comment), r"\s+"), lambda p: F.instr(p, "=") > 0)
     return F.transform(
@@ -48,7 +55,10 @@ def _pairs(comment: Column) -> Column:
 
 def comment_map(comment: Column) -> Column:
     """Map of a comment; fields without `=` are ignored and the last of equal keys wins."""
-    pairs = _pairs(comment)
+    return bind(_pairs(comment), _last_wins)
+
+
+def _last_wins(pairs: Column) -> Column:
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
     return F.map_from_arrays(keys, last)
@@ -78,6 +88,10 @@ def issues(*rules: Column) -> Column:
 
 def metadata_issues(m: Column) -> Column:
     """All rule violations of one comment map, in rule order."""
+    return bind(m, _metadata_issues)
+
+
+def _metadata_issues(m: Column) -> Column:
     kind = entry(m, "type")
     empty = m.isNull() | (F.size(m) == 0)
     no_type = ~empty & kind.isNull()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.metadata import bind
+
 # fixed values: look-alike letters and their Latin forms, raised and lowered characters
 LOOKALIKES = ("АВСЕНКМОРТХасеортху", "ABCEHKMOPTXaceopTxy")
 SMALL_FORMS = ("ₐₑₒₓₕₖₗₘₙₚₛₜ¹²³", "aeoxhklmnpst123")
@@ -54,11 +55,6 @@ def _rewrite(text: Column, rules) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, text)
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times in one expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _digits_for_letters(text: Column) -> Column:
     """`1O0K` to `100K`, `S6K` to `56K`, only where the result is a value."""
     def ones(t: Column) -> Column:

@@ -62,16 +62,19 @@ def suffix_max(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
     """Largest value from this row to the end of its group."""
-    base = sliced.withColumn("_v", value)
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    base = sliced.withColumns({"_v": value, "_p": F.row_number().over(inside)})
     heads = _slice_heads(base, keys, [F.max("_v").alias("_t")])
-    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    # walking backwards keeps the frame growing; a frame that ends at the group's
+    # end would be computed anew for every row
+    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = heads.select(*keys, SLICE, F.max("_t").over(later).alias("_after"))
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    local = base.withColumn("_m", F.max("_v").over(inside))
+    back = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumn("_m", F.max("_v").over(back))
     return (
         local.join(offsets, [*keys, SLICE])
         .withColumn(name, F.greatest("_m", "_after"))
-        .drop("_v", "_m", "_after")
+        .drop("_v", "_p", "_m", "_after")
     )
 
 
