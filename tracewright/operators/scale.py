@@ -203,31 +203,33 @@ def ordered_pairing(pairs: DataFrame, taste: Sequence[Column], max_rounds: int =
     return pairs.select("i", "j").limit(0) if made is None else made
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): smallest node of the connected component, for every node of `edges(a, b)`.
+def connected_components(edges: DataFrame, on: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+    """(*on, node, root): smallest node of the connected component, for every node of `edges(*on, a, b)`.
 
     Alternates two steps that hang each node's larger neighbours, then its smaller
     ones, on the smallest; paths shrink geometrically and a hub only ever needs a
-    minimum, which combines before the shuffle.
+    minimum, which combines before the shuffle. `on` names outer keys no edge crosses.
     """
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    on = list(on)
+    e = stage(edges.select(*on, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     for _ in range(max_rounds):
-        both = e.where("u <> v").select("u", "v").unionByName(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u")
-        nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e_next = stage(nxt.distinct())
-        seen = e_next.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done, mark = tuple(seen) == mark, tuple(seen)
-        if done:
+        # done when every edge hangs a node on a root: one parent each, and no parent hangs itself
+        sides = F.explode(F.array(
+            F.struct(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
+            F.struct(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent"))))
+        role = e.select(*on, sides.alias("s")).select(*on, "s.*").groupBy(*on, "n").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+        if role.where("c > 1 OR (c > 0 AND p > 0)").isEmpty():
             break
-        e = e_next
+        both = e.select(*on, F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("h")).select(*on, "h.*")
+        low = both.groupBy(*on, "u").agg(F.min("v").alias("m")).select(*on, "u", F.least("u", "m").alias("m"))
+        down = both.join(low, [*on, "u"]).where("v > u").select(*on, F.col("v").alias("u"), F.col("m").alias("v"))
+        low2 = down.groupBy(*on, "u").agg(F.min("v").alias("m"))
+        small = down.join(low2, [*on, "u"])
+        hang = F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("h")
+        e = stage(small.select(*on, hang).select(*on, "h.*").where("u <> v").distinct())
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return nodes.join(e_next.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
+    nodes = edges.select(*on, F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(e.select(*on, F.col("u").alias("node"), F.col("v").alias("root")), [*on, "node"], "left").withColumn(
         "root", F.coalesce("root", "node"))

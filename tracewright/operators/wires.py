@@ -58,9 +58,7 @@ def node_class(ends: Column, given: Column | None = None) -> Column:
 def nets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sheet_id, n, root): the numerically first node of the net a node belongs to."""
     e = simple_edges(edges).where("a <> b")
-    v = lambda c: F.struct(F.col("sheet_id"), F.col(c).alias("n"))
-    comp = scale.connected_components(e.select(v("a").alias("a"), v("b").alias("b")))
-    flat = comp.select("node.sheet_id", "node.n", F.col("root.n").alias("root"))
+    flat = scale.connected_components(e, ["sheet_id"]).withColumnRenamed("node", "n")
     return nodes.join(flat, ["sheet_id", "n"], "left").withColumn("root", F.coalesce("root", "n"))
 
 
@@ -256,9 +254,7 @@ def _angle(dx: Column, dy: Column) -> Column:
 
 def combine_colinear(segments: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each group of colinear segments as one segment between its outermost points."""
-    v = lambda c: F.struct("sheet_id", F.col(c).alias("id"))
-    comp = scale.connected_components(pairs.select(v("a").alias("a"), v("b").alias("b")))
-    tag = comp.select("node.sheet_id", "node.id", F.col("root.id").alias("root"))
+    tag = scale.connected_components(pairs, ["sheet_id"]).withColumnRenamed("node", "id")
     s = segments.join(tag, ["sheet_id", "id"])
     pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     g = s.groupBy("sheet_id", "root").agg(

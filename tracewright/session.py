@@ -27,9 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage: write `df` to the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write `df` as a table in the shared checkpoint folder and read it back.
+
+    A columnar table keeps column pruning, and its known size lets the planner
+    broadcast it only when it is small.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
