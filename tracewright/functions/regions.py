@@ -96,3 +96,57 @@ def outside_regions(boxes: DataFrame, regions: DataFrame, on: Sequence[str], ids
     area = F.greatest(F.lit(1.0), F.col("l_w") * F.col("l_h"))
     hit = spatial.overlap_join(left, right, on).where(G.overlap_area(G.box("l_"), G.box("r_")) / area >= share)
     return boxes.join(hit.select(*ids).distinct(), list(ids), "left_anti")
+
+
+def _row_spans(poly: Column, y: Column) -> Column:
+    """Closed x spans a polygon covers on the line `y`, border included.
+
+    Crossings are taken once with the lower and once with the upper end of an edge
+    left out, so corner rows are covered from either side; level edges add themselves.
+    """
+    n = F.size(poly)
+    at = lambda i, k: F.get(F.get(poly, i % n), F.lit(k))
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        at(i, 0).alias("x1"), at(i, 1).alias("y1"), at(i + 1, 0).alias("x2"), at(i + 1, 1).alias("y2")))
+
+    def crossings(lower_in: bool) -> Column:
+        def hit(e: Column) -> Column:
+            lo, hi = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+            return ((lo <= y) & (y < hi)) if lower_in else ((lo < y) & (y <= hi))
+
+        xs = F.transform(F.filter(edges, hit), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
+        return F.array_sort(xs)
+
+    def spans(xs: Column) -> Column:
+        firsts = F.filter(xs, lambda _, i: i % 2 == 0)
+        return F.transform(firsts, lambda v, i: F.struct(v.alias("a"), F.coalesce(F.get(xs, 2 * i + 1), v).alias("b")))
+
+    level = F.transform(F.filter(edges, lambda e: (e["y1"] == y) & (e["y2"] == y)),
+                        lambda e: F.struct(F.least(e["x1"], e["x2"]).alias("a"), F.greatest(e["x1"], e["x2"]).alias("b")))
+    return F.concat(spans(crossings(True)), spans(crossings(False)), level)
+
+
+def outside_polygons(boxes: DataFrame, polygons: DataFrame, on: Sequence[str], ids: Sequence[str], share: float) -> DataFrame:
+    """Boxes of which all polygons together cover less than `share` of the pixels.
+
+    `boxes(*on, *ids, x, y, w, h, width, height)`, `polygons(*on, points)`. Only the
+    lines a box shares with a polygon's extent are scanned; boxes without pixels stay.
+    """
+    x1, y1 = F.greatest(F.lit(0), to_int(F.col("x"))), F.greatest(F.lit(0), to_int(F.col("y")))
+    x2, y2 = F.least("width", to_int(F.col("x") + F.col("w"))), F.least("height", to_int(F.col("y") + F.col("h")))
+    b = boxes.select(*on, *ids, x1.alias("l_x"), y1.alias("l_y"), (x2 - x1).alias("l_w"), (y2 - y1).alias("l_h")).where("l_w > 0 AND l_h > 0")
+    px = F.transform("points", lambda p: F.get(p, F.lit(0)))
+    py = F.transform("points", lambda p: F.get(p, F.lit(1)))
+    low_x, low_y = F.floor(F.array_min(px)), F.floor(F.array_min(py))
+    p = polygons.where(F.size("points") >= 3).select(
+        *on, "points", low_x.alias("r_x"), low_y.alias("r_y"), (F.ceil(F.array_max(px)) - low_x + 1).alias("r_w"), (F.ceil(F.array_max(py)) - low_y + 1).alias("r_h"))
+    pair = spatial.overlap_join(b, p, on)
+    top, bottom = F.greatest("l_y", "r_y"), F.least(F.col("l_y") + F.col("l_h"), F.col("r_y") + F.col("r_h")) - 1
+    rows = pair.withColumn("_y", F.explode(F.sequence(top, bottom)))
+    spans = rows.withColumn("_s", F.explode(_row_spans(F.col("points"), F.col("_y"))))
+    a = F.greatest(F.ceil("_s.a"), F.col("l_x"))
+    z = F.least(F.floor("_s.b"), F.col("l_x") + F.col("l_w") - 1)
+    dots = spans.withColumns({"_a": a, "_z": z}).where("_a <= _z").select(
+        *ids, "_y", F.explode(F.sequence("_a", "_z")).alias("_x"), (F.col("l_w") * F.col("l_h")).alias("_area"))
+    covered = dots.distinct().groupBy(*ids, "_area").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") / F.col("_area") >= share)
+    return boxes.join(covered.select(*ids), list(ids), "left_anti")

@@ -236,3 +236,18 @@ def advice(first: Column, second: Column) -> Column:
         .when((first < 0.2) & (second < 0.2), "both_weak")
         .otherwise("moderate")
     )
+
+
+def mask_iou(truth: DataFrame, preds: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Best mask IoU of every truth object where its picture has predictions.
+
+    `truth(*on, gt, px, py)` and `preds(*on, pr, px, py)` hold foreground pixels.
+    """
+    keys = list(on)
+    common = truth.join(preds, [*keys, "px", "py"]).groupBy(*keys, "gt", "pr").agg(F.count(F.lit(1)).alias("i"))
+    size = lambda df, k, n: df.groupBy(*keys, k).agg(F.count(F.lit(1)).alias(n))
+    a, b = size(truth, "gt", "a"), size(preds, "pr", "b")
+    union = F.col("a") + F.col("b") - F.col("i")
+    best = common.join(a, [*keys, "gt"]).join(b, [*keys, "pr"]).groupBy(*keys, "gt").agg(F.max(F.col("i") / union).alias("iou"))
+    both = a.join(preds.select(*keys).distinct(), keys)
+    return both.join(best, [*keys, "gt"], "left").select(*keys, "gt", F.coalesce("iou", F.lit(0.0)).alias("iou"))

@@ -269,3 +269,19 @@ def _(t):
     from tracewright.functions import regions as R
 
     return R.outside_regions(t("fx_predictions"), t("fx_regions"), ["image_id"], ["model", "pred_id"], 0.3).select("model", "pred_id")
+
+
+@query("ignore_polygon_filter_j08", """WITH b AS (SELECT p.model, p.pred_id, p.image_id, greatest(0,p.x) AS x1, greatest(0,p.y) AS y1, least(i.width,p.x+p.w) AS x2, least(i.height,p.y+p.h) AS y2 FROM fx_predictions p JOIN fx_images i ON i.image_id=p.image_id),
+pr AS (SELECT b.model, b.pred_id, x1, y1, x2, y2, r.x+40 AS cx, r.y+25 AS cy FROM b JOIN fx_regions r ON r.image_id=b.image_id AND x2>x1 AND y2>y1 AND r.x<x2 AND r.x+80>=x1 AND r.y<y2 AND r.y+50>=y1),
+py AS (SELECT *, unnest(range(greatest(y1,cy-25), least(y2,cy+26))) AS y FROM pr), px AS (SELECT *, unnest(range(greatest(x1,cx-40), least(x2,cx+41))) AS x FROM py),
+hit AS (SELECT model, pred_id FROM px WHERE abs(x-cx)*50+abs(y-cy)*80<=2000 GROUP BY model, pred_id HAVING count(DISTINCT x*10000+y)/((max(x2)-max(x1))*(max(y2)-max(y1)))>=0.3)
+SELECT p.model, p.pred_id FROM fx_predictions p LEFT JOIN hit ON hit.model=p.model AND hit.pred_id=p.pred_id WHERE hit.pred_id IS NULL""")
+def _(t):
+    from tracewright.functions import regions as R
+
+    X, Y, W, H = G.box()
+    pt = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    diamond = F.array(pt(X + 40, Y), pt(X + W, Y + 25), pt(X + 40, Y + H), pt(X, Y + 25))
+    polygons = t("fx_regions").select("image_id", diamond.alias("points"))
+    boxes = t("fx_predictions").join(t("fx_images").select("image_id", "width", "height"), "image_id")
+    return R.outside_polygons(boxes, polygons, ["image_id"], ["model", "pred_id"], 0.3).select("model", "pred_id")

@@ -179,3 +179,14 @@ def _(t):
 @query("score_filter_f02", "SELECT model, pred_id, score FROM fx_predictions WHERE score >= 0.5 AND category_id = 2")
 def _(t):
     return t("fx_predictions").where("score >= 0.5 AND category_id = 2").select("model", "pred_id", "score")
+
+
+@query("mask_iou_a11", """WITH g AS (SELECT sheet_id, CAST(floor(px/50) AS BIGINT) AS gt, px, py FROM fx_pixels), p AS (SELECT sheet_id, CAST(floor((px+15)/50) AS BIGINT) AS pr, px, py FROM fx_pixels),
+a AS (SELECT sheet_id, gt, count(*) AS a FROM g GROUP BY 1,2), b AS (SELECT sheet_id, pr, count(*) AS b FROM p GROUP BY 1,2), c AS (SELECT g.sheet_id, gt, pr, count(*) AS i FROM g JOIN p ON p.sheet_id=g.sheet_id AND p.px=g.px AND p.py=g.py GROUP BY 1,2,3)
+SELECT a.sheet_id, a.gt, round(max(coalesce(i/(a.a+b.b-i),0)),6) AS iou FROM a LEFT JOIN c ON c.sheet_id=a.sheet_id AND c.gt=a.gt LEFT JOIN b ON b.sheet_id=c.sheet_id AND b.pr=c.pr GROUP BY 1,2""")
+def _(t):
+    px = t("fx_pixels")
+    g = px.withColumn("gt", F.floor(F.col("px") / 50))
+    p = px.withColumn("pr", F.floor((F.col("px") + 15) / 50))
+    m = E.mask_iou(g, p, ["sheet_id"])
+    return m.select("sheet_id", "gt", _r("iou", "iou"))
