@@ -137,3 +137,21 @@ def test_reference_numbering_keeps_given_names(spark):
     assert got == {1: "R1", 2: "R9", 3: "R2", 4: "X1"}
     line = spark.range(1).select(wires.component_line(F.lit("R1"), F.array(F.lit("N001"), F.lit("0")), F.lit("4.7K")).alias("l")).first().l
     assert line == "R1 N001 0 4.7K"
+
+
+def test_cycle_basis_closes_every_outside_edge(spark):
+    rnd = random.Random(8)
+    e = [(s, rnd.randrange(9), rnd.randrange(9)) for s in range(4) for _ in range(13)]
+    nodes = spark.createDataFrame([(s, n) for s in range(4) for n in range(9)], "sheet_id long, n long")
+    edges = spark.createDataFrame(e, "sheet_id long, source long, target long")
+    members = wires.nets(nodes, edges)
+    rank = {r.sheet_id: r.cycles for r in wires.cycle_rank(members, edges).collect()}
+    cycles = {}
+    for r in wires.cycle_basis(members, edges).collect():
+        cycles.setdefault((r.sheet_id, r.a, r.b), set()).add(r.n)
+    pairs = {(s, min(a, b), max(a, b)) for s, a, b in e}
+    assert {s: sum(1 for k in cycles if k[0] == s) for s in range(4)} == rank
+    for (s, a, b), c in cycles.items():
+        assert (s, a, b) in pairs and {a, b} <= c
+        # inside the cycle every node has two ways on, except in a loop on one node
+        assert len(c) == 1 or all(sum((s, min(n, m), max(n, m)) in pairs for m in c if m != n) >= 2 for n in c)

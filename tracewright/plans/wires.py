@@ -355,3 +355,8 @@ def _(t):
     n = t("fx_pins").groupBy("deck_id", "comp").agg(F.min("kind").alias("kind"), F.collect_list("pin").alias("pins")).select("deck_id", "comp", body.alias("body"))
     p = n.withColumn("p", F.from_json("body", "kind string, nodes array<string>")).select("deck_id", "comp", "p.*")
     return Q.issue_rows(p, ["deck_id", "comp"], W.payload_issues()).select("deck_id", "comp", "code")
+
+
+@query("cycle_listing_g04")
+def _(t):
+    return W.cycle_basis(W.nets(_nodes(t), _edges(t)), _edges(t))
