@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > size:
