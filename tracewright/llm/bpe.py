@@ -18,26 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm.chunks import ChunkStore, PIECES
+from tracewright.llm.chunks import PIECES, ChunkStore, byte_letters
 from tracewright.llm.common import column, record, steps, whole_text
 
 #: Pieces of up to this many bytes are merged together.
 SHORT = 64
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in the vocabulary file.
-
-    Printable Latin-1 bytes stand for themselves, the others for the code points from 256 on.
-    """
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, spare = [], 256
-    for b in range(256):
-        out.append(chr(b if b in shown else spare))
-        spare += b not in shown
-    return out
-
-
 class Vocabulary:
     """Ids, ranks and special tokens of a byte-level vocabulary file."""
 

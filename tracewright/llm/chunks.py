@@ -7,16 +7,35 @@ Natural text repeats its words: each distinct chunk is encoded once and kept.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 from tracewright.llm.common import STEP_BYTES
 
 # fixed value: the split pattern of the public byte-level vocabulary
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _CUT = re.compile(r" (?=\S)")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabulary files.
+
+    Printable Latin-1 bytes stand for themselves, the others for the code points from 256 on.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in shown else spare))
+        spare += b not in shown
+    return out
+
+
 #: Chunks kept in each of two generations, and the longest chunk kept.
 KEPT, LONGEST = 250_000, 64
 
@@ -74,3 +93,74 @@ class ChunkStore:
         if len(known) > self.kept:
             self.old, self.now = known, {}
         return out
+
+
+class LibraryEncoder:
+    """Ids of the tokenizers library, which merges each distinct piece once.
+
+    Known layouts of vocabulary files are cut into pieces here; any other file
+    goes through the library text by text.
+    """
+
+    def __init__(self, path: str, width: str = "<u4"):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+        self.width = width
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        first = spec["pre_tokenizer"]
+        if spec["normalizer"] is None and first["type"] == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]:
+            self.pieces, self.space, self.normal = PIECES, True, None
+        elif first["type"] == "Sequence" and first["pretokenizers"][0]["type"] == "Split" and first["pretokenizers"][0]["behavior"] == "Removed":
+            self.pieces, self.space, self.normal = regex.compile(first["pretokenizers"][0]["pattern"]["Regex"]), False, self.tok.normalizer
+        else:
+            self.pieces = None
+        self.letters = byte_letters()
+        self.store = ChunkStore(self._chunks)
+
+    def _piece(self, piece: str) -> bytes:
+        named = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(self.letters.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.tok.model.tokenize(named)], dtype=self.width).tobytes()
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        ids: dict[str, bytes] = {}
+        out = []
+        for c in chunks:
+            word = c[1:] if c[:1] == " " else c
+            if self.normal is not None:
+                word = word.lower() if word.isascii() else self.normal.normalize_str(word)
+            lead = " " if self.space and c[:1] == " " else ""
+            if word.isalpha():
+                found = [lead + word]
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                found = [lead + word[:-1], word[-1]]
+            else:
+                found = self.pieces.findall(lead + word)
+            for p in found:
+                if p not in ids:
+                    ids[p] = self._piece(p)
+            out.append(ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found]))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        if self.pieces is None:
+            return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        plain, where = [], []
+        for t in texts:
+            parts = self.split_special.split(t) if self.special and any(s in t for s in self.special) else [t]
+            where.append((len(plain), parts))
+            plain += parts[::2]
+        ids, size = self.store.encode(plain), np.dtype(self.width).itemsize
+        return [
+            ids[at] if len(parts) == 1 else b"".join(
+                ids[at + k // 2] if k % 2 == 0 else self.special[p].to_bytes(size, "little") for k, p in enumerate(parts))
+            for at, parts in where]
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str, width: str = "<u4") -> LibraryEncoder:
+    return LibraryEncoder(path, width)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe
+from tracewright.llm import bpe, repetition, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,5 +21,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bpe,)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bpe, op7_quality_rules, op10_token_file)}
 CHECKS: dict[str, str] = {}
