@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, packing, repetition, token_counts, token_files
+from tracewright.llm import bpe, chat, dart_minhash, packing, repetition, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(_read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
@@ -47,5 +51,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op5_bpe, op7_quality_rules, op9_packing, op10_token_file)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op5_bpe, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file)}
 CHECKS: dict[str, str] = {}
