@@ -31,10 +31,11 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
         lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
+            n = n or 1  # null
             if held and held + n > size:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += n or 1
+            held += n
         yield batch.slice(start)
 
 

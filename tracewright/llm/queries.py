@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, dart_minhash, packing, piecewise, repetition, token_counts, token_files
+from tracewright.llm import bpe, chat, dart_minhash, line_runs, packing, piecewise, repetition, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_turns(chat.format_conversations(turns))
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.deleted_lines(_read(spark, sf_dir, "documents"))
+
+
 def op4_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compare_documents(_read(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op4_piecewise_hashing, op5_bpe, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file)}
-CHECKS: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file)}
+CHECKS: dict[str, str] = {"op3_line_runs": line_runs.CHECK}
