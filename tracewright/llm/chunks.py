@@ -21,6 +21,7 @@ from tracewright.llm.common import STEP_BYTES
 # fixed value: the split pattern of the public byte-level vocabulary
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _CUT = re.compile(r" (?=\S)")
+_ODD = re.compile(r" (?:\s|\Z)")
 
 
 def byte_letters() -> list[str]:
@@ -37,7 +38,7 @@ def byte_letters() -> list[str]:
 
 
 #: Chunks kept in each of two generations, and the longest chunk kept.
-KEPT, LONGEST = 250_000, 64
+KEPT, LONGEST = 500_000, 64
 
 
 class ChunkStore:
@@ -51,10 +52,7 @@ class ChunkStore:
     @staticmethod
     def cut(text: str) -> list[str]:
         """First part, then the parts that followed a space, without it."""
-        parts = text.split(" ")
-        if "  " in text or any(p[:1].isspace() or not p for p in parts[1:]):
-            return _CUT.split(text)
-        return parts
+        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -108,7 +106,7 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.width = width
+        self.width, self.size = width, np.dtype(width).itemsize
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         first = spec["pre_tokenizer"]
@@ -120,29 +118,38 @@ class LibraryEncoder:
             self.pieces = None
         self.letters = byte_letters()
         self.store = ChunkStore(self._chunks)
+        self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        named = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(self.letters.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.tok.model.tokenize(named)], dtype=self.width).tobytes()
+        if piece.isascii() and piece.isprintable():
+            named = piece.replace(" ", self.letters[32])
+        else:
+            named = "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join([t.id.to_bytes(self.size, "little") for t in self.tok.model.tokenize(named)])
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        ids: dict[str, bytes] = {}
-        out = []
+        ids, out = self.known, []
         for c in chunks:
-            word = c[1:] if c[:1] == " " else c
-            if self.normal is not None:
-                word = word.lower() if word.isascii() else self.normal.normalize_str(word)
-            lead = " " if self.space and c[:1] == " " else ""
+            if not self.space:
+                c = c.removeprefix(" ")
+                c = c.lower() if c.isascii() else self.normal.normalize_str(c)
+            word = c.removeprefix(" ") if self.space else c
             if word.isalpha():
-                found = [lead + word]
+                found = (c,)
             elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-                found = [lead + word[:-1], word[-1]]
+                found = (c[:-1], c[-1])
             else:
-                found = self.pieces.findall(lead + word)
+                found = self.pieces.findall(c)
+            own = b""
             for p in found:
-                if p not in ids:
-                    ids[p] = self._piece(p)
-            out.append(ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found]))
+                if (part := ids.get(p)) is None:
+                    part = self._piece(p)
+                    if len(p) <= LONGEST:
+                        ids[p] = part
+                own += part
+            out.append(own)
+        if len(ids) > KEPT // 2:
+            ids.clear()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -154,7 +161,7 @@ class LibraryEncoder:
             parts = self.split_special.split(t) if self.special and any(s in t for s in self.special) else [t]
             where.append((len(plain), parts))
             plain += parts[::2]
-        ids, size = self.store.encode(plain), np.dtype(self.width).itemsize
+        ids, size = self.store.encode(plain), self.size
         return [
             ids[at] if len(parts) == 1 else b"".join(
                 ids[at + k // 2] if k % 2 == 0 else self.special[p].to_bytes(size, "little") for k, p in enumerate(parts))

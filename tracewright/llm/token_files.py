@@ -129,23 +129,18 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_by
     """
     spark = docs.sparkSession
     width, end = f"<u{id_bytes}", end_id.to_bytes(id_bytes, "little")
-    coded = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
     parts = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
-    def encode(batches):
-        enc = library_encoder(vocabulary, width)
-        for b in steps(batches):
-            yield record(coded, doc_id=column(b, "doc_id"), key=column(b, "key"), ids=[x + end for x in enc.encode(column(b, "text").to_pylist())])
-
     def segments(batches):
-        part, number, held = TaskContext.get().partitionId(), 0, 0
+        part, number, held, enc = TaskContext.get().partitionId(), 0, 0, library_encoder(vocabulary, width)
         names, ids = [], []
 
         def close():
             return record(parts, part=[part], segment=[number], n_docs=[len(names)], n_tokens=[held // id_bytes], payload=[pack_segment(names, ids, id_bytes)])
 
-        for b in batches:
-            for d, x in zip(column(b, "doc_id").to_pylist(), column(b, "ids").to_pylist()):
+        for b in steps(batches):
+            for d, x in zip(column(b, "doc_id").to_pylist(), enc.encode(column(b, "text").to_pylist())):
+                x += end
                 if held and held + len(x) > SEGMENT:
                     yield close()
                     number, held, names, ids = number + 1, 0, [], []
@@ -157,10 +152,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_by
 
     source = whole_text(docs, "doc_id").select("doc_id", row_key("text").alias("key"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
-    ids = source.mapInArrow(encode, "doc_id long, key long, ids binary")
-    # the key cuts an id that very many rows share
-    ordered = ids.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(segments, "part int, segment int, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    # the key cuts an id that very many rows share; texts are ordered before they are
+    # encoded, as the sample for the ranges would encode them all once more
+    ordered = source.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(segments, "part int, segment int, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
