@@ -116,17 +116,19 @@ def class_mean_ap(ap: DataFrame) -> DataFrame:
 
 
 def free_box_matches(preds: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
-    """One-to-one matches where each prediction, in score order, takes its best free box."""
+    """(model, pred_id, ann_id): one-to-one matches where each prediction of a model, in score order, takes its best free box."""
     on = ["image_id", "category_id"]
     shapes = shape_pairs(preds, truth, on, min_iou)
     l_cols, r_cols = ["l_" + c for c in SHAPE], ["r_" + c for c in SHAPE]
     pairs = (
         shapes.join(_prefixed(preds, "l_", SHAPE), [*on, *l_cols])
         .join(_prefixed(truth.select("ann_id", *on, *SHAPE), "r_", SHAPE), [*on, *r_cols])
-        .select("pred_id", "ann_id", "iou", "score", "image_id")
+        .select(F.struct("model", "pred_id").alias("pred"), F.struct("model", "ann_id").alias("box"), "iou", "score", "image_id")
     )
-    rank = [(-F.col("score")).alias("s"), F.col("image_id"), F.col("pred_id").alias("p")]
-    return scale.priority_matching(pairs, "pred_id", "ann_id", rank, [(-F.col("iou")).alias("i")])
+    # every model has the boxes to itself
+    rank = [(-F.col("score")).alias("s"), F.col("image_id"), F.col("pred.pred_id").alias("p")]
+    got = scale.priority_matching(pairs, "pred", "box", rank, [(-F.col("iou")).alias("i")])
+    return got.select("pred.model", "pred.pred_id", "box.ann_id")
 
 
 def threshold_index(score: Column, steps: int = 100) -> Column:
@@ -137,21 +139,24 @@ def threshold_index(score: Column, steps: int = 100) -> Column:
 
 
 def threshold_curve(preds: DataFrame, truth: DataFrame, min_iou: float = 0.5, steps: int = 100) -> DataFrame:
-    """Precision, recall and F1 per class at `steps + 1` score thresholds.
+    """Precision, recall and F1 per model and class at `steps + 1` score thresholds.
 
     The matching of all predictions, cut at a score, is the matching of that
     prefix, so one run serves every threshold; counts per threshold bin are tiny.
     """
-    hit = free_box_matches(preds, truth, min_iou).select("pred_id", F.lit(1).alias("hit"))
+    hit = free_box_matches(preds, truth, min_iou).select("model", "pred_id", F.lit(1).alias("hit"))
     bins = (
-        preds.join(hit, "pred_id", "left")
-        .groupBy("category_id", threshold_index(F.col("score"), steps).alias("k"))
+        preds.join(hit, ["model", "pred_id"], "left")
+        .groupBy("model", "category_id", threshold_index(F.col("score"), steps).alias("k"))
         .agg(F.count("hit").alias("tp"), F.count(F.lit(1)).alias("n"))
     )
-    grid = truth_counts(truth).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<bigint>")))
-    down = Window.partitionBy("category_id").orderBy(F.col("k").desc())  # steps + 1 rows per class
+    # a class counts for every model, also for one that never names it
+    models = [F.lit(r.model) for r in preds.select("model").distinct().collect()]
+    every = truth_counts(truth).withColumn("model", F.explode(F.array(*models).cast("array<string>")))
+    grid = every.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<bigint>")))
+    down = Window.partitionBy("model", "category_id").orderBy(F.col("k").desc())  # steps + 1 rows per class
     cum = (
-        grid.join(bins, ["category_id", "k"], "left")
+        grid.join(bins, ["model", "category_id", "k"], "left")
         .withColumn("tp", F.sum(F.coalesce("tp", F.lit(0))).over(down))
         .withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(down))
     )
@@ -170,14 +175,14 @@ def best_thresholds(curve: DataFrame, min_recall: float) -> DataFrame:
     floor = F.col("recall") >= min_recall
     row = F.struct("k", "precision", "recall", "f1")
     return (
-        curve.groupBy("category_id")
+        curve.groupBy("model", "category_id")
         .agg(
             F.min_by(row, F.struct(-F.col("f1"), k)).alias("b"),
             F.min_by(F.when(floor, row), F.when(floor, F.struct(-F.col("precision"), k))).alias("p"),
         )
         .withColumn("p", F.coalesce("p", "b"))
         .select(
-            "category_id",
+            "model", "category_id",
             F.col("b.k").alias("best_k"), F.col("b.f1").alias("best_f1"),
             F.col("p.k").alias("prec_k"), F.col("p.precision").alias("prec_at"), F.col("p.recall").alias("rec_at"),
         )

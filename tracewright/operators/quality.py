@@ -22,7 +22,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     sliced = scale.slice_by_order(counts, keys, [F.col("_v")])
     run = scale.running(sliced, keys, [F.col("_v")], {"_end": F.col("_c")})
     totals = sliced.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    rows = run.join(totals, list(keys)) if keys else run.withColumn("_n", F.lit(totals.first()["_n"]))
+    rows = scale.beside(run, totals, keys) if keys else run.withColumn("_n", F.lit(totals.first()["_n"]))
     start = F.col("_end") - F.col("_c")
     aggs = []
     for name, p in probs.items():

@@ -35,6 +35,15 @@ def _slice_heads(sliced: DataFrame, keys: Sequence[str], aggs: list[Column]) ->
     return sliced.groupBy(*keys, SLICE).agg(*aggs)
 
 
+def beside(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on `keys` in which a null key is a group like any other."""
+    named = facts.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(keys)], *[c for c in facts.columns if c not in keys])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & rows[c].eqNullSafe(named[f"_on{i}"])
+    return rows.join(named, same).drop(*[f"_on{i}" for i in range(len(keys))])
+
+
 def running(
     sliced: DataFrame,
     keys: Sequence[str],
@@ -52,7 +61,7 @@ def running(
     )
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({n: F.sum(tmp[n]).over(inside) for n in values}).drop(*tmp.values())
-    joined = local.join(offsets, [*keys, SLICE])
+    joined = beside(local, offsets, [*keys, SLICE])
     return joined.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in values}).drop(
         *[f"_b_{n}" for n in values]
     )
@@ -72,7 +81,7 @@ def suffix_max(
     back = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("_m", F.max("_v").over(back))
     return (
-        local.join(offsets, [*keys, SLICE])
+        beside(local, offsets, [*keys, SLICE])
         .withColumn(name, F.greatest("_m", "_after"))
         .drop("_v", "_p", "_m", "_after")
     )
@@ -102,39 +111,47 @@ def renumber(df: DataFrame, order: Sequence[Column], name: str, start: int = 1)
     return out if start == 1 else out.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
-def greedy_independent(
-    nodes: DataFrame, conflicts: DataFrame, node: str, max_rounds: int = 200
-) -> DataFrame:
+def greedy_independent(nodes: DataFrame, conflicts: DataFrame, node: str) -> DataFrame:
     """Keep the nodes an in-order "take unless it conflicts with a taken one" loop keeps.
 
-    `conflicts` holds (earlier, later) node pairs. A round keeps every undecided
-    node with no undecided earlier rival and drops the rivals of kept ones, so
-    the number of rounds is the longest chain of decisions, not the row count.
+    `conflicts` holds (earlier, later) node pairs. A round decides every node without
+    an undecided earlier rival, and every node that hangs on such a one through nodes
+    with a single earlier rival: along such a ladder each second node is kept. So a
+    ladder of any length takes one round; every round decides something.
     """
-    pairs = stage(conflicts.select("earlier", "later"))
+    pairs = stage(conflicts.select("earlier", "later").distinct())
     dropped = None
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
-            break
-        blocked = pairs.select(F.col("later").alias(node)).distinct()
-        free = pairs.select(F.col("earlier").alias(node)).distinct().join(blocked, node, "left_anti")
-        lost = pairs.join(free, pairs["earlier"] == free[node], "left_semi").select(F.col("later").alias(node))
-        lost = stage(lost.distinct())
+    while not pairs.isEmpty():
+        decided = stage(_ladder(pairs, node))
+        kept, out = decided.where("kept").select(node), decided.where("NOT kept").select(node)
+        rivals = pairs.join(kept, pairs["earlier"] == kept[node], "left_semi").select(F.col("later").alias(node))
+        lost = stage(rivals.unionByName(out).distinct())
         dropped = lost if dropped is None else dropped.unionByName(lost)
-        # pairs whose earlier end is settled, or whose later end is lost, carry no more news
+        # a pair whose earlier end is decided, or whose later end is lost, carries no more news
+        gone = lost.unionByName(kept).distinct()
         pairs = stage(
-            pairs.join(lost.select(F.col(node).alias("later")), "later", "left_anti")
-            .join(lost.select(F.col(node).alias("earlier")), "earlier", "left_anti")
-            .join(free.select(F.col(node).alias("earlier")), "earlier", "left_anti")
-        )
-    else:
-        raise RuntimeError("greedy selection did not settle; raise max_rounds")
+            pairs.join(lost.select(F.col(node).alias("later")), "later", "left_anti").join(gone.select(F.col(node).alias("earlier")), "earlier", "left_anti"))
     return nodes if dropped is None else nodes.join(dropped.distinct(), node, "left_anti")
 
 
+def _ladder(pairs: DataFrame, node: str) -> DataFrame:
+    """(node, kept) of free nodes and of the ladders that hang on them, by pointer jumping."""
+    rivals = pairs.groupBy("later").agg(F.count(F.lit(1)).alias("n"), F.min("earlier").alias("up"))
+    free = pairs.select(F.col("earlier").alias(node)).distinct().join(rivals.select(F.col("later").alias(node)), node, "left_anti")
+    steps = stage(rivals.where("n = 1").select(F.col("later").alias("x"), "up", F.lit(1).alias("far")))
+    while True:
+        beyond = steps.select(F.col("x").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        longer = stage(steps.join(beyond, "up", "left").select(
+            "x", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("moved")))
+        steps = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    hung = steps.join(free.withColumnRenamed(node, "up"), "up", "left_semi").select(F.col("x").alias(node), (F.col("far") % 2 == 0).alias("kept"))
+    return free.withColumn("kept", F.lit(True)).unionByName(hung)
+
+
 def priority_matching(
     pairs: DataFrame, seeker: str, target: str, seeker_rank: Sequence[Column], taste: Sequence[Column],
-    max_rounds: int = 200,
 ) -> DataFrame:
     """Seekers choose in rank order their best still free target.
 
@@ -147,7 +164,7 @@ def priority_matching(
     pairs = stage(
         pairs.select(F.col(seeker).alias("s"), F.col(target).alias("t"), rank.alias("r"), F.struct(*taste).alias("f"))
     )
-    for _ in range(max_rounds):
+    while True:  # every round refuses a pair or ends
         asks = pairs.groupBy("s").agg(F.min_by(F.struct("t", "r"), F.struct("f", "t")).alias("p")).select("s", "p.t", "p.r")
         held = asks.groupBy("t").agg(F.min_by("s", "r").alias("held"), F.count(F.lit(1)).alias("n"))
         refused = asks.join(held.where("n > 1"), "t").where("s <> held").select("s", "t")
@@ -155,7 +172,6 @@ def priority_matching(
         if refused.isEmpty():
             return held.select(F.col("held").alias(seeker), F.col("t").alias(target))
         pairs = stage(pairs.join(refused, ["s", "t"], "left_anti"))
-    raise RuntimeError("matching did not settle; raise max_rounds")
 
 
 def previous(
@@ -171,13 +187,13 @@ def previous(
     heads = tails.select(*keys, SLICE, F.lag("_tail").over(before).alias("_prior"))
     local = sliced.withColumns({"_lag": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
     return (
-        local.join(heads, [*keys, SLICE])
+        beside(local, heads, [*keys, SLICE])
         .withColumn(name, F.when(F.col("_first"), F.col("_prior")).otherwise(F.col("_lag")))
         .drop("_lag", "_first", "_prior")
     )
 
 
-def ordered_pairing(pairs: DataFrame, taste: Sequence[Column], max_rounds: int = 200) -> DataFrame:
+def ordered_pairing(pairs: DataFrame, taste: Sequence[Column]) -> DataFrame:
     """Pairs an in-order loop makes when seekers and targets may be the same tokens.
 
     `pairs(i, j)`: seeker i, in ascending order, takes its best still unused j and
@@ -186,9 +202,7 @@ def ordered_pairing(pairs: DataFrame, taste: Sequence[Column], max_rounds: int =
     """
     left = stage(pairs.select("i", "j", F.struct(*taste).alias("f")))
     made = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # the first seeker of all is ready in every round
         touch = left.select("i", F.col("j").alias("n")).unionByName(left.select("i", F.col("i").alias("n"))).distinct()
         first = touch.groupBy("n").agg(F.min("i").alias("m"))
         waits = touch.join(first, "n").where("i <> m").select("i").distinct()
@@ -198,12 +212,10 @@ def ordered_pairing(pairs: DataFrame, taste: Sequence[Column], max_rounds: int =
         used = picks.select(F.explode(F.array("i", "j")).alias("n"))
         left = stage(
             left.join(used.withColumnRenamed("n", "i"), "i", "left_anti").join(used.withColumnRenamed("n", "j"), "j", "left_anti"))
-    else:
-        raise RuntimeError("pairing did not settle; raise max_rounds")
     return pairs.select("i", "j").limit(0) if made is None else made
 
 
-def connected_components(edges: DataFrame, on: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """(*on, node, root): smallest node of the connected component, for every node of `edges(*on, a, b)`.
 
     Alternates two steps that hang each node's larger neighbours, then its smaller
@@ -213,7 +225,7 @@ def connected_components(edges: DataFrame, on: Sequence[str] = (), max_rounds: i
     on = list(on)
     e = stage(edges.select(*on, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-    for _ in range(max_rounds):
+    while True:
         # done when every edge hangs a node on a root: one parent each, and no parent hangs itself
         sides = F.explode(F.array(
             F.struct(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
@@ -228,8 +240,6 @@ def connected_components(edges: DataFrame, on: Sequence[str] = (), max_rounds: i
         small = down.join(low2, [*on, "u"])
         hang = F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("h")
         e = stage(small.select(*on, hang).select(*on, "h.*").where("u <> v").distinct())
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     nodes = edges.select(*on, F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(e.select(*on, F.col("u").alias("node"), F.col("v").alias("root")), [*on, "node"], "left").withColumn(
         "root", F.coalesce("root", "node"))

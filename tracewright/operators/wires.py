@@ -454,22 +454,26 @@ def segments_from_json(rows: DataFrame, text: str) -> DataFrame:
         "angle_deg": F.coalesce("s.angle_deg", F.lit(0.0))}).drop("s")
 
 
-def spanning_forest(members: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(sheet_id, n, parent, depth): breadth-first tree of every net from its first node."""
+def spanning_forest(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sheet_id, n, parent, depth): breadth-first tree of every net from its first node.
+
+    What a front reaches lies in the front before, in itself, or is new, so no round
+    looks at more than two fronts.
+    """
     adj = stage(adjacency(edges).where("n <> neighbour"))
     front = stage(members.where("n = root").select("sheet_id", "n", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth")))
-    seen = front
-    for _ in range(max_rounds):
+    seen, before = front, None
+    while True:
         reached = front.select("sheet_id", "n", "depth").join(adj, ["sheet_id", "n"]).groupBy("sheet_id", F.col("neighbour").alias("n")).agg(
             F.min(F.col("n")).alias("parent"), (F.min("depth") + 1).alias("depth"))
-        front = stage(reached.join(seen.select("sheet_id", "n"), ["sheet_id", "n"], "left_anti"))
+        known = front if before is None else front.unionByName(before)
+        before, front = front, stage(reached.join(known.select("sheet_id", "n"), ["sheet_id", "n"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    raise RuntimeError("search did not end; raise max_rounds")
 
 
-def cycle_basis(members: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cycle_basis(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(sheet_id, a, b, n): the nodes of one cycle per edge (a, b) outside the spanning forest.
 
     A basis is not unique; this one closes each outside edge over the tree. Both ends
@@ -482,7 +486,7 @@ def cycle_basis(members: DataFrame, edges: DataFrame, max_rounds: int = 1000) ->
     up = lambda p: tree.select("sheet_id", F.col("n").alias(p), F.col("parent").alias(f"{p}_up"), F.col("depth").alias(f"{p}_d"))
     walk = stage(outside.withColumns({"x": F.col("a"), "y": F.col("b")}))
     found = walk.select("sheet_id", "a", "b", F.explode(F.array("x", "y")).alias("n"))
-    for _ in range(max_rounds):
+    while True:
         open_ = walk.where("x <> y")
         if open_.isEmpty():
             return found.distinct()
@@ -491,4 +495,3 @@ def cycle_basis(members: DataFrame, edges: DataFrame, max_rounds: int = 1000) ->
             "sheet_id", "a", "b", F.when(F.col("x_d") >= F.col("y_d"), F.col("x_up")).otherwise(F.col("x")).alias("x"),
             F.when(F.col("y_d") >= F.col("x_d"), F.col("y_up")).otherwise(F.col("y")).alias("y")))
         found = found.unionByName(walk.select("sheet_id", "a", "b", F.explode(F.array("x", "y")).alias("n")))
-    raise RuntimeError("cycle walk did not end; raise max_rounds")

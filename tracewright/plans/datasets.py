@@ -76,7 +76,7 @@ def _(t):
 
 
 @query("split_synthetic_to_train_w12_f03", f"""SELECT image_id, 'train' AS split FROM fx_images WHERE NOT file_name LIKE 'scan%' UNION ALL
-SELECT image_id, CASE WHEN k<=floor(n*0.2e0) THEN 'val' WHEN k<=floor(n*0.2e0)+floor(n*0.1e0) THEN 'test' ELSE 'train' END FROM (SELECT image_id, {_RANK} AS k, count(*) OVER () AS n FROM fx_images WHERE file_name LIKE 'scan%') q""")
+SELECT image_id, CASE WHEN k<=floor(n*0.2e0) THEN 'val' WHEN k<=floor(n*0.2e0)+floor(n*0.1e0) THEN 'test' ELSE 'train' END FROM (SELECT image_id, {_RANK} AS k, count(*) OVER () AS n FROM fx_images WHERE file_name NOT LIKE 'synthetic%') q""")
 def _(t):
     name = F.col("file_name")
     made = name.startswith("synthetic_") | name.startswith("schematic_")
@@ -131,12 +131,12 @@ def _(t):
 
 
 @query("training_mix_u07", """SELECT image_id, 'train' AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('1:', CAST(image_id AS VARCHAR))), image_id) AS k FROM fx_images WHERE file_name LIKE 'synthetic%') q WHERE k<=100
-UNION ALL SELECT image_id, CASE WHEN k<=floor(n*0.8e0) THEN 'train' ELSE 'test' END FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('2:', CAST(image_id AS VARCHAR))), image_id) AS k, count(*) OVER () AS n FROM fx_images WHERE file_name LIKE 'scan%') q""")
+UNION ALL SELECT image_id, CASE WHEN k<=floor(n*0.8e0) THEN 'train' ELSE 'test' END FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('2:', CAST(image_id AS VARCHAR))), image_id) AS k, count(*) OVER () AS n FROM fx_images WHERE file_name NOT LIKE 'synthetic%') q""")
 def _(t):
     im = t("fx_images")
     made = im.where(F.col("file_name").startswith("synthetic")).withColumn("o", D.shuffled("image_id", 1))
     sample = D.first_n(made, [F.col("o"), F.col("image_id")], 100).select("image_id", F.lit("train").alias("split"))
-    real = D.split_by_ratio(im.where(F.col("file_name").startswith("scan")).select("image_id"), "image_id", 2, [("train", 0.8)], "test")
+    real = D.split_by_ratio(im.where(~F.col("file_name").startswith("synthetic")).select("image_id"), "image_id", 2, [("train", 0.8)], "test")
     return sample.unionByName(real)
 
 

@@ -85,44 +85,40 @@ def _(t):
 
 
 _GREEDY = f"""{_PAIRS},
-cand AS (SELECT pred_id, list(ann_id ORDER BY iou DESC, ann_id) AS c FROM pairs WHERE model='a' AND iou >= 0.5 GROUP BY 1),
-p AS (SELECT x.pred_id, x.image_id, x.category_id, x.score, coalesce(cand.c, []) AS c, row_number() OVER (PARTITION BY x.image_id, x.category_id ORDER BY x.score DESC, x.pred_id) AS k
-  FROM fx_predictions x LEFT JOIN cand ON cand.pred_id=x.pred_id WHERE x.model='a'),
-step AS (SELECT DISTINCT image_id, category_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS pred_id, CAST(NULL AS BIGINT) AS ann_id FROM p
-  UNION ALL SELECT s.image_id, s.category_id, p.k, CASE WHEN len(list_filter(p.c, lambda z: NOT list_contains(s.taken, z)))=0 THEN s.taken ELSE list_append(s.taken, list_filter(p.c, lambda z: NOT list_contains(s.taken, z))[1]) END,
-  p.pred_id, list_filter(p.c, lambda z: NOT list_contains(s.taken, z))[1] FROM step s JOIN p ON p.image_id=s.image_id AND p.category_id=s.category_id AND p.k=s.k+1)"""
+cand AS (SELECT model, pred_id, list(ann_id ORDER BY iou DESC, ann_id) AS c FROM pairs WHERE iou >= 0.5 GROUP BY 1,2),
+p AS (SELECT x.model, x.pred_id, x.image_id, x.category_id, x.score, coalesce(cand.c, []) AS c, row_number() OVER (PARTITION BY x.model, x.image_id, x.category_id ORDER BY x.score DESC, x.pred_id) AS k
+  FROM fx_predictions x LEFT JOIN cand ON cand.model=x.model AND cand.pred_id=x.pred_id),
+step AS (SELECT DISTINCT model, image_id, category_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS pred_id, CAST(NULL AS BIGINT) AS ann_id FROM p
+  UNION ALL SELECT s.model, s.image_id, s.category_id, p.k, CASE WHEN len(list_filter(p.c, lambda z: NOT list_contains(s.taken, z)))=0 THEN s.taken ELSE list_append(s.taken, list_filter(p.c, lambda z: NOT list_contains(s.taken, z))[1]) END,
+  p.pred_id, list_filter(p.c, lambda z: NOT list_contains(s.taken, z))[1] FROM step s JOIN p ON p.model=s.model AND p.image_id=s.image_id AND p.category_id=s.category_id AND p.k=s.k+1)"""
 _CURVE = f"""{_GREEDY},
-hit AS (SELECT pred_id FROM step WHERE ann_id IS NOT NULL),
+hit AS (SELECT model, pred_id FROM step WHERE ann_id IS NOT NULL),
 th AS (SELECT k, CAST(k AS DOUBLE)*CAST(0.01 AS DOUBLE) AS thr FROM range(0,101) t(k)),
-npos AS (SELECT category_id, count(*) AS npos FROM fx_annotations GROUP BY 1),
-cnt AS (SELECT p.category_id, th.k, count(*) AS n, count(hit.pred_id) AS tp FROM fx_predictions p LEFT JOIN hit ON hit.pred_id=p.pred_id JOIN th ON p.score >= th.thr WHERE p.model='a' GROUP BY 1,2),
+npos AS (SELECT model, category_id, npos FROM (SELECT category_id, count(*) AS npos FROM fx_annotations GROUP BY 1) a, (SELECT DISTINCT model FROM fx_predictions) m),
+cnt AS (SELECT p.model, p.category_id, th.k, count(*) AS n, count(hit.pred_id) AS tp FROM fx_predictions p LEFT JOIN hit ON hit.model=p.model AND hit.pred_id=p.pred_id JOIN th ON p.score >= th.thr GROUP BY 1,2,3),
 curve AS (SELECT *, CASE WHEN precision+recall>0 THEN 2*precision*recall/(precision+recall) ELSE 0 END AS f1 FROM (
-  SELECT npos.category_id, th.k, npos.npos, coalesce(cnt.tp,0) AS tp, coalesce(cnt.n,0) AS n, CASE WHEN cnt.n>0 THEN cnt.tp/cnt.n ELSE 0 END AS precision, coalesce(cnt.tp,0)/npos.npos AS recall
-  FROM npos CROSS JOIN th LEFT JOIN cnt ON cnt.category_id=npos.category_id AND cnt.k=th.k) q)"""
-
-
-def _model_a(t):
-    return t("fx_predictions").where("model = 'a'")
+  SELECT npos.model, npos.category_id, th.k, npos.npos, coalesce(cnt.tp,0) AS tp, coalesce(cnt.n,0) AS n, CASE WHEN cnt.n>0 THEN cnt.tp/cnt.n ELSE 0 END AS precision, coalesce(cnt.tp,0)/npos.npos AS recall
+  FROM npos CROSS JOIN th LEFT JOIN cnt ON cnt.model=npos.model AND cnt.category_id=npos.category_id AND cnt.k=th.k) q)"""
 
 
-@query("free_box_matches_g08", f"WITH RECURSIVE {_GREEDY} SELECT pred_id, ann_id FROM step WHERE ann_id IS NOT NULL")
+@query("free_box_matches_g08", f"WITH RECURSIVE {_GREEDY} SELECT model, pred_id, ann_id FROM step WHERE ann_id IS NOT NULL")
 def _(t):
-    return E.free_box_matches(_model_a(t), t("fx_annotations"), 0.5)
+    return E.free_box_matches(t("fx_predictions"), t("fx_annotations"), 0.5)
 
 
-@query("threshold_curve_a09", f"WITH RECURSIVE {_CURVE} SELECT category_id, k, tp, n, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1 FROM curve")
+@query("threshold_curve_a09", f"WITH RECURSIVE {_CURVE} SELECT model, category_id, k, tp, n, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1 FROM curve")
 def _(t):
-    c = E.threshold_curve(_model_a(t), t("fx_annotations"))
-    return c.select("category_id", "k", "tp", "n", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
+    c = E.threshold_curve(t("fx_predictions"), t("fx_annotations"))
+    return c.select("model", "category_id", "k", "tp", "n", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
 
 
 @query("best_thresholds_w04", f"""WITH RECURSIVE {_CURVE},
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY f1 DESC, k) AS r FROM curve) q WHERE r=1),
-pm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY precision DESC, k) AS r FROM curve WHERE recall >= 0.8) q WHERE r=1)
-SELECT b.category_id, b.k AS best_k, round(b.f1,6) AS best_f1, coalesce(pm.k,b.k) AS prec_k, round(coalesce(pm.precision,b.precision),6) AS prec_at, round(coalesce(pm.recall,b.recall),6) AS rec_at FROM b LEFT JOIN pm ON pm.category_id=b.category_id""")
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, category_id ORDER BY f1 DESC, k) AS r FROM curve) q WHERE r=1),
+pm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, category_id ORDER BY precision DESC, k) AS r FROM curve WHERE recall >= 0.8) q WHERE r=1)
+SELECT b.model, b.category_id, b.k AS best_k, round(b.f1,6) AS best_f1, coalesce(pm.k,b.k) AS prec_k, round(coalesce(pm.precision,b.precision),6) AS prec_at, round(coalesce(pm.recall,b.recall),6) AS rec_at FROM b LEFT JOIN pm ON pm.model=b.model AND pm.category_id=b.category_id""")
 def _(t):
-    b = E.best_thresholds(E.threshold_curve(_model_a(t), t("fx_annotations")), 0.8)
-    return b.select("category_id", "best_k", _r("best_f1", "best_f1"), "prec_k", _r("prec_at", "prec_at"), _r("rec_at", "rec_at"))
+    b = E.best_thresholds(E.threshold_curve(t("fx_predictions"), t("fx_annotations")), 0.8)
+    return b.select("model", "category_id", "best_k", _r("best_f1", "best_f1"), "prec_k", _r("prec_at", "prec_at"), _r("rec_at", "rec_at"))
 
 
 @query("suppression_g07", f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY model, image_id, category_id ORDER BY score DESC, pred_id) AS k FROM fx_predictions),

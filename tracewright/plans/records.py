@@ -96,10 +96,9 @@ def _(t):
     return s.select("event_type", "n", _r("mean", "mean"), _r("std", "std", 4), _r("median", "median"), _r("fps", "fps", 4))
 
 
-@query("fastest_slowest_a14", """SELECT angle, arg_min(task_id, elapsed_s*1000000000+task_id) AS fastest, arg_min(task_id, -elapsed_s*1000000000+task_id) AS slowest, round(max(1000/elapsed_s),6) AS best_fps FROM fx_sweep WHERE NOT timeout GROUP BY 1""")
+@query("fastest_slowest_a14", """SELECT angle, arg_min(task_id, elapsed_s*1000000000+task_id) AS fastest, arg_min(task_id, -elapsed_s*1000000000+task_id) AS slowest, round(max(1000/elapsed_s),6) AS best_fps FROM fx_sweep GROUP BY 1""")
 def _(t):
-    s = t("fx_sweep").where("NOT timeout")
-    return s.groupBy("angle").agg(
+    return t("fx_sweep").groupBy("angle").agg(
         F.min_by("task_id", F.struct("elapsed_s", "task_id")).alias("fastest"),
         F.min_by("task_id", F.struct(-F.col("elapsed_s"), F.col("task_id"))).alias("slowest"),
         _r(F.max(1000 / F.col("elapsed_s")), "best_fps"))
@@ -257,12 +256,13 @@ def _(t):
     return rows.select("log_id", (F.col("place") + 1).cast("bigint").alias("place"), F.col("s.day").cast("string").alias("day"), F.substring_index("s.body", "\n", 1).alias("head"))
 
 
-@query("case_gate_f11", """SELECT task_id, round(iou,6) AS iou, round(red,6) AS reduction FROM (SELECT task_id, elapsed_s/35 AS iou, CASE WHEN pixel_delta+20=0 THEN 0 ELSE 100.0e0*pixel_delta/(pixel_delta+20) END AS red FROM fx_sweep WHERE pixel_delta IS NOT NULL) q WHERE NOT (iou>=0.7 OR red>=40)""")
+@query("case_gate_f11", """SELECT task_id, round(iou,6) AS iou, round(red,6) AS reduction FROM (SELECT task_id, elapsed_s/35 AS iou, CASE WHEN pixel_delta+20=0 THEN 0 ELSE 100.0e0*pixel_delta/(pixel_delta+20) END AS red FROM fx_sweep) q WHERE NOT (iou>=0.7 OR coalesce(red>=40, false))""")
 def _(t):
     start = F.col("pixel_delta") + 20
-    s = t("fx_sweep").where("pixel_delta IS NOT NULL").withColumns({
+    s = t("fx_sweep").withColumns({
         "iou": F.col("elapsed_s") / 35, "reduction": F.when(start == 0, 0.0).otherwise(100.0 * F.col("pixel_delta") / F.when(start != 0, start))})
-    return s.where(~((F.col("iou") >= 0.7) | (F.col("reduction") >= 40))).select("task_id", _r("iou", "iou"), _r("reduction", "reduction"))
+    # without a delta the overlap alone decides
+    return s.where(~((F.col("iou") >= 0.7) | F.coalesce(F.col("reduction") >= 40, F.lit(False)))).select("task_id", _r("iou", "iou"), _r("reduction", "reduction"))
 
 
 @query("training_samples_f12", """WITH m AS (SELECT p_partkey AS id, CASE p_partkey%5 WHEN 0 THEN ' ' WHEN 1 THEN 'dot' WHEN 2 THEN 'cross' WHEN 3 THEN 'gone' ELSE 'tee' END AS l, concat('n', CAST(p_partkey%900 AS VARCHAR), '.png') AS f FROM part), m2 AS (SELECT id, CASE WHEN trim(l)='' THEN 'unknown' ELSE trim(l) END AS label, f FROM m),

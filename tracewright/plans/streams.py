@@ -13,8 +13,8 @@ from tracewright.streaming import logs
 
 
 def _stream(t, name: str) -> DataFrame:
-    schema = t(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    """The table as a stream; a pattern may match one file or a folder of parts, a plain path only a folder."""
+    return t.spark.readStream.schema(t(name).schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:

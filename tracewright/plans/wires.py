@@ -14,32 +14,30 @@ def _r(c, name, digits=6):
     return F.round(c, digits).alias(name)
 
 
-# segments under 8 long have lost their second end
-_INC = "inc AS (SELECT sheet_id, segment_id, a AS n FROM fx_segments UNION ALL SELECT sheet_id, segment_id, b FROM fx_segments WHERE length>=8)"
-_EDGES = f"""{_INC}, per AS (SELECT sheet_id, segment_id, count(*) AS ends, min(n) AS s, max(n) AS t FROM inc GROUP BY 1,2),
+_ENDS_OF = "inc AS (SELECT sheet_id, segment_id, a AS n FROM fx_segments UNION ALL SELECT sheet_id, segment_id, b FROM fx_segments{})"
+_EDGES_FROM = """{}, per AS (SELECT sheet_id, segment_id, count(*) AS ends, min(n) AS s, max(n) AS t FROM inc GROUP BY 1,2),
 edges AS (SELECT sheet_id, segment_id, s AS source, t AS target FROM per WHERE ends=2), simple AS (SELECT DISTINCT sheet_id, source AS a, target AS b FROM edges)"""
+_EDGES = _EDGES_FROM.format(_ENDS_OF.format(""))
+# in this query only, segments under 8 long have lost their second end
+_CUT_EDGES = _EDGES_FROM.format(_ENDS_OF.format(" WHERE length>=8"))
 _ADJ = "adj AS (SELECT sheet_id, a AS n, b AS m FROM simple UNION SELECT sheet_id, b, a FROM simple)"
 _NETS = f"""{_EDGES}, {_ADJ}, reach AS (SELECT sheet_id, n, n AS m FROM fx_nodes UNION SELECT r.sheet_id, r.n, j.m FROM reach r JOIN adj j ON j.sheet_id=r.sheet_id AND j.n=r.m),
 mem AS (SELECT sheet_id, n, min(m) AS root FROM reach GROUP BY 1,2)"""
 
 
-def _inc(t):
-    s = t("fx_segments")
-    a = s.select("sheet_id", "segment_id", F.col("a").alias("n"))
-    return a.unionByName(s.where("length >= 8").select("sheet_id", "segment_id", F.col("b").alias("n")))
-
-
 def _edges(t):
-    return W.edges_from_incidence(_inc(t)).where("NOT skipped")
+    return W.edges_from_incidence(W.incidence(t("fx_segments"))).where("NOT skipped")
 
 
 def _nodes(t):
     return t("fx_nodes").select("sheet_id", "n")
 
 
-@query("edges_g02", f"WITH {_EDGES} SELECT sheet_id, segment_id, CASE WHEN ends=2 THEN s END AS source, CASE WHEN ends=2 THEN t END AS target, ends<>2 AS skipped FROM per")
+@query("edges_g02", f"WITH {_CUT_EDGES} SELECT sheet_id, segment_id, CASE WHEN ends=2 THEN s END AS source, CASE WHEN ends=2 THEN t END AS target, ends<>2 AS skipped FROM per")
 def _(t):
-    return W.edges_from_incidence(_inc(t))
+    s = t("fx_segments")
+    cut = s.select("sheet_id", "segment_id", F.col("a").alias("n")).unionByName(s.where("length >= 8").select("sheet_id", "segment_id", F.col("b").alias("n")))
+    return W.edges_from_incidence(cut)
 
 
 @query("degrees_g03", f"WITH {_EDGES}, {_ADJ}, d AS (SELECT sheet_id, n, CAST(sum(CASE WHEN n=m THEN 2 ELSE 1 END) AS BIGINT) AS degree, count(*) AS neighbours FROM adj GROUP BY 1,2) SELECT f.sheet_id, f.n, coalesce(degree,0) AS degree, coalesce(neighbours,0) AS neighbours FROM fx_nodes f LEFT JOIN d ON d.sheet_id=f.sheet_id AND d.n=f.n")
@@ -52,9 +50,9 @@ def _(t):
     return W.adjacency(_edges(t))
 
 
-@query("node_class_p24", f"WITH {_INC}, e AS (SELECT sheet_id, n, count(*) AS ends FROM inc GROUP BY 1,2) SELECT f.sheet_id, f.n, CASE WHEN f.n=3 THEN 'kept' WHEN coalesce(ends,0)>=3 THEN 'essential' WHEN ends=2 THEN 'non_essential' WHEN ends=1 THEN 'endpoint' ELSE 'isolated' END AS class FROM fx_nodes f LEFT JOIN e ON e.sheet_id=f.sheet_id AND e.n=f.n")
+@query("node_class_p24", f"WITH {_ENDS_OF.format('')}, e AS (SELECT sheet_id, n, count(*) AS ends FROM inc GROUP BY 1,2) SELECT f.sheet_id, f.n, CASE WHEN f.n=3 THEN 'kept' WHEN coalesce(ends,0)>=3 THEN 'essential' WHEN ends=2 THEN 'non_essential' WHEN ends=1 THEN 'endpoint' ELSE 'isolated' END AS class FROM fx_nodes f LEFT JOIN e ON e.sheet_id=f.sheet_id AND e.n=f.n")
 def _(t):
-    e = _inc(t).groupBy("sheet_id", "n").agg(F.count(F.lit(1)).alias("ends"))
+    e = W.incidence(t("fx_segments")).groupBy("sheet_id", "n").agg(F.count(F.lit(1)).alias("ends"))
     given = F.when(F.col("n") == 3, "kept").otherwise("unspecified")
     return _nodes(t).join(e, ["sheet_id", "n"], "left").select("sheet_id", "n", W.node_class(F.coalesce("ends", F.lit(0)), given).alias("class"))
 
@@ -79,9 +77,9 @@ def _(t):
     return W.cycle_rank(W.nets(_nodes(t), _edges(t)), _edges(t))
 
 
-@query("class_counts_a15", f"WITH {_INC}, e AS (SELECT sheet_id, n, count(*) AS ends FROM inc GROUP BY 1,2), c AS (SELECT f.sheet_id, CASE WHEN coalesce(ends,0)>=3 THEN 'essential' WHEN ends=2 THEN 'non_essential' WHEN ends=1 THEN 'endpoint' ELSE 'isolated' END AS class FROM fx_nodes f LEFT JOIN e ON e.sheet_id=f.sheet_id AND e.n=f.n) SELECT sheet_id, class, count(*) AS nodes FROM c GROUP BY 1,2")
+@query("class_counts_a15", f"WITH {_ENDS_OF.format('')}, e AS (SELECT sheet_id, n, count(*) AS ends FROM inc GROUP BY 1,2), c AS (SELECT f.sheet_id, CASE WHEN coalesce(ends,0)>=3 THEN 'essential' WHEN ends=2 THEN 'non_essential' WHEN ends=1 THEN 'endpoint' ELSE 'isolated' END AS class FROM fx_nodes f LEFT JOIN e ON e.sheet_id=f.sheet_id AND e.n=f.n) SELECT sheet_id, class, count(*) AS nodes FROM c GROUP BY 1,2")
 def _(t):
-    e = _inc(t).groupBy("sheet_id", "n").agg(F.count(F.lit(1)).alias("ends"))
+    e = W.incidence(t("fx_segments")).groupBy("sheet_id", "n").agg(F.count(F.lit(1)).alias("ends"))
     c = _nodes(t).join(e, ["sheet_id", "n"], "left").withColumn("class", W.node_class(F.coalesce("ends", F.lit(0))))
     return c.groupBy("sheet_id", "class").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -104,16 +102,16 @@ _ENDS = "ec AS (SELECT sheet_id, n, count(*) AS ends FROM (SELECT sheet_id, a AS
 
 def _end_counts(t):
     e = W.incidence(t("fx_segments")).groupBy("sheet_id", "n").agg(F.count(F.lit(1)).alias("ends"))
-    # node 7 is left out so that some ends have no node
-    return t("fx_nodes").where("n <> 7").join(e, ["sheet_id", "n"]).select("sheet_id", "n", "x", "y", "ends")
+    return t("fx_nodes").join(e, ["sheet_id", "n"]).select("sheet_id", "n", "x", "y", "ends")
 
 
 @query("segment_ends_j19", "SELECT sheet_id, segment_id, CASE WHEN a<>7 THEN a END AS start_node, CASE WHEN b<>7 THEN b END AS end_node FROM fx_segments")
 def _(t):
-    return W.segment_ends(_placed(t), _end_counts(t)).select("sheet_id", "segment_id", F.col("s_n").alias("start_node"), F.col("e_n").alias("end_node"))
+    # in this query only, node 7 is left out so that some ends have no node
+    return W.segment_ends(_placed(t), _end_counts(t).where("n <> 7")).select("sheet_id", "segment_id", F.col("s_n").alias("start_node"), F.col("e_n").alias("end_node"))
 
 
-_CONF = f"""{_ENDS}, j AS (SELECT s.sheet_id, s.segment_id, s.length, s.length/20 AS q, coalesce(x.ends,0) AS sd, coalesce(y.ends,0) AS ed FROM fx_segments s LEFT JOIN ec x ON x.sheet_id=s.sheet_id AND x.n=s.a AND s.a<>7 LEFT JOIN ec y ON y.sheet_id=s.sheet_id AND y.n=s.b AND s.b<>7),
+_CONF = f"""{_ENDS}, j AS (SELECT s.sheet_id, s.segment_id, s.length, s.length/20 AS q, coalesce(x.ends,0) AS sd, coalesce(y.ends,0) AS ed FROM fx_segments s LEFT JOIN ec x ON x.sheet_id=s.sheet_id AND x.n=s.a LEFT JOIN ec y ON y.sheet_id=s.sheet_id AND y.n=s.b),
 sc AS (SELECT sheet_id, segment_id, greatest(0e0,least(1e0, least(1e0,greatest(0e0,q/3)) + CASE WHEN q<1.05e0 THEN -0.3e0 WHEN q<1.45e0 THEN -0.15e0 WHEN q>3.5e0 THEN 0.06e0 WHEN q>2.2e0 THEN 0.03e0 ELSE 0 END
  + CASE WHEN sd>=3 THEN 0.08e0 WHEN sd=2 THEN 0.03e0 ELSE -0.12e0 END + CASE WHEN ed>=3 THEN 0.08e0 WHEN ed=2 THEN 0.03e0 ELSE -0.12e0 END + CASE WHEN sd<=1 AND ed<=1 THEN -0.14e0 WHEN sd>=2 AND ed>=2 AND q>=1.8e0 THEN 0.05e0 ELSE 0 END)) AS score,
  concat_ws(',', CASE WHEN ed>=3 THEN 'end_supported' WHEN ed<=1 THEN 'end_endpoint' END, CASE WHEN sd<=1 AND ed<=1 THEN 'isolated_branch' END, CASE WHEN q>=1.05e0 AND q<1.45e0 THEN 'marginal_length' END, CASE WHEN q<1.05e0 THEN 'short_segment' END,
