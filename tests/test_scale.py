@@ -141,3 +141,32 @@ def test_overlap_join_meets_each_pair_once(spark):
     side = lambda rows, s: spark.createDataFrame(rows, f"g int, {s}id int, {s}_x double, {s}_y double, {s}_w double, {s}_h double")
     got = spatial.overlap_join(side(a, "l"), side(b, "r"), ["g"]).select("lid", "rid").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", 4)], "g string, v long")
+    got = {(r.g, r.v): r.k for r in scale.ranked(df, ["g"], [F.col("v")], "k").collect()}
+    assert got == {(None, 1): 1, ("a", 2): 1, (None, 3): 2, ("a", 4): 2}
+    sliced = scale.slice_by_order(df, ["g"], [F.col("v")])
+    assert {(r.g, r.v): r.m for r in scale.suffix_max(sliced, ["g"], [F.col("v")], F.col("v"), "m").collect()} == {(None, 1): 3, (None, 3): 3, ("a", 2): 4, ("a", 4): 4}
+    assert {(r.g, r.v): r.p for r in scale.previous(sliced, ["g"], [F.col("v")], "v", "p").collect()} == {(None, 1): None, (None, 3): 1, ("a", 2): None, ("a", 4): 2}
+
+
+def test_long_ladder(spark):
+    n = 1000
+    nodes = spark.range(n).withColumnRenamed("id", "n")
+    steps = spark.range(n - 1).selectExpr("id AS earlier", "id + 1 AS later")
+    assert [r.n for r in scale.greedy_independent(nodes, steps, "n").orderBy("n").collect()] == list(range(0, n, 2))
+
+
+def test_greedy_equals_loop(spark):
+    rng = random.Random(8)
+    for n, m in ((30, 40), (40, 25), (25, 90)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        kept = []
+        for i in range(n):
+            if not any((j, i) in pairs for j in kept):
+                kept.append(i)
+        nodes = spark.range(n).withColumnRenamed("id", "n")
+        got = scale.greedy_independent(nodes, spark.createDataFrame(list(pairs), "earlier long, later long"), "n")
+        assert sorted(r.n for r in got.collect()) == kept

@@ -43,7 +43,7 @@ def test_session_tail_over_batches(spark, tmp_path):
 
 def test_store_upserts_over_batches(spark, tmp_path):
     src, rows = tmp_path / "in", []
-    for b in range(3):
+    for b in reversed(range(3)):  # the newest changes come first
         part = [{"id": str((b * 7 + i) % 9), "type": "page", "label": f"{b}-{i}", "filename": "f", "payload": "{}", "is_delete": (b + i) % 4 == 0, "seq": b * 10 + i} for i in range(8)]
         rows += part
         _put(src, f"{b}.json", part)
@@ -52,3 +52,23 @@ def test_store_upserts_over_batches(spark, tmp_path):
     last = {r["id"]: r for r in sorted(rows, key=lambda r: r["seq"])}
     want = {(k, r["label"]) for k, r in last.items() if not r["is_delete"]}
     assert {(r.id, r.label) for r in tables.read_entries(spark, str(tmp_path / "s")).collect()} == want
+
+
+def test_table_of_parts_is_streamed(spark, tmp_path):
+    from tracewright.plans.registry import Tables
+    from tracewright.plans.streams import _stream
+
+    spark.range(50).repartition(4).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "b"))
+    next((tmp_path / "b").glob("*.parquet")).rename(tmp_path / "b.parquet")
+    t = Tables(spark, str(tmp_path))
+    for name, n in (("a", 50), ("b", 7)):
+        assert logs.run_to_end(_stream(t, name), "append", str(tmp_path / f"o{name}")).count() == n
+
+
+def test_late_requests_count(spark, tmp_path):
+    src = tmp_path / "in"
+    for b, ts in enumerate(("2024-01-02T00:00:00", "2024-01-01T00:00:00")):
+        _put(src, f"{b}.json", [{"ts": ts, "outcome": "ok", "latency_ms": 1.0}] * 3)
+    out = logs.run_to_end(logs.outcome_counts(logs.files(spark, str(src), schemas.REQUEST, per_batch=1)), "update", str(tmp_path / "o"))
+    assert sum(r.n for r in out.collect()) == 6

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +33,46 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         (w.partitionBy("split") if "split" in df.columns else w).json(f"{path}/{name}")
 
 
-def write_document(tables: dict[str, DataFrame], path: str, max_rows: int = 200_000) -> None:
-    """The three tables as one document, for sets that fit one row; larger sets take `write_tables`."""
-    for name, df in tables.items():
-        n = df.limit(max_rows + 1).count()
-        if n > max_rows:
-            raise ValueError(f"{name} has more than {max_rows} rows; use write_tables")
-    spark = next(iter(tables.values())).sparkSession
-    doc = spark.range(1)
-    for name, df in tables.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        doc = doc.withColumn("_j", F.lit(1)).join(one.withColumn("_j", F.lit(1)), "_j").drop("_j")
-    doc.select(F.to_json(F.struct(*tables)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_documents(tables: dict[str, DataFrame], path: str, shards: int = 1, key: str = "image_id") -> None:
+    """The tables as `shards` documents, a file each; `read` takes them together.
+
+    Rows with a `key`, or with `id` in the table of that key's own rows, go to the shard
+    of its hash, other tables to every shard. Lines stream through the tasks, so a
+    document may be larger than memory.
+    """
+    names = list(tables)
+    rows = None
+    for n, (name, df) in enumerate(tables.items()):
+        own = key if key in df.columns else "id" if name == f"{key.removesuffix('_id')}s" else None
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+        shard = every if own is None else F.pmod(F.xxhash64(F.col(own).cast("long")), F.lit(shards)).cast("int")
+        part = df.select(shard.alias("shard"), F.lit(n).alias("kind"), F.to_json(F.struct(*df.columns)).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+
+    def lines(batches):
+        kind, started = -1, False
+
+        def upto(k: int) -> list[str]:
+            """Closes lists and opens those up to number k."""
+            nonlocal kind
+            out = []
+            while kind < k:
+                out += ["]" + ("," if kind + 1 < len(names) else "")] if kind >= 0 else ["{"]
+                kind += 1
+                out += [f"{json.dumps(names[kind])}: ["] if kind < len(names) else ["}"]
+            return out
+
+        for b in batches:
+            out = []
+            for k, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                new = upto(k)
+                out += new
+                out.append(value if new else "," + value)
+                started = True
+            if out:
+                yield pa.RecordBatch.from_pydict({"value": out})
+        if started:
+            yield pa.RecordBatch.from_pydict({"value": upto(len(names))})
+
+    placed = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind")
+    placed.select("kind", "value").mapInArrow(lines, "value string").write.mode("overwrite").text(path)

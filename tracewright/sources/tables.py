@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import schemas
+from tracewright.session import stage
 
 
 def read_epochs(spark: SparkSession, paths) -> DataFrame:
@@ -23,8 +22,15 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_corrections(corrections: DataFrame, path: str) -> None:
-    """Add corrections below request_id= folders; the last write of a request wins on read."""
-    corrections.write.mode("append").partitionBy("request_id").json(path)
+    """Add (request_id, component, value) rows with the time of this write to the store below `path`."""
+    corrections.select("request_id", "component", "value", F.current_timestamp().alias("written")).write.mode("append").json(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """(request_id, component, value) of what was appended; the last write of a request wins."""
+    rows = spark.read.schema("request_id string, component string, value string, written timestamp").json(path)
+    last = rows.groupBy("request_id").agg(F.max("written").alias("written"))
+    return rows.join(last, ["request_id", "written"]).select("request_id", "component", "value")
 
 
 def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
@@ -69,32 +75,43 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """One small file, JSON lines or CSV with a header."""
-    w = df.coalesce(1).write.mode("overwrite")
+    """JSON lines or CSV with headers, a file per task."""
+    w = df.write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.json(path)
 
 
+#: Folders of the entry store; part of its format.
+BUCKETS = 64
+_STORED = f"{schemas.ENTRY}, bucket int"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All entries with their deletion marks; the store is made at its first use."""
+    spark.createDataFrame([], _STORED).write.mode("ignore").partitionBy("bucket").parquet(path)
+    return spark.read.schema(_STORED).parquet(path)
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Current version of the entry store, empty before the first write."""
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], "id string, type string, label string, filename string, payload string")
-    return spark.read.parquet(f"{path}/{versions[-1]}")
-
-
-def write_entries(entries: DataFrame, path: str) -> str:
-    """Write a new version folder; readers see it once Spark has put its success mark there."""
-    name = f"v{time.time_ns():020d}"
-    entries.write.mode("errorifexists").parquet(f"{path}/{name}")
-    return name
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Finished versions, oldest first: one name per write that completed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    return sorted(n for n in names if n.startswith("v") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+    """Entries that are there, without those deleted."""
+    return _stored(spark, path).where("NOT is_delete").select("id", "type", "label", "filename", "payload")
+
+
+def merge_entries(changes: DataFrame, path: str) -> None:
+    """Apply changes in any order of arrival: per id the one with the largest `seq` decides, deletions too.
+
+    Deleted ids stay as marks, so an older change cannot bring them back. Only
+    buckets that the changes touch are written. Applying changes twice does no harm.
+    """
+    spark = changes.sparkSession
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    new = changes.select("id", "type", "label", "filename", "payload", F.coalesce("is_delete", F.lit(False)).alias("is_delete"), "seq", bucket.alias("bucket"))
+    new = stage(new)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+    if not touched:
+        return
+    old = _stored(spark, path).where(F.col("bucket").isin(touched))
+    rows = old.unionByName(new)
+    rest = [c for c in rows.columns if c != "id"]
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("seq", "is_delete")).alias("r")).select("id", "r.*")
+    # written apart first: the folders that are replaced are also read
+    stage(last).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

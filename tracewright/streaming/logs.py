@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewright.operators import records
 from tracewright.sources import tables
 
 
@@ -60,14 +59,13 @@ def session_tail(messages: DataFrame, keep: int = 40) -> DataFrame:
 
 
 def upsert_store(changes: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
-    """Apply every batch of changes to the versioned entry store.
+    """Apply every batch of changes to the entry store.
 
-    A batch that is run again after a failure gives the same store: the last
-    change per id decides.
+    Batches may come in any order and more than once: the largest `seq` per id
+    decides over all of them.
     """
     def apply(batch: DataFrame, _id: int) -> None:
-        base = tables.read_entries(batch.sparkSession, path)
-        tables.write_entries(records.upsert(base, batch, "id", "seq", "is_delete"), path)
+        tables.merge_entries(batch, path)
 
     w = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if drain else w).start()
