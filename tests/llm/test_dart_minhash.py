@@ -91,10 +91,10 @@ def test_close_pairs_in_blocks(spark):
     marks = []
     for i in range(60):
         m = base.copy()
-        m[rng.permutation(450)[: int(rng.integers(0, 200))]] += 1
+        m[9 + rng.permutation(441)[: int(rng.integers(0, 200))]] += 1  # band 0 stays
         marks.append((bytes([i]), m.tobytes()))
     near = D.Near(block=9)
-    buckets = spark.createDataFrame([(7, bytearray(n), bytearray(bytes([n[0] % 4]))) for n, _ in marks], "band long, node binary, root binary")
+    buckets = spark.createDataFrame([(7, bytearray(n), bytearray(bytes([n[0] % 4])), 0) for n, _ in marks], "band long, node binary, root binary, number int")
     sig = spark.createDataFrame([(bytearray(n), bytearray(m)) for n, m in marks], "node binary, signature binary")
     got = {(bytes(r.a), bytes(r.b)) for r in D._close_pairs(buckets, sig, near).collect()}
     want = set()

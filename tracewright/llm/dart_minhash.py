@@ -253,7 +253,8 @@ def _close_pairs(open_buckets: DataFrame, marks: DataFrame, near: Near) -> DataF
     """Pairs of nodes of different classes in one bucket whose signatures nearly agree.
 
     A bucket is cut into blocks of about `near.block` nodes; each pair of blocks is a
-    piece of work of its own.
+    piece of work of its own. A pair counts in the first band that it shares, all of
+    whose nodes are there, as two of them differ in class.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     least = near.close
@@ -263,18 +264,22 @@ def _close_pairs(open_buckets: DataFrame, marks: DataFrame, near: Near) -> DataF
         roots = np.array([number.setdefault(bytes(r[2]), len(number)) for r in rows])
         side = np.array([r[3] for r in rows])
         marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        band = rows[0][4]
         for i in range(len(rows)):
             if side[i] == 2:
                 continue
             other = np.flatnonzero((side == 2) if (side == 2).any() else (np.arange(len(rows)) > i))
             other = other[roots[other] != roots[i]]
-            for j in other[(marks[other] == marks[i]).sum(axis=1) >= least].tolist():
+            same = marks[other] == marks[i]
+            enough = same.sum(axis=1) >= least
+            first = same[enough].reshape(-1, near.bands, near.rows).all(axis=2).argmax(axis=1)
+            for j in other[enough][first == band].tolist():
                 yield min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])
 
     def run(batches):
         def rows():
             for b in batches:
-                yield from zip(*[column(b, n).to_pylist() for n in ("work", "node", "signature", "root", "side")])
+                yield from zip(*[column(b, n).to_pylist() for n in ("work", "node", "signature", "root", "side", "number")])
 
         out = []
         for _, group in groupby(rows(), key=lambda r: r[0]):
@@ -291,10 +296,10 @@ def _close_pairs(open_buckets: DataFrame, marks: DataFrame, near: Near) -> DataF
     pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     everyone = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     works = F.transform(everyone, lambda x: F.when(x == F.col("own"), pair(x, x, 0)).when(x > F.col("own"), pair(F.col("own"), x, 1)).otherwise(pair(x, F.col("own"), 2)))
-    dealt = cut.select("node", "root", "band", F.explode(works).alias("w")).select(
-        "node", "root", F.struct("band", "w.i", "w.j").alias("key"), F.col("w.side").alias("side"))
-    rows = dealt.join(marks, "node").select(F.to_json("key").alias("work"), "node", "signature", "root", "side")
-    return rows.repartition("work").sortWithinPartitions("work").mapInArrow(run, "a binary, b binary").distinct()
+    dealt = cut.select("node", "root", "number", "band", F.explode(works).alias("w")).select(
+        "node", "root", "number", F.struct("band", "w.i", "w.j").alias("key"), F.col("w.side").alias("side"))
+    rows = dealt.join(marks, "node").select(F.to_json("key").alias("work"), "node", "signature", "root", "side", "number")
+    return rows.repartition("work").sortWithinPartitions("work").mapInArrow(run, "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -308,7 +313,7 @@ def near_classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """
     signed = stage(sign(docs, near))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")
-    banded = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
+    banded = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands").alias("number", "band"))
     # a node has a row in each of its bands, so no band holds more than one in `bands` of all rows
     members = stage(banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1"))
     weight = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
@@ -325,7 +330,7 @@ def near_classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     rest = _with_root(rest, "b", roots, "rb").where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti")
     links = stage(links.unionByName(_linked(rest, sets, near)))
     roots = stage(connected_components(links))
-    placed = _with_root(members.select("band", "node"), "node", roots, "root")
+    placed = _with_root(members.select("band", "number", "node"), "node", roots, "root")
     split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
     marks = signed.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
     close = _close_pairs(placed.join(split, "band", "left_semi"), marks, near)
