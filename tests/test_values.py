@@ -81,3 +81,20 @@ def test_region_units(spark):
     got = _one(spark, "p array<array<double>>", [(p,) for p in pts], R.normalise_region(F.lit("rect"), F.col("p"), F.lit(800), F.lit(600)))
     assert [g[0].unit if g[0] else None for g in got] == ["fraction", "percent", "pixel", None]
     assert got[0][0].points[2] == [400.0, 300.0] and got[2][0].points[2] == [300.0, 600.0]
+
+
+def test_six_digits_as_printed(spark):
+    vals = [0.0, 1.0, 4.7, 0.1, 123456.0, 999999.0, 999999.7, 1e6, 1234567.0, 1e12, 1e-4, 9.99999e-5, 1.5e-5, 3.3e-12, 0.00012345678, -2.5, 22000.0, 47.123456]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(V.six_digits(F.col("v")).alias("x")).collect()]
+    assert got == [f"{v:.6g}" for v in vals]
+
+
+def test_fold_drops_every_latin_mark(spark):
+    import unicodedata
+
+    from tracewright.functions import text as T
+
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).lower() == chr(c)] + ["e\u0301", "łß", "ĳ"]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", v) if not unicodedata.combining(x)) for v in letters]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in letters], "v string").select(T.fold(F.col("v")).alias("x")).collect()]
+    assert got == want

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: Latin letters with marks and their plain forms
-MARKED = "áàâäãåąăāéèêëęėēěíìîïīóòôöõōőúùûüūůűçćčďñńňśšşťýÿźżžřľĺ"
-PLAIN = "aaaaaaaaaeeeeeeeeiiiiioooooooouuuuuuucccdnnnssstyyzzzrll".replace("oooooooo", "ooooooo")
+def _plain_letters() -> dict[str, str]:
+    """Lower-case Latin letters whose compatibility decomposition has marks or several letters, with what is left of it."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and plain != c:
+            out[c] = plain
+    return out
+
+
+_LETTERS = _plain_letters()
+_SINGLE = {c: p for c, p in _LETTERS.items() if len(p) == 1}
 
 
 def fold(c: Column) -> Column:
-    """Lower case without Latin diacritics (letters with no decomposition, such as ł, stay)."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without Latin diacritics (letters with no decomposition, such as ł, stay) and without marks of their own."""
+    out = F.translate(F.lower(c), "".join(_SINGLE), "".join(_SINGLE.values()))
+    for letter, plain in _LETTERS.items():
+        if letter not in _SINGLE:
+            out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(out, "[\u0300-\u036f]", "")
 
 
 def squeeze(c: Column) -> Column:

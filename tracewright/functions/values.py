@@ -65,14 +65,15 @@ def deck_value(parsed: Column) -> Column:
 
 
 def six_digits(c: Column) -> Column:
-    """Up to six significant digits without trailing zeros, for values of 1e-4 up to 999999."""
-    whole = F.floor(F.log10(F.abs(c))).cast("int")
-    places = F.greatest(F.lit(0), F.lit(5) - F.coalesce(whole, F.lit(0)))
-    fixed = None
-    for p in range(0, 11):
-        text = F.format_string(f"%.{p}f", c)
-        fixed = F.when(places == p, text) if fixed is None else fixed.when(places == p, text)
-    return F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    """Six significant digits without trailing zeros; below 1e-4 and from 1e6 on with an exponent, as in `1.5e-05`."""
+    exact = F.format_string("%.5e", c)
+    power = F.substring_index(exact, "e", -1)
+    places = F.lit(5) - power.try_cast("int")
+    short = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    fixed = F.when(places == 0, F.format_string("%.0f", c))
+    for p in range(1, 10):
+        fixed = fixed.when(places == p, F.format_string(f"%.{p}f", c))
+    return F.when(c == 0, "0").when(places.between(0, 9), short(fixed)).when(c.isNotNull(), F.concat(short(F.substring_index(exact, "e", 1)), F.lit("e"), power))
 
 
 # fixed values: display scales by base unit, largest first (from, factor, prefix)
