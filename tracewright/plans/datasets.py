@@ -215,14 +215,16 @@ def _(t):
     return g.select("ann_id", "image_id", F.floor(F.size("points") / 2).cast("int").alias("n_points"))
 
 
-@query("task_for_image_j25", """WITH tk AS (SELECT p_partkey AS ord, concat('scan_', CAST(p_partkey%90 AS VARCHAR), '.png') AS image FROM part) SELECT i.image_id, i.file_name AS image, min(tk.ord) AS ord FROM fx_images i LEFT JOIN tk ON tk.image=i.file_name GROUP BY 1,2""")
+@query("task_for_image_j25", """WITH tk AS (SELECT p_partkey AS ord, concat(CASE p_partkey%3 WHEN 0 THEN 'up/ab12f-' WHEN 1 THEN '/data/local/' ELSE 'x' END, 'scan_', CAST(p_partkey%90 AS VARCHAR), '.png', CASE WHEN p_partkey%7=0 THEN '?d=1' ELSE '' END) AS ref FROM part),
+hit AS (SELECT f.file_name, min(tk.ord) AS ord FROM (SELECT DISTINCT file_name FROM fx_images) f JOIN tk ON contains(tk.ref, f.file_name) GROUP BY 1) SELECT i.image_id, i.file_name AS image, hit.ord FROM fx_images i LEFT JOIN hit ON hit.file_name=i.file_name""")
 def _(t):
     from tracewright.sources import tasks
 
     k = F.col("p_partkey")
     name = F.concat(F.lit("scan_"), (k % 90).cast("string"), F.lit(".png"))
-    tk = t("part").select(k.alias("ord"), F.when(k % 2 == 0, F.concat(F.lit("up/ab12f-"), name)).alias("file_upload"),
-                          F.when(k % 2 == 1, F.concat(F.lit("/data/local/"), name)).alias("image_ref"))
+    lead = F.when(k % 3 == 0, "up/ab12f-").when(k % 3 == 1, "/data/local/").otherwise("x")
+    ref = F.concat(lead, name, F.when(k % 7 == 0, "?d=1").otherwise(""))
+    tk = t("part").select(k.alias("ord"), F.when(k % 2 == 0, ref).alias("file_upload"), F.when(k % 2 == 1, ref).alias("image_ref"))
     return tasks.task_for_image(t("fx_images").select("image_id", F.col("file_name").alias("image")), tk)
 
 

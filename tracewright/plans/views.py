@@ -20,8 +20,10 @@ VIEWS: dict[str, str] = {
     "fx_categories": """SELECT CAST(category_id AS BIGINT) AS category_id, name
   FROM (VALUES (1,'resistor'),(2,'capacitor'),(3,'inductor'),(4,'diode'),(5,'op_amp'),(6,'ignore_region')) AS t(category_id, name)""",
     # three annotation files: images dealt out by number, category ids shifted per file
-    "fx_file_categories": """SELECT CAST(f AS BIGINT) AS file_idx, CAST(category_id+10*f AS BIGINT) AS old_id, CAST(category_id AS BIGINT) AS pos, name
-  FROM (VALUES (0,1,'resistor'),(0,2,'capacitor'),(0,3,'inductor'),(0,4,'diode'),(0,5,'op_amp'),(1,1,'resistor'),(1,2,'capacitor'),(1,3,'coil'),(1,4,'diode'),(1,5,'op_amp'),(2,1,'lamp'),(2,2,'capacitor'),(2,3,'inductor'),(2,4,'relay')) AS t(f, category_id, name)""",
+    # the classes that the annotations of a file use, with the names that the file gives them
+    "fx_file_categories": f"""SELECT CAST(t.f AS BIGINT) AS file_idx, CAST(t.category_id+10*t.f AS BIGINT) AS old_id, CAST(t.category_id AS BIGINT) AS pos, t.name
+  FROM (VALUES (0,1,'resistor'),(0,2,'capacitor'),(0,3,'inductor'),(0,4,'diode'),(0,5,'op_amp'),(1,1,'resistor'),(1,2,'capacitor'),(1,3,'coil'),(1,4,'diode'),(1,5,'op_amp'),(2,1,'lamp'),(2,2,'capacitor'),(2,3,'inductor'),(2,4,'relay')) AS t(f, category_id, name)
+  JOIN (SELECT DISTINCT {IMG}%3 AS f, 1+event_id%5 AS category_id FROM {{events}}) u ON u.f=t.f AND u.category_id=t.category_id""",
     "fx_file_images": """SELECT image_id%3 AS file_idx, image_id AS old_id, image_id AS pos, concat('schematic_', CAST(image_id%500 AS VARCHAR(20)), '.png') AS file_name
   FROM (SELECT DISTINCT CAST(floor(event_id/8) AS BIGINT) AS image_id FROM {events}) q""",
     "fx_file_annotations": f"""SELECT {IMG}%3 AS file_idx, event_id AS pos, {IMG}+CASE WHEN event_id%31=0 THEN 100000000 ELSE 0 END AS image_id, 1+event_id%5+10*({IMG}%3) AS category_id,

@@ -101,13 +101,15 @@ def ignore_regions(results: DataFrame, labels) -> DataFrame:
 
 
 def task_for_image(images: DataFrame, tasks: DataFrame) -> DataFrame:
-    """First task whose upload or image name ends in the image's base name.
+    """First task whose upload name or picture reference contains the image name.
 
-    `images(image, ...)`, `tasks(ord, file_upload, image_ref)`. Names are compared as
-    base names and as the part behind an upload prefix, both equi joins.
+    `images(image, ...)`, `tasks(ord, file_upload, image_ref)`. References are short,
+    so they are cut into all their pieces as long as some image name, and joined.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    tail = lambda c: F.regexp_replace(base(c), r"^[^-]*-", "")
-    keys = F.array_distinct(F.array_compact(F.array(base(F.col("file_upload")), tail(F.col("file_upload")), base(F.col("image_ref")), tail(F.col("image_ref")))))
-    first = tasks.select("ord", F.explode(keys).alias("image")).groupBy("image").agg(F.min("ord").alias("ord"))
+    names = images.select("image").distinct()
+    lengths = [r.n for r in names.select(F.length("image").alias("n")).distinct().collect() if r.n]  # a few dozen file-name lengths
+    sides = tasks.select("ord", F.explode(F.array_compact(F.array("file_upload", "image_ref"))).alias("ref"))
+    cut = sides.select("ord", "ref", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("ref") >= F.col("n"))
+    pieces = cut.select("ord", F.explode(F.transform(F.sequence(F.lit(1), F.length("ref") - F.col("n") + 1), lambda i: F.substring("ref", i, F.col("n")))).alias("image"))
+    first = pieces.groupBy("image").agg(F.min("ord").alias("ord")).join(names, "image", "left_semi")
     return images.join(first, "image", "left")
