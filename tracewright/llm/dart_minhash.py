@@ -60,10 +60,11 @@ class Near:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -123,22 +124,39 @@ def _throw(elements, weights, doc, limit, k, best, ids) -> None:
     while elements.size:
         low = 0.0 if region == 0 else 2.0 ** (region - 1)
         width = max(low, 1.0)
-        e, w, d = elements, weights, doc
-        seed = mix(e + _U((region + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        rank, number = np.zeros(e.size), 0
-        while e.size:
-            number += 1
-            dart = mix(seed + _U(number * 0xD1B54A32D192ED03 % 2**64))
-            rank = rank - np.log(unit(dart)) / width
-            below = rank <= limit[d]
-            e, w, d, seed, rank, dart = (x[below] for x in (e, w, d, seed, rank, dart))
-            place = mix(dart ^ _U(0xA0761D6478BD642F))
-            hit = low + width * unit(place) <= w if region or (w < 1).any() else np.ones(e.size, bool)
-            at = d[hit] * k + (mix(place ^ _U(0xE7037ED1A0B428DB)) % _U(k)).astype(np.int64)[hit]
-            r, found = rank[hit], dart[hit]
+        # where every weight covers its region, every dart below the rank limit hits
+        partial = bool((weights < low + width).any())
+        w = weights if partial else None
+        seed = mix(elements + _U((region + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        # ranks in units of one dart per element and region: the darts of a stream are 1 apart on average
+        rank, most, base, made = np.zeros(elements.size), limit[doc] * width, doc * k, np.zeros(elements.size, np.int64)
+        while seed.size:
+            # as many darts at once as each stream is likely to need; few streams go on after that
+            ask = np.maximum(1, np.ceil(most - rank)).astype(np.int64)
+            of = np.repeat(np.arange(seed.size), ask)
+            ends = np.cumsum(ask)
+            number = np.arange(of.size) - (ends - ask - made)[of] + 1
+            dart = mix(seed[of] + number.astype(_U) * _U(0xD1B54A32D192ED03))
+            gone = np.cumsum(-np.log(unit(dart)))
+            at_rank = gone + (rank - np.concatenate([[0.0], gone[ends[:-1] - 1]]))[of]
+            below = np.flatnonzero(at_rank <= most[of])
+            of_hit, r, found = of[below], at_rank[below], dart[below]
+            if partial:
+                hit = np.flatnonzero(low + width * unit(mix(found ^ _U(0xA0761D6478BD642F))) <= w[of_hit])
+                of_hit, r, found = of_hit[hit], r[hit], found[hit]
+            at = base[of_hit] + ((((found * _U(0xE7037ED1A0B428DB)) >> _U(32)) * _U(k)) >> _U(32)).view(np.int64)
+            if width != 1.0:
+                r = r / width
+            better = np.flatnonzero(r < best[at])
+            at, r, found = at[better], r[better], found[better]
             np.minimum.at(best, at, r)
-            first = best[at] == r
+            first = np.flatnonzero(best[at] == r)
             ids[at[first]] = found[first]
+            last = at_rank[ends - 1]
+            on = np.flatnonzero(last <= most)
+            seed, rank, most, base, made = seed[on], last[on], most[on], base[on], (made + ask)[on]
+            if partial:
+                w = w[on]
         more = weights > max(1.0, 2.0**region) if region else weights > 1.0
         elements, weights, doc = elements[more], weights[more], doc[more]
         region += 1
