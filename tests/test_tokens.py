@@ -118,11 +118,12 @@ def test_slashes(pages):
     assert _show(tokens.merge_slashes(df)) == want
 
 
-def test_hyphens(pages):
+@pytest.mark.parametrize("keep_earlier", [True, False])
+def test_hyphens(pages, keep_earlier):
     df, lists = pages
 
     def change(ts):
-        used, made = set(), []
+        used, made, listed = set(), [], set()
         for i, a in enumerate(ts):
             if i in used or not (a["text"].endswith("-") and len(a["text"]) >= 3) or a["category"] == "net_label":
                 continue
@@ -132,12 +133,13 @@ def test_hyphens(pages):
             if cand:
                 j = min(cand)[1]
                 used |= {i, j}
+                listed |= {j} if j < i and keep_earlier else set()
                 made.append(_merged(a, ts[j], a["text"][:-1] + ts[j]["text"], "other"))
-        return made + [t for i, t in enumerate(ts) if i not in used]
+        return made + [t for i, t in enumerate(ts) if i not in used or i in listed]
 
     want = _expect(lists, change)
     assert len(want) < df.count()
-    assert _show(tokens.merge_hyphens(df)) == want
+    assert _show(tokens.merge_hyphens(df, keep_earlier)) == want
 
 
 def test_lines(pages):
