@@ -105,6 +105,17 @@ def test_close_pairs_in_blocks(spark):
     assert got == want and want
 
 
+def test_marks_that_agree_by_chance_hide_no_pair(spark):
+    """Bands 0 and 1 look shared by their marks; the nodes meet in the buckets of bands 3 and 5 only."""
+    a, b, c = bytearray(b"a"), bytearray(b"b"), bytearray(b"c")
+    rows = [(n, number, 100 * number + (0 if number in (3, 5) else k), n) for k, n in enumerate((a, b)) for number in (0, 1, 3, 5)]
+    rows += [(c, 0, 0, c), (c, 1, 101, c)]  # keeps the other buckets open
+    buckets = spark.createDataFrame(rows, "node binary, number int, band long, root binary")
+    sig = spark.createDataFrame([(n, bytearray(450)) for n in (a, b, c)], "node binary, signature binary")
+    got = sorted((bytes(r.a), bytes(r.b)) for r in D._close_pairs(buckets, sig, D.Near()).collect())
+    assert got == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
+
+
 def test_nulls_and_repeats(spark):
     t = " ".join(f"v{i}" for i in range(30))
     rows = [(None, None, 1), (None, "", 2), (4, t, 3), (4, t, 3), (2, t, 4), (None, t, 5), (9, "other words here", None)]
