@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, dart_minhash, line_runs, packing, piecewise, ppm, repetition, token_counts, token_files
+from tracewright.llm import bpe, chat, dart_minhash, language_id, line_runs, packing, piecewise, ppm, repetition, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,5 +63,9 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file, op11_language_id)}
 CHECKS: dict[str, str] = {"op3_line_runs": line_runs.CHECK}
