@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, dart_minhash, language_id, line_runs, packing, piecewise, ppm, repetition, token_counts, token_files
+from tracewright.llm import bpe, chat, dart_minhash, language_id, line_runs, packing, periodic_runs, piecewise, ppm, repetition, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,5 +68,20 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file, op11_language_id)}
+def _periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents repeat with a period from some word on; which, where and how follows from the id."""
+    h, n = crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + period] * (1 + (n - a) // period))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), _periodic_tail))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file, op11_language_id, op12_periodic_runs)}
 CHECKS: dict[str, str] = {"op3_line_runs": line_runs.CHECK}
