@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, dart_minhash, language_id, line_runs, packing, periodic_runs, piecewise, ppm, repetition, token_counts, token_files
+from tracewright.llm import bpe, chat, dart_minhash, language_id, line_runs, packing, periodic_runs, piecewise, ppm, prefix_trie, repetition, token_counts, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -83,5 +83,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), _periodic_tail))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file, op11_language_id, op12_periodic_runs)}
-CHECKS: dict[str, str] = {"op3_line_runs": line_runs.CHECK}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundred of conversations shares the head of its first one, up to five turns."""
+    turns = prefix_trie.number_turns(_read(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns, conv - F.pmod(conv, F.lit(100)), F.crc32(conv.cast("string")) % 6, 5))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_line_runs, op4_piecewise_hashing, op5_bpe, op6_ppm, op7_quality_rules, op8_dart_minhash, op9_packing, op10_token_file, op11_language_id, op12_periodic_runs, op13_prefix_trie)}
+CHECKS: dict[str, str] = {"op3_line_runs": line_runs.CHECK, "op13_prefix_trie": prefix_trie.CHECK}
