@@ -120,9 +120,16 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     What reaches the driver are the dictionaries, `dictionary_bytes` a language. No rows give a model without languages.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    picked = stage(ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= settings.rows).select("doc_id", "lang").distinct())
+    ids = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # ranks of hashes fine enough that the last one taken holds few ids: a 64th of a power of two each, the smallest hashes highest
+    share = F.shiftrightunsigned("hash", 11) / F.lit(2.0**53)
+    ids = ids.withColumn("rank", F.floor(F.log2(share + 2.0**-54) * -64))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("rank")))
+    cut = ids.groupBy("lang", "rank").agg(F.count(F.lit(1)).alias("n")).withColumn("before", upto - F.col("n"))
+    cut = stage(cut.where(F.col("before") < settings.rows).groupBy("lang").agg(F.min("rank").alias("least")))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    near = ids.join(cut, "lang").where(F.col("rank") >= F.col("least")).withColumn("_r", F.row_number().over(order))
+    picked = stage(near.where(F.col("_r") <= settings.rows).select("doc_id", "lang").distinct())
     texts = labelled.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi").where("text IS NOT NULL")
     texts = stage(texts.select("lang", "text").distinct())
     counts = texts.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
