@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.chunks import library_encoder
 from tracewright.llm.common import column, steps, whole_text
+from tracewright.session import stage
 
 #: Lengths per block of the suffix sums.
 BLOCK = 4096
@@ -48,7 +49,7 @@ def length_histogram(lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     hist = hist.withColumns({"tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k{i}") for i, c in enumerate(by)] + [F.col(c).isNull().alias(f"_n{i}") for i, c in enumerate(by)]
     names = [f"_k{i}" for i in range(len(by))] + [f"_n{i}" for i in range(len(by))]
-    hist = hist.select("*", *keys)
+    hist = stage(hist.select("*", *keys))  # read twice below; the encoder runs once
     whole = Window.partitionBy(*names, F.lit(0))
     later = Window.partitionBy(*names, F.lit(0)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy(*names, "block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).select(
