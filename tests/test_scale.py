@@ -170,3 +170,70 @@ def test_greedy_equals_loop(spark):
         nodes = spark.range(n).withColumnRenamed("id", "n")
         got = scale.greedy_independent(nodes, spark.createDataFrame(list(pairs), "earlier long, later long"), "n")
         assert sorted(r.n for r in got.collect()) == kept
+
+
+def _overlaps(a, b):
+    return min(a[1] + a[3], b[1] + b[3]) > max(a[1], b[1]) and min(a[2] + a[4], b[2] + b[4]) > max(a[2], b[2])
+
+
+def test_overlap_join_of_all_sizes(spark):
+    """Boxes from a fraction of a pixel to a whole sheet, negative places, boxes without area."""
+    rnd = random.Random(8)
+    def boxes(n):
+        out = []
+        for i in range(n):
+            size = 4.0 ** rnd.uniform(-2, 7)
+            out.append((i, rnd.uniform(-500, 3000), rnd.uniform(-500, 3000), size * rnd.uniform(0.01, 1), size))
+        return out + [(n, 10.0, 10.0, 0.0, 50.0), (n + 1, -1000.0, -1000.0, 20_000.0, 20_000.0), (n + 2, 64.0, 64.0, 64.0, 64.0), (n + 3, 128.0, 64.0, 64.0, 64.0)]
+
+    ls, rs = boxes(150), boxes(160)
+    frame = lambda rows, p: spark.createDataFrame(rows, ", ".join(["%si long" % p, *[f"{p}{c} double" for c in "xywh"]])).withColumn("g", F.lit(1))
+    got = [(r.l_i, r.r_i) for r in spatial.overlap_join(frame(ls, "l_"), frame(rs, "r_"), ["g"]).select("l_i", "r_i").collect()]
+    assert sorted(got) == sorted((a[0], b[0]) for a in ls for b in rs if _overlaps(a, b))
+
+
+def test_overlap_join_does_not_pair_what_only_asks(spark):
+    """One box over the sheet and 10,000 of two pixels within a few: each box costs a handful of rows, not a square."""
+    small = spark.range(10_000).select(F.col("id").alias("l_i"), F.lit(1).alias("g"), (F.col("id") % 100 * 2.0).alias("l_x"), (F.floor(F.col("id") / 100) * 2.0).alias("l_y"),
+                                       F.lit(2.0).alias("l_w"), F.lit(2.0).alias("l_h"))
+    right = small.select(F.col("l_i").alias("r_i"), "g", *[F.col(f"l_{c}").alias(f"r_{c}") for c in "xywh"]).unionByName(
+        spark.createDataFrame([(-1, 1, -5.0, -5.0, 20_000.0, 20_000.0)], "r_i long, g int, r_x double, r_y double, r_w double, r_h double"))
+    pairs = spatial.overlap_join(small, right, ["g"])
+    got = pairs.groupBy().agg(F.count_if(F.col("r_i") == -1).alias("whole"), F.count_if(F.col("r_i") == F.col("l_i")).alias("same"), F.count(F.lit(1)).alias("all")).first()
+    assert (got.whole, got.same, got.all) == (10_000, 10_000, 20_000)
+    cells = F.size(spatial._cells([F.col(f"l_{c}") for c in "xywh"], spatial.level_of(F.col("l_w"), F.col("l_h")), 0))
+    assert small.agg(F.max(cells)).first()[0] <= 4
+
+
+def test_spans_and_polygon_masks(spark):
+    from tracewright.functions import regions
+    from tracewright.operators import evaluation
+
+    rnd = random.Random(4)
+    rows = [(rnd.randint(0, 3), a, a + rnd.randint(0, 6)) for a in (rnd.randint(0, 60) for _ in range(80))]
+    got = regions.merged_spans(spark.createDataFrame(rows, "k int, _a long, _z long"), ["k"]).collect()
+    dots = {(k, x) for k, a, z in rows for x in range(a, z + 1)}
+    assert {(r.k, x) for r in got for x in range(r._a, r._z + 1)} == dots and sum(r._z - r._a + 1 for r in got) == len(dots)
+    assert all((r.k, r._z + 1) not in dots and (r.k, r._a - 1) not in dots for r in got)
+    # a box of 10,000 by 10,000 pixels is 10,001 rows
+    square = spark.createDataFrame([(1, [[0.0, 0.0], [10_000.0, 0.0], [10_000.0, 10_000.0], [0.0, 10_000.0]])], "k int, points array<array<double>>")
+    lines = regions.polygon_lines(square, ["k"])
+    assert lines.agg(F.count(F.lit(1)), F.sum(F.col("_z") - F.col("_a") + 1)).first()[:] == (10_001, 10_001**2)
+    rect = lambda x, y, w, h: [[x, y], [x + w - 1.0, y], [x + w - 1.0, y + h - 1.0], [x, y + h - 1.0]]
+    truth = [(1, i, rect(float(rnd.randint(0, 50)), float(rnd.randint(0, 50)), rnd.randint(2, 30), rnd.randint(2, 30))) for i in range(20)]
+    truth += [(1, 3, rect(70.0, 70.0, 10, 10)), (2, 99, rect(0.0, 0.0, 5, 5)), (1, 98, [[0.0, 0.0], [1.0, 1.0]])]
+    preds = [(1, i, rect(float(rnd.randint(0, 60)), float(rnd.randint(0, 60)), rnd.randint(2, 30), rnd.randint(2, 30))) for i in range(15)] + [(3, 0, rect(0.0, 0.0, 5, 5))]
+
+    def pixels(rows):
+        out = {}
+        for k, i, p in rows:
+            out.setdefault((k, i), set())
+            if len(p) > 2:
+                out[k, i] |= {(x, y) for x in range(int(p[0][0]), int(p[2][0]) + 1) for y in range(int(p[0][1]), int(p[2][1]) + 1)}
+        return out
+
+    g, p = pixels(truth), pixels(preds)
+    want = {(k, i): max(len(m & n) / len(m | n) for (q, _), n in p.items() if q == k) for (k, i), m in g.items() if any(q == k for q, _ in p)}
+    kind = "array<array<double>>"
+    got = evaluation.polygon_mask_iou(spark.createDataFrame(truth, f"s int, gt int, points {kind}"), spark.createDataFrame(preds, f"s int, pr int, points {kind}"), ["s"])
+    assert {(r.s, r.gt): r.iou for r in got.collect()} == pytest.approx(want)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry as G
@@ -98,17 +98,20 @@ def outside_regions(boxes: DataFrame, regions: DataFrame, on: Sequence[str], ids
     return boxes.join(hit.select(*ids).distinct(), list(ids), "left_anti")
 
 
-def _row_spans(poly: Column, y: Column) -> Column:
-    """Closed x spans a polygon covers on the line `y`, border included.
-
-    Crossings are taken once with the lower and once with the upper end of an edge
-    left out, so corner rows are covered from either side; level edges add themselves.
-    """
+def _edges(poly: Column) -> Column:
+    """Edges (x1, y1, x2, y2) of a polygon."""
     n = F.size(poly)
     at = lambda i, k: F.get(F.get(poly, i % n), F.lit(k))
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         at(i, 0).alias("x1"), at(i, 1).alias("y1"), at(i + 1, 0).alias("x2"), at(i + 1, 1).alias("y2")))
 
+
+def _row_spans(edges: Column, y: Column) -> Column:
+    """Closed x spans that the polygon of these edges covers on the line `y`, border included.
+
+    Crossings are taken once with the lower and once with the upper end of an edge
+    left out, so corner rows are covered from either side; level edges add themselves.
+    """
     def crossings(lower_in: bool) -> Column:
         def hit(e: Column) -> Column:
             lo, hi = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
@@ -139,14 +142,39 @@ def outside_polygons(boxes: DataFrame, polygons: DataFrame, on: Sequence[str], i
     py = F.transform("points", lambda p: F.get(p, F.lit(1)))
     low_x, low_y = F.floor(F.array_min(px)), F.floor(F.array_min(py))
     p = polygons.where(F.size("points") >= 3).select(
-        *on, "points", low_x.alias("r_x"), low_y.alias("r_y"), (F.ceil(F.array_max(px)) - low_x + 1).alias("r_w"), (F.ceil(F.array_max(py)) - low_y + 1).alias("r_h"))
+        *on, _edges(F.col("points")).alias("_edges"), low_x.alias("r_x"), low_y.alias("r_y"), (F.ceil(F.array_max(px)) - low_x + 1).alias("r_w"), (F.ceil(F.array_max(py)) - low_y + 1).alias("r_h"))
     pair = spatial.overlap_join(b, p, on)
     top, bottom = F.greatest("l_y", "r_y"), F.least(F.col("l_y") + F.col("l_h"), F.col("r_y") + F.col("r_h")) - 1
     rows = pair.withColumn("_y", F.explode(F.sequence(top, bottom)))
-    spans = rows.withColumn("_s", F.explode(_row_spans(F.col("points"), F.col("_y"))))
+    spans = rows.withColumn("_s", F.explode(_row_spans(F.col("_edges"), F.col("_y"))))
     a = F.greatest(F.ceil("_s.a"), F.col("l_x"))
     z = F.least(F.floor("_s.b"), F.col("l_x") + F.col("l_w") - 1)
-    dots = spans.withColumns({"_a": a, "_z": z}).where("_a <= _z").select(
-        *ids, "_y", F.explode(F.sequence("_a", "_z")).alias("_x"), (F.col("l_w") * F.col("l_h")).alias("_area"))
-    covered = dots.distinct().groupBy(*ids, "_area").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") / F.col("_area") >= share)
+    parts = spans.withColumns({"_a": a, "_z": z}).where("_a <= _z").select(*on, *ids, "_y", "_a", "_z", (F.col("l_w") * F.col("l_h")).alias("_area"))
+    covered = merged_spans(parts, [*ids, "_y", "_area"]).groupBy(*ids, "_area").agg(F.sum(F.col("_z") - F.col("_a") + 1).alias("_n")).where(F.col("_n") / F.col("_area") >= share)
     return boxes.join(covered.select(*ids), list(ids), "left_anti")
+
+
+def merged_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The closed whole-number spans [_a, _z] of each group as spans that neither overlap nor touch.
+
+    A span begins a new one where it lies beyond the largest end before it.
+    """
+    order = Window.partitionBy(*keys).orderBy("_a", "_z")
+    before = F.max("_z").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.select(*keys, "_a", "_z", (before.isNull() | (F.col("_a") > before + 1)).cast("int").alias("_new"))
+    numbered = new.withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_k").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z")).drop("_k")
+
+
+def polygon_lines(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, _y, _a, _z): the pixels of all polygons of a group, border included, as spans per line.
+
+    `polygons(*keys, points)`; polygons of fewer than three points cover nothing, null
+    keys are groups. Lines, not pixels, are the rows: a polygon of any width takes one or a few a line.
+    """
+    y = F.transform("points", lambda p: F.get(p, F.lit(1)))
+    rows = polygons.where(F.size("points") >= 3).select(
+        *keys, _edges(F.col("points")).alias("_edges"), F.explode(F.sequence(F.ceil(F.array_min(y)), F.floor(F.array_max(y)))).alias("_y"))
+    spans = rows.select(*keys, "_y", F.explode(_row_spans(F.col("_edges"), F.col("_y"))).alias("_s"))
+    whole = spans.select(*keys, "_y", F.ceil("_s.a").alias("_a"), F.floor("_s.b").alias("_z")).where("_a <= _z")
+    return merged_spans(whole, [*keys, "_y"])

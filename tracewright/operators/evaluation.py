@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry as G
+from tracewright.functions import regions as R
 from tracewright.operators import scale, spatial
 from tracewright.session import stage
 
@@ -256,3 +257,25 @@ def mask_iou(truth: DataFrame, preds: DataFrame, on: Sequence[str]) -> DataFrame
     best = common.join(a, [*keys, "gt"]).join(b, [*keys, "pr"]).groupBy(*keys, "gt").agg(F.max(F.col("i") / union).alias("iou"))
     both = a.join(preds.select(*keys).distinct(), keys)
     return both.join(best, [*keys, "gt"], "left").select(*keys, "gt", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+
+
+def polygon_mask_iou(truth: DataFrame, preds: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Best mask IoU of every truth object where its picture has predictions, from polygons.
+
+    `truth(*on, gt, points)` and `preds(*on, pr, points)`; the polygons of an object are one
+    mask. Objects are kept as spans per line and meet only if their extents overlap;
+    lengths of common spans are added up, no pixel is a row. An object without pixels has IoU 0.
+    """
+    keys = list(on)
+    lines = {k: stage(R.polygon_lines(df.select(*keys, k, "points"), [*keys, k])) for k, df in (("gt", truth), ("pr", preds))}
+    length = F.sum(F.col("_z") - F.col("_a") + 1)
+    x, y = F.min("_a"), F.min("_y")
+    extent = lambda k, p: lines[k].groupBy(*keys, k).agg(
+        x.alias(p + "x"), y.alias(p + "y"), (F.max("_z") + 1 - x).alias(p + "w"), (F.max("_y") + 1 - y).alias(p + "h"), length.alias(p + "n"))
+    pairs = stage(spatial.overlap_join(extent("gt", "l_"), extent("pr", "r_"), keys).select(*keys, "gt", "pr", "l_n", "r_n"))
+    mine = pairs.join(lines["gt"].withColumnsRenamed({"_a": "l_a", "_z": "l_z"}), [*keys, "gt"])
+    both = mine.join(lines["pr"], [*keys, "pr", "_y"]).where((F.col("_a") <= F.col("l_z")) & (F.col("l_a") <= F.col("_z")))
+    common = both.groupBy(*keys, "gt", "pr", "l_n", "r_n").agg(F.sum(F.least("_z", "l_z") - F.greatest("_a", "l_a") + 1).alias("i"))
+    best = common.groupBy(*keys, "gt").agg(F.max(F.col("i") / (F.col("l_n") + F.col("r_n") - F.col("i"))).alias("iou"))
+    every = truth.select(*keys, "gt").distinct().join(preds.select(*keys).distinct(), keys)
+    return every.join(best, [*keys, "gt"], "left").select(*keys, "gt", F.coalesce("iou", F.lit(0.0)).alias("iou"))

@@ -186,3 +186,20 @@ def _(t):
     p = px.withColumn("pr", F.floor((F.col("px") + 15) / 50))
     m = E.mask_iou(g, p, ["sheet_id"])
     return m.select("sheet_id", "gt", _r("iou", "iou"))
+
+
+@query("polygon_mask_iou_a11", """WITH g AS (SELECT ann_id, image_id, x+40 AS cx, y+25 AS cy FROM fx_annotations), p AS (SELECT pred_id, image_id, x+40 AS cx, y+25 AS cy FROM fx_predictions WHERE model='a'),
+near AS (SELECT g.ann_id, p.pred_id, g.cx AS gx, g.cy AS gy, p.cx AS px, p.cy AS py FROM g JOIN p ON p.image_id=g.image_id AND abs(p.cx-g.cx)<=80 AND abs(p.cy-g.cy)<=50),
+ys AS (SELECT *, unnest(range(greatest(gy,py)-25, least(gy,py)+26)) AS y FROM near),
+w AS (SELECT *, CAST(floor((2000-abs(y-gy)*80)/50e0) AS BIGINT) AS gr, CAST(floor((2000-abs(y-py)*80)/50e0) AS BIGINT) AS pr FROM ys),
+c AS (SELECT ann_id, pred_id, sum(greatest(0, least(gx+gr,px+pr)-greatest(gx-gr,px-pr)+1)) AS i FROM w GROUP BY 1,2),
+one AS (SELECT sum(2*CAST(floor((2000-abs(y)*80)/50e0) AS BIGINT)+1) AS n FROM (SELECT unnest(range(-25,26)) AS y) q),
+b AS (SELECT ann_id, max(CAST(i AS DOUBLE)/(2*n-i)) AS iou FROM c, one GROUP BY 1)
+SELECT g.ann_id, round(coalesce(b.iou,0),6) AS iou FROM g LEFT JOIN b ON b.ann_id=g.ann_id WHERE g.image_id IN (SELECT image_id FROM p)""")
+def _(t):
+    def diamonds(df, name, number):
+        pt = lambda dx, dy: F.array((F.col("x") + dx).cast("double"), (F.col("y") + dy).cast("double"))
+        return df.select("image_id", F.col(number).alias(name), F.array(pt(40, 0), pt(80, 25), pt(40, 50), pt(0, 25)).alias("points"))
+
+    best = E.polygon_mask_iou(diamonds(t("fx_annotations"), "gt", "ann_id"), diamonds(t("fx_predictions").where("model = 'a'"), "pr", "pred_id"), ["image_id"])
+    return best.select(F.col("gt").alias("ann_id"), _r("iou", "iou"))
