@@ -172,9 +172,19 @@ def polygon_lines(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
     `polygons(*keys, points)`; polygons of fewer than three points cover nothing, null
     keys are groups. Lines, not pixels, are the rows: a polygon of any width takes one or a few a line.
     """
-    y = F.transform("points", lambda p: F.get(p, F.lit(1)))
-    rows = polygons.where(F.size("points") >= 3).select(
-        *keys, _edges(F.col("points")).alias("_edges"), F.explode(F.sequence(F.ceil(F.array_min(y)), F.floor(F.array_max(y)))).alias("_y"))
-    spans = rows.select(*keys, "_y", F.explode(_row_spans(F.col("_edges"), F.col("_y"))).alias("_s"))
-    whole = spans.select(*keys, "_y", F.ceil("_s.a").alias("_a"), F.floor("_s.b").alias("_z")).where("_a <= _z")
+    e = F.col("_e")
+    rows = polygons.where(F.size("points") >= 3).select(*keys, "points").distinct().select(
+        *keys, F.xxhash64("points").alias("_p"), F.explode(_edges(F.col("points"))).alias("_e")).select(
+        *keys, "_p", "_e", F.least(e["y1"], e["y2"]).alias("_lo"), F.greatest(e["y1"], e["y2"]).alias("_hi"))
+    lines = rows.where(F.ceil("_lo") <= F.floor("_hi")).withColumn("_y", F.explode(F.sequence(F.ceil("_lo"), F.floor("_hi"))))
+    level = F.col("_lo") == F.col("_hi")
+    # an edge counts once without its upper and once without its lower end; see _row_spans
+    kinds = F.array_compact(F.array(F.when(F.col("_y") < F.col("_hi"), 0), F.when(F.col("_y") > F.col("_lo"), 1)))
+    x = e["x1"] + (F.col("_y") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+    group = [*keys, "_p", "_y", "_kind"]
+    hits = lines.where(~level).select(*keys, "_p", "_y", x.alias("_x"), F.explode(kinds).alias("_kind"))
+    placed = hits.withColumn("_k", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("_x")) - 1) / 2))
+    pairs = placed.groupBy(*group, "_k").agg(F.min("_x").alias("a"), F.max("_x").alias("b")).select(*keys, "_y", "a", "b")
+    flat = lines.where(level).select(*keys, "_y", F.least(e["x1"], e["x2"]).alias("a"), F.greatest(e["x1"], e["x2"]).alias("b"))
+    whole = pairs.unionByName(flat).select(*keys, "_y", F.ceil("a").alias("_a"), F.floor("b").alias("_z")).where("_a <= _z")
     return merged_spans(whole, [*keys, "_y"])
