@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import records
 from tracewright.operators.validation import fixture_issues
-from tracewright.sources import coco, labels, tables, tasks
+from tracewright.sources import coco, documents, entries, labels, tables, tasks
 
 
 def test_coco_round_trip(spark, tmp_path):
@@ -102,16 +102,16 @@ def test_benchmarks(spark, tmp_path):
 
 def test_entry_store(spark, tmp_path):
     path = str(tmp_path / "store")
-    assert tables.read_entries(spark, path).count() == 0
+    assert entries.read_entries(spark, path).count() == 0
     kind = "id string, type string, label string, filename string, payload string, is_delete boolean, seq long"
-    tables.merge_entries(spark.createDataFrame([("1", "page", "A", "f1", "{}", False, 0), ("2", "crop", "B", "f2", "{}", False, 0)], kind), path)
+    entries.merge_entries(spark.createDataFrame([("1", "page", "A", "f1", "{}", False, 0), ("2", "crop", "B", "f2", "{}", False, 0)], kind), path)
     ch = spark.createDataFrame([("2", "crop", "B2", "f2", "{}", False, 1), ("1", "page", "A", "f1", "{}", True, 2), ("3", "page", "Żółć", "f3", "{}", False, 3)],
                                kind)
-    tables.merge_entries(ch, path)
+    entries.merge_entries(ch, path)
     # older changes that come late decide nothing
-    tables.merge_entries(spark.createDataFrame([("1", "page", "old", "f1", "{}", False, 1), ("3", "page", "old", "f3", "{}", True, 2)], kind), path)
-    tables.merge_entries(ch.limit(0), path)
-    assert {(r.id, r.label) for r in tables.read_entries(spark, path).collect()} == {("2", "B2"), ("3", "Żółć")}
+    entries.merge_entries(spark.createDataFrame([("1", "page", "old", "f1", "{}", False, 1), ("3", "page", "old", "f3", "{}", True, 2)], kind), path)
+    entries.merge_entries(ch.limit(0), path)
+    assert {(r.id, r.label) for r in entries.read_entries(spark, path).collect()} == {("2", "B2"), ("3", "Żółć")}
 
 
 def test_inventory_and_fixture_rules(spark, tmp_path):
@@ -131,3 +131,107 @@ def test_reports(spark, tmp_path):
     tables.write_report(spark.range(3), str(tmp_path / "r"), "csv")
     lines = [x for f in (tmp_path / "r").glob("*.csv") for x in f.read_text().splitlines()]
     assert sorted(set(lines)) == ["0", "1", "2", "id"]
+
+
+def _cuts(text, n):
+    """The text in ranges as Spark cuts them: n equal parts, each moved on to the brace that ends a piece."""
+    pieces = text.split("}")
+    if pieces[-1] == "":
+        pieces.pop()
+    out, at, size = {}, 0, max(1, len(text) // n)
+    for p in pieces:
+        out.setdefault(at // size, []).append(p)
+        at += len(p) + 1
+    return list(out.values())
+
+
+def _records_of(text, n):
+    """The two passes of `documents` by hand, without Spark."""
+    import pyarrow as pa
+
+    ranges, size = _cuts(text, n), len(text.encode())
+    batch = pa.RecordBatch.from_pydict({
+        "value": [p for r in ranges for p in r], "file": ["f" for r in ranges for _ in r],
+        "block": pa.array([b for b, r in enumerate(ranges) for _ in r], pa.int64()), "size": pa.array([size for r in ranges for _ in r], pa.int64())})
+    states = [r for b in documents._states(documents._summaries([batch])) for r in b.to_pylist()]
+    starts = {("f", r["block"]): r["state"] for r in states}
+    rows = [r for b in documents._cutter(starts)([batch]) for r in b.to_pylist()]
+    parts = sorted((r for r in rows if r["kind"] in (1, 2, 3)), key=lambda r: (r["block"], r["kind"] == 1))
+    if parts:
+        rows += [r for b in documents._joined([pa.RecordBatch.from_pylist(parts, schema=documents._CUT)]) for r in b.to_pylist()]
+    found = sorted((r for r in rows if r["kind"] == 0), key=lambda r: (r["key"] or "", r["block"], r["idx"]))
+    return [(r["key"], json.loads(r["record"])) for r in found], states[-1]["broken"], [r["record"] for r in rows if r["kind"] == 4]
+
+
+def test_documents_in_ranges():
+    """Braces, quotes and backslashes inside strings, nesting, white space, and a document cut anywhere."""
+    import random
+
+    rnd = random.Random(1)
+    odd = ['a}b{', 'quo"te', "back\\", '\\"}', "]}[{", "ź" * 5, "", '"', "\\\\"]
+    deep = lambda d: rnd.choice([1, None, rnd.choice(odd)]) if d == 0 else {rnd.choice(["k", "a]", 'x"y']): deep(d - 1), "l": [deep(d - 1), {}]}
+    for indent in (None, 2):
+        for n in (1, 2, 3, 7, 40, 200):
+            doc = {"info": {"name": odd[0], "more": [1, 2]}, "images": [deep(rnd.randint(1, 3)) for _ in range(9)], "note": odd[3], "empty": [], "annotations": [{"id": i, "t": rnd.choice(odd)} for i in range(30)]}
+            found, broken, whole = _records_of(json.dumps(doc, indent=indent, ensure_ascii=False), n)
+            assert not broken and found == [("annotations", x) for x in doc["annotations"]] + [("images", x) for x in doc["images"]]
+            assert n > 1 or [json.loads(w) for w in whole] == [doc]
+            tasks_ = [deep(2) for _ in range(20)] + [[{"a": 1}, 2], {}]
+            found, broken, whole = _records_of(json.dumps(tasks_, indent=indent) + "\n", n)
+            assert not broken and found == [(None, x) for x in tasks_] and not whole
+            assert _records_of(json.dumps(doc, indent=indent)[:-5], n)[1] and _records_of(json.dumps(tasks_)[:-30], n)[1]
+
+
+def test_one_document_is_read_by_many_tasks(spark, tmp_path):
+    s = spark.newSession()
+    s.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    s.conf.set("spark.sql.files.openCostInBytes", "1000")
+    doc = {"images": [{"id": i, "file_name": f"{{{i}}}.png"} for i in range(400)], "annotations": [{"id": i, "image_id": i % 400, "bbox": [i, 1, 2, 3]} for i in range(3000)]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    (tmp_path / "b.json").write_text(json.dumps({"images": [{"id": 7}], "categories": [{"id": 1, "name": "}"}]}, indent=1))
+    (tmp_path / "cut.json").write_text(json.dumps(doc)[:90_000])
+    pieces = s.read.option("lineSep", "}").text(str(tmp_path / "a.json"))
+    assert pieces.rdd.getNumPartitions() > 5
+    t = coco.read(s, str(tmp_path))
+    got = [(r.id, r.pos, r.image_id, r.bbox[0]) for r in t["annotations"].orderBy("pos").collect()]
+    assert got == [(i, i, i % 400, float(i)) for i in range(3000)]
+    assert sorted((r.file_id[-6:], r.pos, r.id, r.file_name) for r in t["images"].collect()) == sorted([("a.json", i, i, f"{{{i}}}.png") for i in range(400)] + [("b.json", 0, 7, None)])
+    assert [(r.pos, r.name) for r in t["categories"].collect()] == [(0, "}")]
+    export = [{"id": i, "data": {"note": "x", "any": f"http://host/p/{i}.png?v=1", "later": "z.png"}, "annotations": [{"response": [{"type": "t", "value": {"text": "}"}}]}]} for i in range(500)]
+    (tmp_path / "tasks").mkdir()
+    (tmp_path / "tasks" / "list.json").write_text(json.dumps(export))
+    (tmp_path / "tasks" / "one.json").write_text(json.dumps({"id": 900, "data": {"image": "/a/x.JPG"}, "annotations": [{"result": [{"type": "u"}]}]}))
+    (tmp_path / "tasks" / "none.json").write_text(json.dumps({"tasks": []}))
+    rows = tasks.first_results(tasks.read(s, str(tmp_path / "tasks"))).select("id", "idx", tasks.image_name().alias("image"), "r.type").collect()
+    assert sorted(map(tuple, rows)) == [(i, 0, f"{i}.png?v=1", "t") for i in range(500)] + [(900, 0, "x.JPG", "u")]
+
+
+def test_entry_store_parts_its_buckets(spark, tmp_path):
+    """Batches in reversed order into small buckets against a dictionary; readers of an older version keep what they saw."""
+    import random
+
+    path, kind = str(tmp_path / "store"), "id string, type string, label string, filename string, payload string, is_delete boolean, seq long"
+    rnd, state, seq = random.Random(6), {}, list(range(1200))
+    changes = [(str(rnd.randint(0, 500)), "t", f"l{i}", None, None, rnd.random() < 0.2, i) for i in seq]
+    for c in changes:
+        state[c[0]] = c
+    before = None
+    for k in range(3, -1, -1):
+        entries.merge_entries(spark.createDataFrame(changes[300 * k : 300 * k + 300], kind), path, 60)
+        if k == 3:
+            before = entries.read_entries(spark, path)
+            seen = sorted(map(tuple, before.collect()))
+    entries.merge_entries(spark.createDataFrame(changes[100:200], kind), path, 60)
+    got = {r.id: r.label for r in entries.read_entries(spark, path).collect()}
+    assert got == {k: c[2] for k, c in state.items() if not c[5]}
+    m = entries.manifest(spark, path).collect()
+    assert max(r.rows for r in m) <= 90 and sum(2.0 ** -r.bits for r in m) == 1 and len({(r.bits, r.prefix) for r in m}) == len(m) > 7
+    assert sum(r.rows for r in m) == len(state)
+    assert {r.version for r in entries._manifests(spark, path).select("version").distinct().collect()} == {3, 4, 5}
+    names = {r.folder.split("/")[0] for r in entries._manifests(spark, path).where("folder IS NOT NULL").collect()}
+    assert names == {p.name for p in (tmp_path / "store" / "data").iterdir()}
+    one = str(tmp_path / "kept")
+    entries.merge_entries(spark.createDataFrame(changes[900:], kind), one, 60)
+    old = entries.read_entries(spark, one)
+    entries.merge_entries(spark.createDataFrame(changes[:900], kind), one, 60)
+    assert sorted(map(tuple, old.collect())) == seen

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import scale
 from tracewright.plans.registry import query
 from tracewright.session import scratch
-from tracewright.sources import tables
+from tracewright.sources import entries
 from tracewright.streaming import logs
 
 
@@ -49,7 +49,7 @@ def _(t):
     folder = scratch(t.spark, "store")
     q = logs.upsert_store(changes, f"{folder}/entries", f"{folder}/state", drain=True)
     q.awaitTermination()
-    return tables.read_entries(t.spark, f"{folder}/entries").select("id", "type", "filename")
+    return entries.read_entries(t.spark, f"{folder}/entries").select("id", "type", "filename")
 
 
 @query("outcome_stream_st04", """SELECT CAST(epoch_us(time_bucket(INTERVAL 5 MINUTES, ts))//1000000 AS BIGINT) AS start_s, event_type AS outcome, count(*) AS n, round(avg(value),6) AS mean_ms FROM events GROUP BY 1,2""")

@@ -8,7 +8,7 @@ COCO = (
     "images array<struct<id bigint, file_name string, width int, height int, license int, date_captured string>>, "
     "categories array<struct<id bigint, name string, supercategory string>>, "
     "annotations array<struct<id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int, "
-    f"segmentation {POINTS}, rotation double, attributes map<string,string>>>, _corrupt_record string"
+    f"segmentation {POINTS}, rotation double, attributes map<string,string>>>"
 )
 
 RESULT = (
@@ -16,12 +16,11 @@ RESULT = (
     f"rotation double, points {POINTS}, rectanglelabels array<string>, polygonlabels array<string>, brushlabels array<string>, "
     "labels array<string>, choices array<string>, text string, region_comment string>, meta struct<text array<string>>>"
 )
-_GROUPS = f"array<struct<result array<{RESULT}>>>"
+_GROUPS = f"array<struct<result array<{RESULT}>, response array<{RESULT}>>>"
 TASK = (
-    "id bigint, file_upload string, data struct<image string, url string, file string, width int, height int>, "
+    "id bigint, file_upload string, data map<string,string>, "
     f"annotations {_GROUPS}, completions {_GROUPS}, predictions {_GROUPS}, result array<{RESULT}>"
 )
-TASK_FILE = f"{TASK}, tasks array<struct<{TASK}>>, _corrupt_record string"
 
 CORRECTIONS = "request_id string, corrections array<struct<component string, value string>>, _corrupt_record string"
 

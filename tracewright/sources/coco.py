@@ -7,25 +7,30 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewright import schemas
+from tracewright.sources import documents
 
 
 def read(spark: SparkSession, paths) -> dict[str, DataFrame]:
-    """Images, categories and annotations of many documents, each row with its file and place.
+    """Images, categories and annotations of many documents, each row with its file and its place in the list.
 
-    A document is one JSON object, so a file is the smallest unit of parallelism;
-    everything after the explode is spread by rows.
+    A document is cut into ranges that many tasks read. One that ends early gives no rows.
     """
-    docs = spark.read.schema(schemas.COCO).option("multiLine", True).json(paths).withColumn("file_id", F.col("_metadata.file_path"))
-    docs = docs.where("_corrupt_record IS NULL")
+    found = documents.records(spark, paths)
+    kinds = StructType.fromDDL(schemas.COCO)
 
     def rows(name: str) -> DataFrame:
-        return docs.select("file_id", F.posexplode(name).alias("pos", "r")).select("file_id", "pos", "r.*")
+        return found.where(F.col("key") == name).select("file_id", "pos", F.from_json("record", kinds[name].dataType.elementType).alias("r")).select("file_id", "pos", "r.*")
 
     return {name: rows(name) for name in ("images", "categories", "annotations")}
 
 
+#: Rows of a table that go to one document where the caller names no number of documents.
+ROWS = 5_000_000
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """One table per kind below `path`, split by the `split` column where there is one."""
     for name, df in tables.items():
@@ -33,14 +38,17 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         (w.partitionBy("split") if "split" in df.columns else w).json(f"{path}/{name}")
 
 
-def write_documents(tables: dict[str, DataFrame], path: str, shards: int = 1, key: str = "image_id") -> None:
+def write_documents(tables: dict[str, DataFrame], path: str, shards: int | None = None, key: str = "image_id") -> None:
     """The tables as `shards` documents, a file each; `read` takes them together.
 
+    Without a number there is a document for every ROWS rows of the largest table.
+
     Rows with a `key`, or with `id` in the table of that key's own rows, go to the shard
     of its hash, other tables to every shard. Lines stream through the tasks, so a
     document may be larger than memory.
     """
     names = list(tables)
+    shards = shards or max(1, -(-max(df.count() for df in tables.values()) // ROWS))
     rows = None
     for n, (name, df) in enumerate(tables.items()):
         own = key if key in df.columns else "id" if name == f"{key.removesuffix('_id')}s" else None

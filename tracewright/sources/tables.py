@@ -1,4 +1,4 @@
-"""Logs, manifests, corrections, benchmark files, reports and the entry store."""
+"""Logs, manifests, corrections, benchmark files and reports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import schemas
-from tracewright.session import stage
 
 
 def read_epochs(spark: SparkSession, paths) -> DataFrame:
@@ -78,40 +77,3 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     """JSON lines or CSV with headers, a file per task."""
     w = df.write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.json(path)
-
-
-#: Folders of the entry store; part of its format.
-BUCKETS = 64
-_STORED = f"{schemas.ENTRY}, bucket int"
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """All entries with their deletion marks; the store is made at its first use."""
-    spark.createDataFrame([], _STORED).write.mode("ignore").partitionBy("bucket").parquet(path)
-    return spark.read.schema(_STORED).parquet(path)
-
-
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries that are there, without those deleted."""
-    return _stored(spark, path).where("NOT is_delete").select("id", "type", "label", "filename", "payload")
-
-
-def merge_entries(changes: DataFrame, path: str) -> None:
-    """Apply changes in any order of arrival: per id the one with the largest `seq` decides, deletions too.
-
-    Deleted ids stay as marks, so an older change cannot bring them back. Only
-    buckets that the changes touch are written. Applying changes twice does no harm.
-    """
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-    new = changes.select("id", "type", "label", "filename", "payload", F.coalesce("is_delete", F.lit(False)).alias("is_delete"), "seq", bucket.alias("bucket"))
-    new = stage(new)
-    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
-    if not touched:
-        return
-    old = _stored(spark, path).where(F.col("bucket").isin(touched))
-    rows = old.unionByName(new)
-    rest = [c for c in rows.columns if c != "id"]
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("seq", "is_delete")).alias("r")).select("id", "r.*")
-    # written apart first: the folders that are replaced are also read
-    stage(last).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

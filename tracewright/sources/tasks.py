@@ -9,17 +9,20 @@ from tracewright import schemas
 from tracewright.functions import geometry as G
 from tracewright.functions import metadata as M
 from tracewright.functions.labels import lookup
+from tracewright.sources import documents
 
 _COLS = ["id", "file_upload", "data", "annotations", "completions", "predictions", "result"]
 
 
 def read(spark: SparkSession, paths) -> DataFrame:
-    """Tasks of export files: arrays of tasks, single tasks and `{tasks: [...]}` objects."""
-    raw = spark.read.schema(schemas.TASK_FILE).option("multiLine", True).json(paths)
-    raw = raw.withColumn("file_id", F.col("_metadata.file_path")).where("_corrupt_record IS NULL")
-    flat = raw.where("tasks IS NULL").select("file_id", *_COLS)
-    nested = raw.where("tasks IS NOT NULL").select("file_id", F.explode("tasks").alias("t")).select("file_id", *[f"t.{c}" for c in _COLS])
-    return flat.unionByName(nested)
+    """Tasks of export files: arrays of tasks, `{tasks: [...]}` objects, and single tasks of up to 64 MB.
+
+    A file is cut into ranges, so one export of any size is read by many tasks.
+    """
+    found = documents.records(spark, paths)
+    listed = found.where("key IS NULL OR key = 'tasks'").select("file_id", F.from_json("record", schemas.TASK).alias("t"))
+    alone = found.where("key = ''").select("file_id", F.from_json("record", f"{schemas.TASK}, tasks array<string>").alias("t")).where("t.tasks IS NULL")
+    return listed.select("file_id", *[f"t.{c}" for c in _COLS]).unionByName(alone.select("file_id", *[f"t.{c}" for c in _COLS]))
 
 
 def _has(c: str) -> Column:
@@ -29,8 +32,9 @@ def _has(c: str) -> Column:
 def first_results(tasks: DataFrame) -> DataFrame:
     """One row per result of the first group that has any, else of the task itself: (..., idx, r)."""
     groups = F.when(_has("annotations"), F.col("annotations")).when(_has("completions"), F.col("completions")).otherwise(F.col("predictions"))
-    filled = F.filter(groups, lambda g: F.size(g["result"]) > 0)
-    chosen = F.coalesce(F.get(filled, F.lit(0))["result"], F.col("result"))
+    some = lambda r: F.when(F.size(r) > 0, r)
+    filled = F.filter(F.transform(groups, lambda g: F.coalesce(some(g["result"]), some(g["response"]))), lambda r: r.isNotNull())
+    chosen = F.coalesce(F.get(filled, F.lit(0)), F.col("result"))
     return tasks.select(*[c for c in tasks.columns if c not in ("annotations", "completions", "predictions", "result")],
                         F.posexplode(chosen).alias("idx", "r"))
 
@@ -40,8 +44,18 @@ def all_results(tasks: DataFrame) -> DataFrame:
     return tasks.select("*", F.explode("annotations").alias("_g")).select(*tasks.columns, F.explode("_g.result").alias("r"))
 
 
+#: Endings of picture names; fixed values.
+_ENDINGS = (".png", ".jpg", ".jpeg")
+
+
+def image_reference() -> Column:
+    """First value under any key of `data` that names a picture: by its ending, or a web address that holds one."""
+    named = lambda v: F.lower(v).rlike("(" + "|".join(e.replace(".", "[.]") for e in _ENDINGS) + ")$") | (v.startswith("http") & v.rlike("|".join(e.replace(".", "[.]") for e in _ENDINGS)))
+    return F.get(F.filter(F.map_values("data"), lambda v: v.isNotNull() & named(v)), F.lit(0))
+
+
 def image_name() -> Column:
-    return F.element_at(F.split(F.coalesce("data.image", "data.url"), "/"), -1)
+    return F.element_at(F.split(image_reference(), "/"), -1)
 
 
 def component(r: Column) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewright.sources import tables
+from tracewright.sources import entries
 
 
 def files(spark: SparkSession, path: str, schema: str, fmt: str = "json", per_batch: int = 1000) -> DataFrame:
@@ -65,7 +65,7 @@ def upsert_store(changes: DataFrame, path: str, checkpoint: str, drain: bool = F
     decides over all of them.
     """
     def apply(batch: DataFrame, _id: int) -> None:
-        tables.merge_entries(batch, path)
+        entries.merge_entries(batch, path)
 
     w = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if drain else w).start()
