@@ -237,3 +237,46 @@ def test_spans_and_polygon_masks(spark):
     kind = "array<array<double>>"
     got = evaluation.polygon_mask_iou(spark.createDataFrame(truth, f"s int, gt int, points {kind}"), spark.createDataFrame(preds, f"s int, pr int, points {kind}"), ["s"])
     assert {(r.s, r.gt): r.iou for r in got.collect()} == pytest.approx(want)
+
+
+def _free_boxes(preds, truth, least):
+    """The serial loop: each prediction of a model in score order takes the free box with the highest IoU, the first of equals."""
+    def iou(a, b):
+        i = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        return i / (a[2] * a[3] + b[2] * b[3] - i)
+
+    taken, out = set(), []
+    for m, p, im, c, s, *box in sorted(preds, key=lambda r: (-r[4], r[2], r[1])):
+        best = max(((iou(box, g[3:]), -g[0]) for g in truth if g[1:3] == (im, c) and (m, g[0]) not in taken), default=(0, 0))
+        if best[0] >= least:
+            taken.add((m, -best[1]))
+            out.append((m, p, -best[1]))
+    return sorted(out)
+
+
+_PRED, _TRUE = "model string, pred_id long, image_id long, category_id long, score double, x long, y long, w long, h long", "ann_id long, image_id long, category_id long, x long, y long, w long, h long"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_free_box_matches(spark, seed):
+    """Piles of equal boxes, shapes that lie equally well on either side, two models."""
+    from tracewright.operators import evaluation
+
+    rnd = random.Random(seed)
+    shape = lambda: (rnd.choice([0, 2, 4, 6, 40]), rnd.choice([0, 0, 3]), 20, rnd.choice([20, 24]))
+    truth = [(i, i % 2, 1, *shape()) for i in range(60)]
+    preds = [(rnd.choice("ab"), i, i % 2, 1, round(rnd.random(), 1), *shape()) for i in range(120)]
+    got = evaluation.free_box_matches(spark.createDataFrame(preds, _PRED), spark.createDataFrame(truth, _TRUE), 0.5)
+    assert sorted(map(tuple, got.select("model", "pred_id", "ann_id").collect())) == _free_boxes(preds, truth, 0.5)
+
+
+def test_a_pile_is_matched_in_linear_rows(spark, monkeypatch):
+    """10,000 equal predictions on 9,000 equal boxes, ranked in slices: the first 9,000 by score get the boxes in order."""
+    from tracewright.operators import evaluation
+
+    monkeypatch.setattr(scale, "GROUP_ROWS", 500)
+    i = F.col("id")
+    preds = spark.range(10_000).select(F.lit("a").alias("model"), i.alias("pred_id"), F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), ((i * 7919) % 10_000 / 10_000).alias("score"), *[F.lit(v).alias(c) for c, v in zip("xywh", (5, 5, 10, 10))])
+    truth = spark.range(9_000).select(i.alias("ann_id"), F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), *[F.lit(v).alias(c) for c, v in zip("xywh", (6, 5, 10, 10))])
+    got = evaluation.free_box_matches(preds, truth, 0.5).join(preds.select("pred_id", "score"), "pred_id").orderBy(F.desc("score")).select("ann_id").collect()
+    assert [r.ann_id for r in got] == list(range(9_000))

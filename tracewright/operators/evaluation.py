@@ -117,19 +117,35 @@ def class_mean_ap(ap: DataFrame) -> DataFrame:
 
 
 def free_box_matches(preds: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
-    """(model, pred_id, ann_id): one-to-one matches where each prediction of a model, in score order, takes its best free box."""
+    """(model, pred_id, ann_id): one-to-one matches where each prediction of a model, in score order, takes its best free box.
+
+    Boxes of one shape are one target with as many places; the place that a prediction
+    gets, in score order, is the box with that number, so n equal predictions on m equal
+    boxes are n rows. Only shapes that lie equally well for some prediction are taken
+    box by box: there the first box decides, not the shape.
+    """
     on = ["image_id", "category_id"]
-    shapes = shape_pairs(preds, truth, on, min_iou)
     l_cols, r_cols = ["l_" + c for c in SHAPE], ["r_" + c for c in SHAPE]
+    shapes = stage(shape_pairs(preds, truth, on, min_iou))
+    equal = shapes.groupBy(*on, *l_cols, "iou").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    single = shapes.join(equal, [*on, *l_cols, "iou"], "left_semi").select(*on, *r_cols).distinct().withColumn("single", F.lit(True))
+    piles = truth.groupBy(*on, *SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("ann_id").alias("first"))
+    largest = piles.agg(F.max("n")).first()[0] or 0
+    boxes = scale.placed(truth.select("ann_id", *on, *SHAPE), [*on, *SHAPE], [F.col("ann_id")], "place", largest)
+    boxes = _prefixed(boxes, "r_", SHAPE).join(single, [*on, *r_cols], "left")
+    # a target is a shape with its places, or a box of a shape in a tie
+    target = F.struct(*on, *r_cols, F.when(F.col("single"), F.col("ann_id")).alias("box"))
+    boxes = stage(boxes.select("ann_id", *on, *r_cols, target.alias("target"), F.when(F.col("single"), F.lit(1)).otherwise(F.col("place")).alias("place")))
+    targets = boxes.groupBy(*on, *r_cols, "target").agg(F.max("place").alias("places"), F.min("ann_id").alias("first"))
     pairs = (
-        shapes.join(_prefixed(preds, "l_", SHAPE), [*on, *l_cols])
-        .join(_prefixed(truth.select("ann_id", *on, *SHAPE), "r_", SHAPE), [*on, *r_cols])
-        .select(F.struct("model", "pred_id").alias("pred"), F.struct("model", "ann_id").alias("box"), "iou", "score", "image_id")
+        shapes.join(targets, [*on, *r_cols])
+        .join(_prefixed(preds, "l_", SHAPE), [*on, *l_cols])
+        .select(F.struct("model", "pred_id").alias("pred"), F.struct("model", "target").alias("box"), "iou", "first", "places", "score", "image_id")
     )
     # every model has the boxes to itself
     rank = [(-F.col("score")).alias("s"), F.col("image_id"), F.col("pred.pred_id").alias("p")]
-    got = scale.priority_matching(pairs, "pred", "box", rank, [(-F.col("iou")).alias("i")])
-    return got.select("pred.model", "pred.pred_id", "box.ann_id")
+    got = scale.priority_matching(pairs, "pred", "box", rank, [(-F.col("iou")).alias("i"), F.col("first")], F.col("places"))
+    return got.select("pred.*", "box.target", "place").join(boxes.select("target", "place", "ann_id"), ["target", "place"]).select("model", "pred_id", "ann_id")
 
 
 def threshold_index(score: Column, steps: int = 100) -> Column:

@@ -150,27 +150,42 @@ def _ladder(pairs: DataFrame, node: str) -> DataFrame:
     return free.withColumn("kept", F.lit(True)).unionByName(hung)
 
 
+#: Rows of one group that a window in one task may count; larger groups are cut into slices.
+GROUP_ROWS = 1_000_000
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, largest: int) -> DataFrame:
+    """`row_number` per group; `largest` is the size of the largest group, which decides how."""
+    if largest > GROUP_ROWS:
+        return ranked(df, keys, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def priority_matching(
-    pairs: DataFrame, seeker: str, target: str, seeker_rank: Sequence[Column], taste: Sequence[Column],
+    pairs: DataFrame, seeker: str, target: str, seeker_rank: Sequence[Column], taste: Sequence[Column], places: Column | None = None,
 ) -> DataFrame:
-    """Seekers choose in rank order their best still free target.
+    """Seekers choose in rank order their best target that has a place left.
 
-    Deferred acceptance: every unheld seeker asks its best target that has not
-    refused it, each target holds its first-ranked asker. The stable result is
-    the one the serial loop reaches, and it needs no serial pass.
-    Returns (seeker, target).
+    Deferred acceptance: every seeker asks its best target that has not refused it,
+    a target with n places (one, unless `places` says more) holds its n first-ranked
+    askers. The stable result is the one the serial loop reaches, and it needs no serial
+    pass. Returns (seeker, target) and, with `places`, the place: those of a target are
+    counted from 1 in rank order. With `places` no two targets of a seeker may taste the same.
     """
     rank = F.struct(*seeker_rank)
-    pairs = stage(
-        pairs.select(F.col(seeker).alias("s"), F.col(target).alias("t"), rank.alias("r"), F.struct(*taste).alias("f"))
-    )
+    pairs = stage(pairs.select(
+        F.col(seeker).alias("s"), F.col(target).alias("t"), rank.alias("r"), F.struct(*taste).alias("f"), (F.lit(1) if places is None else places).cast("bigint").alias("m")))
     while True:  # every round refuses a pair or ends
-        asks = pairs.groupBy("s").agg(F.min_by(F.struct("t", "r"), F.struct("f", "t")).alias("p")).select("s", "p.t", "p.r")
-        held = asks.groupBy("t").agg(F.min_by("s", "r").alias("held"), F.count(F.lit(1)).alias("n"))
-        refused = asks.join(held.where("n > 1"), "t").where("s <> held").select("s", "t")
-        refused = stage(refused)
-        if refused.isEmpty():
-            return held.select(F.col("held").alias(seeker), F.col("t").alias(target))
+        asks = stage(pairs.groupBy("s").agg(F.min_by(F.struct("t", "r", "m"), F.struct("f", "t")).alias("p")).select("s", "p.t", "p.r", "p.m"))
+        loads = asks.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+        load = loads.agg(F.count_if(F.col("n") > F.col("m")).alias("over"), F.max("n").alias("largest")).first()
+        if not load.over and places is None:
+            return asks.select(F.col("s").alias(seeker), F.col("t").alias(target))
+        if not load.over:
+            place = placed(asks, ["t"], [F.col("r")], "place", load.largest or 0)
+            return place.select(F.col("s").alias(seeker), F.col("t").alias(target), "place")
+        crowded = asks.join(loads.where(F.col("n") > F.col("m")).select("t"), "t", "left_semi")
+        refused = placed(crowded, ["t"], [F.col("r")], "place", load.largest).where(F.col("place") > F.col("m")).select("s", "t")
         pairs = stage(pairs.join(refused, ["s", "t"], "left_anti"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.plans.views import VIEWS, check_text, spark_text
 
-FAMILIES = ("evaluation", "boxes", "datasets", "quality", "tokens", "wires", "records", "streams")
+FAMILIES = ("evaluation", "boxes", "datasets", "quality", "tokens", "wires", "records", "streams", "files")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}

@@ -13,9 +13,9 @@ def read_epochs(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(schemas.EPOCHS).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(paths)
 
 
-def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """(request_id, component, value) of all `*_corrections.json`; broken files are left out."""
-    raw = spark.read.schema(schemas.CORRECTIONS).option("multiLine", True).option("pathGlobFilter", "*_corrections.json").json(path)
+def read_corrections(spark: SparkSession, path: str, pattern: str = "*_corrections.json", lines: bool = False) -> DataFrame:
+    """(request_id, component, value) of all matching files, one document a file or, with `lines`, one a line; broken ones are left out."""
+    raw = spark.read.schema(schemas.CORRECTIONS).option("multiLine", not lines).option("pathGlobFilter", pattern).json(path)
     rows = raw.where("_corrupt_record IS NULL")
     return rows.select("request_id", F.explode("corrections").alias("c")).select("request_id", "c.*")
 
@@ -32,9 +32,9 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(last, ["request_id", "written"]).select("request_id", "component", "value")
 
 
-def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
+def read_benchmarks(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Benchmark files of four shapes as one row type; unknown shapes and broken files keep a row."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("source_file"), F.try_parse_json("value").alias("d")).dropDuplicates(["source_file"])
     get = lambda v, p, t: F.try_variant_get(v, f"$.{p}", t)
     d = F.col("d")
