@@ -155,3 +155,51 @@ def test_cycle_basis_closes_every_outside_edge(spark):
         assert (s, a, b) in pairs and {a, b} <= c
         # inside the cycle every node has two ways on, except in a loop on one node
         assert len(c) == 1 or all(sum((s, min(n, m), max(n, m)) in pairs for m in c if m != n) >= 2 for n in c)
+
+
+def test_forest_of_a_long_path(spark):
+    """A path of 10,000 nodes, a hub of 400, random sheets: parents, depths and ways, in rounds of the logarithm."""
+    from tracewright.operators import forests
+
+    rnd = random.Random(3)
+    path = list(range(10_000))
+    pairs = {(0, min(u, v), max(u, v)) for u, v in zip(path, path[1:])} | {(1, 0, k) for k in range(1, 400)}
+    for s in range(2, 6):
+        pairs |= {(s, *sorted(rnd.sample(range(40), 2))) for _ in range(55)}
+    rows, _calls = sorted(pairs), []
+    edges = spark.createDataFrame(rows, "sheet_id long, a long, b long")
+    root, forest = {}, []
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+    for s, a, b in rows:
+        x, y = find((s, a)), find((s, b))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            forest.append((s, a, b))
+    on = ["sheet_id"]
+    got = forests.first_forest(edges, on)
+    assert sorted(map(tuple, got.collect())) == sorted(forest)
+    nodes = sorted({(s, n) for s, a, b in rows for n in (a, b)})
+    members = spark.createDataFrame([(*n, find(n)[1]) for n in nodes], "sheet_id long, n long, root long")
+    near = {}
+    for s, a, b in forest:
+        near.setdefault((s, a), []).append((s, b))
+        near.setdefault((s, b), []).append((s, a))
+    want, todo = {}, [(n, None, 0) for n in nodes if find(n) == n]
+    while todo:
+        n, up, d = todo.pop()
+        want[n] = (up and up[1], d)
+        todo += [(m, n, d + 1) for m in near.get(n, ()) if m != up]
+    tree = forests.stage(forests.rooted(got, members, on))
+    assert {(r.sheet_id, r.n): (r.parent, r.depth) for r in tree.collect()} == want
+    asked = [(0, 17, 9_000), (0, 5, 5), (1, 3, 399), (1, 0, 7)] + [(s, a, b) for s, a, b in rows if s > 1]
+    def way(s, a, b):
+        left, right = [a], [b]
+        while left[-1] != right[-1]:
+            one = left if want[s, left[-1]][1] >= want[s, right[-1]][1] else right
+            one.append(want[s, one[-1]][0])
+        return sorted((s, a, b, n) for n in {*left, *right})
+    ways = forests.paths(spark.createDataFrame(asked, "sheet_id long, a long, b long"), tree, on)
+    assert sorted(map(tuple, ways.collect())) == sorted(x for p in asked for x in way(*p))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import geometry as G
 from tracewright.functions import metadata as M
 from tracewright.functions.labels import lookup
-from tracewright.operators import scale, spatial
+from tracewright.operators import forests, scale, spatial
 from tracewright.session import stage
 
 
@@ -455,43 +455,18 @@ def segments_from_json(rows: DataFrame, text: str) -> DataFrame:
 
 
 def spanning_forest(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sheet_id, n, parent, depth): breadth-first tree of every net from its first node.
-
-    What a front reaches lies in the front before, in itself, or is new, so no round
-    looks at more than two fronts.
-    """
-    adj = stage(adjacency(edges).where("n <> neighbour"))
-    front = stage(members.where("n = root").select("sheet_id", "n", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth")))
-    seen, before = front, None
-    while True:
-        reached = front.select("sheet_id", "n", "depth").join(adj, ["sheet_id", "n"]).groupBy("sheet_id", F.col("neighbour").alias("n")).agg(
-            F.min(F.col("n")).alias("parent"), (F.min("depth") + 1).alias("depth"))
-        known = front if before is None else front.unionByName(before)
-        before, front = front, stage(reached.join(known.select("sheet_id", "n"), ["sheet_id", "n"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    """(sheet_id, n, parent, depth): every net hung on its first node, by the edges that close no circle with edges before them."""
+    plain = simple_edges(edges).where("a <> b")
+    return forests.rooted(forests.first_forest(plain, ["sheet_id"]), members, ["sheet_id"])
 
 
 def cycle_basis(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(sheet_id, a, b, n): the nodes of one cycle per edge (a, b) outside the spanning forest.
 
-    A basis is not unique; this one closes each outside edge over the tree. Both ends
-    climb, the deeper one first, until they meet.
+    A basis is not unique; this one closes each outside edge over the tree of the edges
+    before it. A loop is a cycle of one node.
     """
     tree = stage(spanning_forest(members, edges))
-    e = simple_edges(edges)
     used = tree.where("parent IS NOT NULL").select("sheet_id", F.least("n", "parent").alias("a"), F.greatest("n", "parent").alias("b"))
-    outside = e.join(used, ["sheet_id", "a", "b"], "left_anti")
-    up = lambda p: tree.select("sheet_id", F.col("n").alias(p), F.col("parent").alias(f"{p}_up"), F.col("depth").alias(f"{p}_d"))
-    walk = stage(outside.withColumns({"x": F.col("a"), "y": F.col("b")}))
-    found = walk.select("sheet_id", "a", "b", F.explode(F.array("x", "y")).alias("n"))
-    while True:
-        open_ = walk.where("x <> y")
-        if open_.isEmpty():
-            return found.distinct()
-        j = open_.join(up("x"), ["sheet_id", "x"]).join(up("y"), ["sheet_id", "y"])
-        walk = stage(j.select(
-            "sheet_id", "a", "b", F.when(F.col("x_d") >= F.col("y_d"), F.col("x_up")).otherwise(F.col("x")).alias("x"),
-            F.when(F.col("y_d") >= F.col("x_d"), F.col("y_up")).otherwise(F.col("y")).alias("y")))
-        found = found.unionByName(walk.select("sheet_id", "a", "b", F.explode(F.array("x", "y")).alias("n")))
+    outside = simple_edges(edges).join(used, ["sheet_id", "a", "b"], "left_anti")
+    return forests.paths(outside, tree, ["sheet_id"])

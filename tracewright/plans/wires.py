@@ -355,6 +355,11 @@ def _(t):
     return Q.issue_rows(p, ["deck_id", "comp"], W.payload_issues()).select("deck_id", "comp", "code")
 
 
-@query("cycle_listing_g04")
+@query("cycle_listing_g04", f"""WITH RECURSIVE {_EDGES}, ed AS (SELECT DISTINCT sheet_id, a, b FROM simple), around AS (SELECT sheet_id, a, b, a AS n FROM ed UNION
+SELECT r.sheet_id, r.a, r.b, CASE WHEN f.a=r.n THEN f.b ELSE f.a END FROM around r JOIN ed f ON f.sheet_id=r.sheet_id AND (f.a=r.n OR f.b=r.n) AND (f.a<r.a OR (f.a=r.a AND f.b<r.b))),
+outside AS (SELECT DISTINCT sheet_id, a, b FROM around WHERE n=b), tree AS (SELECT sheet_id, a, b FROM ed EXCEPT SELECT sheet_id, a, b FROM outside),
+ways AS (SELECT sheet_id, a AS u, b AS v FROM tree UNION ALL SELECT sheet_id, b, a FROM tree),
+walk AS (SELECT sheet_id, a, b, a AS n, [a] AS path FROM outside UNION ALL SELECT w.sheet_id, w.a, w.b, t.v, list_append(w.path, t.v) FROM walk w JOIN ways t ON t.sheet_id=w.sheet_id AND t.u=w.n WHERE w.n<>w.b AND NOT list_contains(w.path, t.v))
+SELECT sheet_id, a, b, unnest(path) AS n FROM walk WHERE n=b""")
 def _(t):
     return W.cycle_basis(W.nets(_nodes(t), _edges(t)), _edges(t))
