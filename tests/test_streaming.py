@@ -1,12 +1,13 @@
 """Streams over several batches end where their batch twins do."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.operators import records
-from tracewright.sources import tables
+from tracewright.sources import entries
 from tracewright.streaming import logs
 
 
@@ -51,7 +52,7 @@ def test_store_upserts_over_batches(spark, tmp_path):
     q.awaitTermination()
     last = {r["id"]: r for r in sorted(rows, key=lambda r: r["seq"])}
     want = {(k, r["label"]) for k, r in last.items() if not r["is_delete"]}
-    assert {(r.id, r.label) for r in tables.read_entries(spark, str(tmp_path / "s")).collect()} == want
+    assert {(r.id, r.label) for r in entries.read_entries(spark, str(tmp_path / "s")).collect()} == want
 
 
 def test_table_of_parts_is_streamed(spark, tmp_path):
@@ -72,3 +73,27 @@ def test_late_requests_count(spark, tmp_path):
         _put(src, f"{b}.json", [{"ts": ts, "outcome": "ok", "latency_ms": 1.0}] * 3)
     out = logs.run_to_end(logs.outcome_counts(logs.files(spark, str(src), schemas.REQUEST, per_batch=1)), "update", str(tmp_path / "o"))
     assert sum(r.n for r in out.collect()) == 6
+
+
+def test_session_tail_does_not_depend_on_the_order_of_batches(spark, tmp_path):
+    """The same messages in several orders give the same messages and fields; only touched sessions come out."""
+    batches = [[{"session_id": s, "turn": b * 3 + i, "role": "user", "content": f"{b}{i}", "ts": "2024-01-01T00:00:00",
+                 "updates": {"a": f"{b}{i}", f"only{b}": None if i == 2 else "v", "gone": None if b == 3 else "x"}} for i in range(3) for s in (("s0", "s1") if b else ("s0",))] for b in range(4)]
+    ends = []
+    for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)):
+        name = "".join(map(str, order))
+        for k, b in enumerate(order):
+            _put(tmp_path / name, f"{k}.json", batches[b])
+            os.utime(tmp_path / name / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)  # files come by their time
+        out = logs.run_to_end(logs.session_tail(logs.files(spark, str(tmp_path / name), schemas.MESSAGE, per_batch=1), 5), "update", str(tmp_path / f"o{name}"))
+        rows = out.collect()
+        assert {r.batch for r in rows if r.session_id == "s1"} == {k for k, b in enumerate(order) if b}
+        last = max(r.batch for r in rows if r.session_id == "s0")
+        ends.append(sorted((r.turn, r.content, tuple(sorted(r.fields.items()))) for r in rows if r.session_id == "s0" and r.batch == last))
+    assert ends[0] == ends[1] == ends[2] and [t for t, *_ in ends[0]] == [7, 8, 9, 10, 11] and dict(ends[0][0][2]) == {"a": "32"}
+
+
+def test_idle_sessions_have_a_timer(spark, tmp_path):
+    _put(tmp_path / "in", "0.json", [{"session_id": "s", "turn": 1, "role": "user", "content": "m", "ts": "2024-01-01T00:00:00", "updates": {"a": "1"}}])
+    tail = logs.session_tail(logs.files(spark, str(tmp_path / "in"), schemas.MESSAGE, per_batch=1), 5, idle_ms=3_600_000)
+    assert [(r.turn, r.fields) for r in logs.run_to_end(tail, "update", str(tmp_path / "o")).collect()] == [(1, {"a": "1"})]
