@@ -93,7 +93,47 @@ def test_session_tail_does_not_depend_on_the_order_of_batches(spark, tmp_path):
     assert ends[0] == ends[1] == ends[2] and [t for t, *_ in ends[0]] == [7, 8, 9, 10, 11] and dict(ends[0][0][2]) == {"a": "32"}
 
 
-def test_idle_sessions_have_a_timer(spark, tmp_path):
-    _put(tmp_path / "in", "0.json", [{"session_id": "s", "turn": 1, "role": "user", "content": "m", "ts": "2024-01-01T00:00:00", "updates": {"a": "1"}}])
-    tail = logs.session_tail(logs.files(spark, str(tmp_path / "in"), schemas.MESSAGE, per_batch=1), 5, idle_ms=3_600_000)
-    assert [(r.turn, r.fields) for r in logs.run_to_end(tail, "update", str(tmp_path / "o")).collect()] == [(1, {"a": "1"})]
+def test_idle_sessions_are_forgotten():
+    """The timer moves with every batch that touches the session; when it runs out, nothing is left."""
+    import pandas as pd
+
+    class Items:
+        def __init__(self):
+            self.rows = []
+        def get(self):
+            return iter(self.rows)
+        def put(self, rows):
+            self.rows = list(rows)
+        def clear(self):
+            self.rows = []
+
+    class Named(dict):
+        containsKey, getValue, iterator = dict.__contains__, dict.__getitem__, dict.items
+        def updateValue(self, k, v):
+            self[k] = v
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.kept, self.fields = [], Items(), Named()
+        def getListState(self, name, schema):
+            return self.kept
+        def getMapState(self, name, key, value):
+            return self.fields
+        def listTimers(self):
+            return iter(self.timers)
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentProcessingTimeInMs = lambda: ms
+
+    handle, tail = Handle(), logs._Tail(2, 500)
+    tail.init(handle)
+    for ms, turn in ((1000, 1), (1200, 2)):
+        part = pd.DataFrame({"turn": [turn], "role": ["user"], "content": ["m"], "updates": [{"a": str(turn)}]})
+        out = list(tail.handleInputRows(("s",), iter([part]), Now(ms)))
+        assert handle.timers == [ms + 500] and out[0]["turn"].tolist() == list(range(1, turn + 1)) and out[0]["fields"][0] == {"a": str(turn)}
+    assert list(tail.handleExpiredTimer(("s",), Now(1800), None)) == [] and handle.kept.rows == [] and handle.fields == {}

@@ -77,8 +77,8 @@ def session_tail(messages: DataFrame, keep: int = 40, idle_ms: int | None = None
 
     A field has the value of the latest turn that names it, whatever the order in which
     batches come; null removes it. State is read and written for touched sessions
-    only. With `idle_ms` a session without messages for so long is forgotten, else its last
-    messages and its fields stay as long as the query. Needs the state store that keeps lists and maps.
+    only. With `idle_ms` a session without messages for so long is forgotten (a query that
+    drains its source then waits for its timers), else its last messages and its fields stay as long as the query. Needs the state store that keeps lists and maps.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     mode = "None" if idle_ms is None else "ProcessingTime"
