@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.operators import scale
 from tracewright.operators.quality import exact_quantiles
+from tracewright.session import stage
 
 
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
@@ -154,32 +155,71 @@ def attach_or_inline(owners: DataFrame, stored: DataFrame, key: str, inline: str
 MATCH_POINTS = {"history": 5, "kind": 2, "source": 2, "filename": 1, "url": 1}
 
 
+#: Points that are tried together, the most first.
+BANDS = ((7, 11), (3, 6), (1, 2))
+#: Copies of an entry that the lookups of a single field's value are dealt over.
+SALTS = 16
+
+
 def best_scoring(lookups: DataFrame, entries: DataFrame) -> DataFrame:
     """Entry with the highest sum of points per lookup, newest on ties, then first.
 
-    For every set of fields the newest entry per value combination is kept, and a
-    lookup meets at most one entry per set. The largest set score reached is the
-    true best score, so no lookup is ever paired with all entries of a common value.
+    The sets of fields that agree are tried in bands from the most points down; a lookup
+    that has found an entry asks no further. For every set the newest entry per value combination
+    is kept, so no lookup is ever paired with all entries of a common value, and
+    values of a single field, which many lookups share, are dealt over SALTS keys.
     """
     fields = list(MATCH_POINTS)
     sets = [c for r in range(1, len(fields) + 1) for c in combinations(fields, r)]
+    points = lambda names: sum(MATCH_POINTS[n] for n in names)
 
-    def keyed(df: DataFrame) -> DataFrame:
+    def keyed(df: DataFrame, tried: Sequence[tuple], salts: Column) -> DataFrame:
         cells = []
-        for i, names in enumerate(sets):
+        for i, names in enumerate(tried):
             vals = [F.lower(F.col(n)) if n == "kind" else F.col(n) for n in names]
             ok = vals[0].isNotNull() & (vals[0] != "")
             for v in vals[1:]:
                 ok = ok & v.isNotNull() & (v != "")
-            score = sum(MATCH_POINTS[n] for n in names)
-            cells.append(F.when(ok, F.struct(F.lit(i).alias("set"), F.concat_ws("\u0001", *vals).alias("val"), F.lit(score).alias("score"))))
-        return df.withColumn("_k", F.explode(F.array_compact(F.array(*cells)))).select("*", "_k.*").drop("_k")
-
-    newest = keyed(entries).groupBy("set", "val").agg(
-        F.max(F.struct("updated_at", (-F.col("ord")).alias("neg_ord"), "entry_id")).alias("e"))
-    hits = keyed(lookups).select("lookup_id", "set", "val", "score").join(newest, ["set", "val"])
-    best = hits.groupBy("lookup_id").agg(F.max(F.struct("score", "e")).alias("b"))
-    return best.select("lookup_id", F.col("b.e.entry_id").alias("entry_id"), F.col("b.score").alias("score"))
+            spread = salts if len(names) == 1 else F.array(F.lit(0))
+            cells.append(F.when(ok, F.struct(F.lit(i).alias("set"), F.concat_ws("\u0001", *vals).alias("val"), F.lit(points(names)).alias("score"), spread.alias("salts"))))
+        return df.withColumn("_k", F.explode(F.array_compact(F.array(*cells)))).select("*", "_k.set", "_k.val", "_k.score", F.explode("_k.salts").alias("salt")).drop("_k")
+
+    left, found = lookups.select("lookup_id", *fields), None
+    one, every = F.array(F.pmod(F.xxhash64("lookup_id"), F.lit(SALTS)).cast("int")), F.array(*[F.lit(k) for k in range(SALTS)])
+    for low, high in BANDS:
+        tried = [c for c in sets if low <= points(c) <= high]
+        newest = keyed(entries, tried, F.array(F.lit(0))).groupBy("set", "val").agg(F.max(F.struct("updated_at", (-F.col("ord")).alias("neg_ord"), "entry_id")).alias("e"))
+        alone = F.array(*[F.lit(i) for i, c in enumerate(tried) if len(c) == 1]).cast("array<int>")
+        newest = newest.withColumn("salt", F.explode(F.when(F.array_contains(alone, F.col("set")), every).otherwise(F.array(F.lit(0)))))
+        hits = keyed(left, tried, one).select("lookup_id", "set", "val", "score", "salt").join(newest, ["set", "val", "salt"])
+        best = stage(hits.groupBy("lookup_id").agg(F.max(F.struct("score", "e")).alias("b")).select("lookup_id", F.col("b.e.entry_id").alias("entry_id"), F.col("b.score").alias("score")))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select("lookup_id"), "lookup_id", "left_anti")
+    return found
+
+
+def only_ending(endings: DataFrame, files: DataFrame) -> DataFrame:
+    """(_t, _u): each ending `_t` that exactly one row of `files` has, with its name.
+
+    Names and endings are sorted from their last letter on. The names with an ending
+    follow it there, so the next two names tell whether there is exactly one: a row
+    per name and ending, however long they are.
+    """
+    turned = lambda c: F.reverse(F.col(c))
+    names = files.select(turned("name").alias("k"), F.lit(True).alias("is_name"), F.monotonically_increasing_id().alias("tie"))
+    rows = names.unionByName(endings.select(turned("_t").alias("k"), F.lit(False).alias("is_name"), F.lit(0).cast("bigint").alias("tie")).distinct())
+    # walking from the end, every row sees the two names that come next
+    order = [F.desc("k"), F.desc("is_name"), F.desc("tie")]
+    sliced = scale.slice_by_order(rows, [], order)
+    place = F.when(F.col("is_name"), F.col("k"))
+    seen = scale.running(sliced, [], order, {"place": F.col("is_name").cast("bigint")})
+    numbered = stage(seen.select("k", "is_name", "place").withColumn("name", place))
+    ask = numbered.where("NOT is_name AND place > 0").select(F.col("k").alias("q"), "place")
+    by = numbered.where("is_name").select("place", "name")
+    first = ask.join(by, "place").where(F.startswith(F.col("name"), F.col("q")))
+    second = by.select((F.col("place") + 1).alias("place"), F.col("name").alias("other"))
+    alone = first.join(second, "place", "left").where(F.col("other").isNull() | ~F.startswith(F.col("other"), F.col("q")))
+    return alone.select(turned("q").alias("_t"), turned("name").alias("_u"))
 
 
 def resolve_names(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -190,14 +230,9 @@ def resolve_names(refs: DataFrame, files: DataFrame) -> DataFrame:
     names = files.select("name").distinct()
     exact = names.select(F.col("name").alias("_b"), F.col("name").alias("_e"))
     cut = names.select(F.col("name").alias("_s"), F.col("name").alias("_c"))
-    # every ending of a name, counted per ending: a common ending is one row, not one per file
-    ends = (
-        files.withColumn("_t", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr("name", i))))
-        .groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("_u")).where("_n = 1").drop("_n")
-    )
-    out = (
-        r.withColumn("_t", F.coalesce("_s", "_b")).join(exact, "_b", "left").join(cut, "_s", "left").join(ends, "_t", "left")
-    )
+    known = stage(r.withColumn("_t", F.coalesce("_s", "_b")).join(exact, "_b", "left").join(cut, "_s", "left"))
+    lost = known.where("_e IS NULL AND _c IS NULL AND _t <> ''").select("_t").distinct()
+    out = known.join(only_ending(lost, files), "_t", "left")
     how = F.when(F.col("_e").isNotNull(), "exact").when(F.col("_c").isNotNull(), "after_dash").when(F.col("_u").isNotNull(), "suffix")
     return out.withColumns({"file": F.coalesce("_e", "_c", "_u"), "how": how}).drop("_b", "_s", "_t", "_e", "_c", "_u")
 
