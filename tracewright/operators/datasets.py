@@ -137,3 +137,8 @@ def generated_labels(components: DataFrame, classes: dict[str, int], unknown: in
     corners = G.rotated_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("rotation"))
     rows = components.withColumn("class_idx", lookup(F.col("type"), classes, None, unknown)).where("class_idx IS NOT NULL")
     return rows.withColumn("coords", G.scale_polygon(corners, F.col("width"), F.col("height")))
+
+
+def synthetic_test_part(images: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first `n` made test images, without those among them that were copied by hand before (`schemat` in the name)."""
+    return first_n(images, order, n).where(~F.lower("file_name").contains("schemat"))

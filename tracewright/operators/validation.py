@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import geometry as G
 from tracewright.functions import metadata as M
+from tracewright.session import stage
 
 
 def coco_issues(annotations: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def content_copies(files: DataFrame, id_col: str, content: Column) -> DataFrame:
 
     Rows, not lists: a hash shared by very many files stays spread out.
     """
-    hashed = files.select(id_col, F.sha2(content, 256).alias("hash"))
+    hashed = stage(files.select(id_col, F.sha2(content, 256).alias("hash")))  # contents are hashed once
     many = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return hashed.join(many, "hash")
 

@@ -203,7 +203,7 @@ def patch_stats(points: DataFrame, pixels: DataFrame, radius: int, width: int, h
     p = points.select("sheet_id", "id", F.greatest(F.lit(0), F.least(F.lit(width - 1), "x")).cast("double").alias("l_x"),
                       F.greatest(F.lit(0), F.least(F.lit(height - 1), "y")).cast("double").alias("l_y"))
     spots = pixels.select("sheet_id", F.col("px").cast("double").alias("r_x"), F.col("py").cast("double").alias("r_y"))
-    hit = spatial.near_join(p, spots, ["sheet_id"], float(radius)).groupBy("sheet_id", "id").agg(
+    hit = spatial.near_join(p, spots, ["sheet_id"], float(radius), few="left").groupBy("sheet_id", "id").agg(
         F.count(F.lit(1)).alias("area"), (F.max("r_x") - F.min("r_x") + 1).alias("box_w"), (F.max("r_y") - F.min("r_y") + 1).alias("box_h"))
     j = p.join(hit, ["sheet_id", "id"], "left").na.fill(0, ["area"]).na.fill(0.0, ["box_w", "box_h"])
     side = lambda c, size: F.least(F.lit(size), F.col(c) + radius + 1) - F.greatest(F.lit(0.0), F.col(c) - radius)
@@ -228,7 +228,7 @@ def covered_by_points(candidates: DataFrame, contour: DataFrame, tolerance: floa
     def close(p: str) -> DataFrame:
         ends = candidates.select("sheet_id", "id", F.col(f"{p}_x").cast("double").alias("l_x"), F.col(f"{p}_y").cast("double").alias("l_y"))
         d = G.distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
-        return spatial.near_join(ends, spots, ["sheet_id"], limit).where(d <= limit).select("sheet_id", "id").distinct()
+        return spatial.near_join(ends, spots, ["sheet_id"], limit, few="left").where(d <= limit).select("sheet_id", "id").distinct()
 
     return candidates.join(close("s"), ["sheet_id", "id"], "left_semi").join(close("e"), ["sheet_id", "id"], "left_semi")
 

@@ -130,14 +130,19 @@ def _(t):
     return im.join(blocked, "base", "left_anti").select("image_id", "file_name")
 
 
-@query("training_mix_u07", """SELECT image_id, 'train' AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('1:', CAST(image_id AS VARCHAR))), image_id) AS k FROM fx_images WHERE file_name LIKE 'synthetic%') q WHERE k<=100
+@query("training_mix_u07", """WITH made AS (SELECT image_id, file_name FROM fx_images WHERE file_name NOT LIKE 'scan%')
+SELECT image_id, 'train' AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('1:', CAST(image_id AS VARCHAR))), image_id) AS k FROM made WHERE image_id%3<>0) q WHERE k<=100
+UNION ALL SELECT image_id, 'test' FROM (SELECT image_id, file_name, row_number() OVER (ORDER BY image_id) AS k FROM made WHERE image_id%3=0) q WHERE k<=100 AND file_name NOT LIKE '%schemat%'
 UNION ALL SELECT image_id, CASE WHEN k<=floor(n*0.8e0) THEN 'train' ELSE 'test' END FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat('2:', CAST(image_id AS VARCHAR))), image_id) AS k, count(*) OVER () AS n FROM fx_images WHERE file_name LIKE 'scan%') q""")
 def _(t):
     im = t("fx_images")
-    made = im.where(F.col("file_name").startswith("synthetic")).withColumn("o", D.shuffled("image_id", 1))
-    sample = D.first_n(made, [F.col("o"), F.col("image_id")], 100).select("image_id", F.lit("train").alias("split"))
-    real = D.split_by_ratio(im.where(~F.col("file_name").startswith("synthetic")).select("image_id"), "image_id", 2, [("train", 0.8)], "test")
-    return sample.unionByName(real)
+    scan = F.col("file_name").startswith("scan")
+    # a third of the made images is the test part of the base set
+    made, kept = im.where(~scan), F.col("image_id") % 3 == 0
+    sample = D.first_n(made.where(~kept).withColumn("o", D.shuffled("image_id", 1)), [F.col("o"), F.col("image_id")], 100).select("image_id", F.lit("train").alias("split"))
+    tested = D.synthetic_test_part(made.where(kept), [F.col("image_id")], 100).select("image_id", F.lit("test").alias("split"))
+    real = D.split_by_ratio(im.where(scan).select("image_id"), "image_id", 2, [("train", 0.8)], "test")
+    return sample.unionByName(tested).unionByName(real)
 
 
 @query("renumbered_names_u08", """SELECT old_id, CASE WHEN old_id BETWEEN 51 AND 100 THEN concat('schematic_', lpad(CAST(old_id%500+200 AS VARCHAR), 3, '0'), '.png') ELSE file_name END AS file_name FROM fx_file_images""")
