@@ -166,12 +166,40 @@ def _(t):
     return _show(O.merge_units(_tokens(t)))
 
 
-@query("contained_tokens_j10")
+_TK = f"tk AS (SELECT page_id, ord, text, {_category_sql('text')} AS category, confidence, x, y, w, h, x+w/2 AS cx, y+h/2 AS cy FROM fx_raw_tokens)"
+_SHOWN = "page_id, CAST(ord AS VARCHAR) AS ord, text, category, round(confidence,6) AS confidence, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h"
+_NEAR = "r.page_id=l.page_id AND r.ord<>l.ord"
+_IN_BOX = "l.cx BETWEEN r.x AND r.x+r.w AND l.cy BETWEEN r.y AND r.y+r.h"
+_CLOSE = "abs(l.cx-r.cx)<80 AND abs(l.cy-r.cy)<80"
+
+
+@query("contained_tokens_j10", rf"""WITH RECURSIVE {_TK},
+rel AS (SELECT l.page_id, l.ord AS n, list(r.ord) AS os FROM tk l JOIN tk r ON {_NEAR} WHERE length(l.text)>=2 AND NOT l.text LIKE '.%' AND length(r.text)>length(l.text) AND contains(r.text, l.text) AND {_CLOSE}
+  AND (NOT (regexp_matches(l.text, '^[0-9]{{1,3}}$') AND r.category='value') OR ({_IN_BOX})) GROUP BY 1,2),
+walk AS (SELECT DISTINCT page_id, CAST(-1 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM tk
+  UNION ALL SELECT w.page_id, w.k+1, CASE WHEN len(list_filter(rel.os, lambda o: NOT list_contains(w.gone, o)))>0 THEN list_append(w.gone, w.k+1) ELSE w.gone END
+  FROM walk w LEFT JOIN rel ON rel.page_id=w.page_id AND rel.n=w.k+1 WHERE w.k<40),
+a AS (SELECT tk.* FROM tk JOIN walk w ON w.page_id=tk.page_id AND w.k=40 WHERE NOT list_contains(w.gone, tk.ord)),
+b AS (SELECT l.* FROM a l WHERE NOT (length(l.text)=1 AND NOT regexp_matches(l.text,'^[0-9]$') AND EXISTS (SELECT 1 FROM a r WHERE {_NEAR} AND length(r.text)>1 AND r.category='component' AND {_IN_BOX}))),
+c AS (SELECT l.* FROM b l WHERE NOT (regexp_matches(l.text,'^[0-9]$') AND EXISTS (SELECT 1 FROM b r WHERE {_NEAR} AND length(r.text)>1 AND contains(r.text, l.text) AND {_IN_BOX}))),
+d AS (SELECT l.* FROM c l WHERE NOT (l.text='0' AND EXISTS (SELECT 1 FROM c r WHERE {_NEAR} AND r.category='component' AND regexp_matches(r.text,'^L[0-9]') AND {_CLOSE})))
+SELECT {_SHOWN} FROM d""")
 def _(t):
     return _show(O.drop_contained(_tokens(t)))
 
 
-@query("line_merge_g11")
+@query("line_merge_g11", rf"""WITH RECURSIVE {_TK},
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cx, ord) AS k FROM tk WHERE category='other'),
+chains AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ends, CAST([] AS BIGINT[]) AS own FROM o
+  UNION ALL SELECT page_id, k, CASE WHEN spot IS NULL THEN list_append(ends, k) ELSE list_transform(ends, lambda e, i: CASE WHEN i=spot THEN k ELSE e END) END, list_append(own, coalesce(spot, len(ends)+1))
+  FROM (SELECT c.page_id, t.k, c.ends, c.own, (SELECT min(u.i) FROM (SELECT unnest(c.ends) AS e, generate_subscripts(c.ends, 1) AS i) u JOIN o p ON p.page_id=c.page_id AND p.k=u.e
+    WHERE abs(p.cy-t.cy)<=0.5*least(p.h,t.h) AND t.x-(p.x+p.w)<=3*least(p.h,t.h)) AS spot FROM chains c JOIN o t ON t.page_id=c.page_id AND t.k=c.k+1) q),
+last AS (SELECT page_id, own FROM chains c WHERE k=(SELECT max(k) FROM o WHERE o.page_id=c.page_id)),
+g AS (SELECT o.*, l.own[o.k] AS chain FROM o JOIN last l ON l.page_id=o.page_id),
+m AS (SELECT page_id, chain, string_agg(text, ' ' ORDER BY k) AS text, avg(confidence) AS confidence, min(x) AS x, min(y) AS y, max(x+w)-min(x) AS w, max(y+h)-min(y) AS h FROM g GROUP BY 1,2 HAVING count(*)>1),
+kept AS (SELECT concat('0.', CAST(tk.ord AS VARCHAR)) AS o2, tk.* FROM tk LEFT JOIN (SELECT g.page_id, g.ord FROM g JOIN m ON m.page_id=g.page_id AND m.chain=g.chain) u ON u.page_id=tk.page_id AND u.ord=tk.ord WHERE u.ord IS NULL)
+SELECT page_id, o2 AS ord, text, category, round(confidence,6) AS confidence, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h FROM kept
+UNION ALL SELECT page_id, concat('1.', CAST(row_number() OVER (PARTITION BY page_id ORDER BY chain) AS VARCHAR)), text, 'other', round(confidence,6), round(x,6), round(y,6), round(w,6), round(h,6) FROM m""")
 def _(t):
     return _show(O.merge_lines(_tokens(t), "other", False, True))
 
