@@ -161,16 +161,48 @@ def _show(df):
                      _r("confidence", "confidence"), *[_r(c, c) for c in "xywh"])
 
 
-@query("unit_merge_g10")
-def _(t):
-    return _show(O.merge_units(_tokens(t)))
-
-
 _TK = f"tk AS (SELECT page_id, ord, text, {_category_sql('text')} AS category, confidence, x, y, w, h, x+w/2 AS cx, y+h/2 AS cy FROM fx_raw_tokens)"
 _SHOWN = "page_id, CAST(ord AS VARCHAR) AS ord, text, category, round(confidence,6) AS confidence, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h"
 _NEAR = "r.page_id=l.page_id AND r.ord<>l.ord"
 _IN_BOX = "l.cx BETWEEN r.x AND r.x+r.w AND l.cy BETWEEN r.y AND r.y+r.h"
 _CLOSE = "abs(l.cx-r.cx)<80 AND abs(l.cy-r.cy)<80"
+_UNION = "least(l.x,r.x) AS x, least(l.y,r.y) AS y, greatest(l.x+l.w,r.x+r.w)-least(l.x,r.x) AS w, greatest(l.y+l.h,r.y+r.h)-least(l.y,r.y) AS h"
+_ROUND = "round(confidence,6) AS confidence, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h"
+
+
+def _pairing_sql(pairs: str, rank: str) -> str:
+    """CTEs that go through the seekers of `pairs` in order; each that is not used takes its best unused target (got)."""
+    return f"""lists AS (SELECT page_id, i, list(j ORDER BY {rank}) AS js, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM {pairs} GROUP BY page_id, i),
+walk AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j FROM lists
+  UNION ALL SELECT page_id, k, CASE WHEN pick IS NULL THEN used ELSE list_concat(used, [i, pick]) END, i, pick FROM (
+    SELECT w.page_id, l.k, w.used, l.i, CASE WHEN NOT list_contains(w.used, l.i) THEN list_filter(l.js, lambda x: NOT list_contains(w.used, x))[1] END AS pick FROM walk w JOIN lists l ON l.page_id=w.page_id AND l.k=w.k+1) q),
+got AS (SELECT page_id, i, j FROM walk WHERE j IS NOT NULL),
+pair AS (SELECT g.page_id, g.i, g.j FROM got g), used AS (SELECT page_id, i AS ord FROM got UNION SELECT page_id, j FROM got)"""
+
+
+_PAIR_ROWS = "FROM pair p JOIN tk l ON l.page_id=p.page_id AND l.ord=p.i JOIN tk r ON r.page_id=p.page_id AND r.ord=p.j"
+_UNUSED = "FROM tk LEFT JOIN used u ON u.page_id=tk.page_id AND u.ord=tk.ord WHERE u.ord IS NULL"
+
+
+_UNITS = "('" + "','".join(O.UNITS) + "')"
+_BESIDE = "(regexp_matches(r.text,'^[0-9]+[.]?[0-9]*$') AND abs(l.cy-r.cy)<=greatest(l.h,r.h)*0.7 AND l.x-(r.x+r.w) BETWEEN 0 AND 30)"
+_ABOVE = "(abs(l.cx-r.cx)<=greatest(l.w,r.w)*1.5 AND l.cy-r.cy>0 AND l.cy-r.cy<=greatest(l.h,r.h)*3)"
+
+
+@query("unit_merge_g10", rf"""WITH RECURSIVE {_TK},
+rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, CASE WHEN {_BESIDE} THEN 0 ELSE 1 END AS way, CASE WHEN {_BESIDE} THEN l.x-(r.x+r.w) ELSE l.cy-r.cy END AS d FROM tk l JOIN tk r ON r.page_id=l.page_id
+  WHERE l.text IN {_UNITS} AND regexp_matches(r.text,'^[0-9]+[.,]?[0-9]*$') AND ({_BESIDE} OR {_ABOVE})),
+{_pairing_sql("rel", "way, d, j")},
+m0 AS (SELECT p.page_id, p.i AS ord, concat(r.text, l.text) AS raw, (l.confidence+r.confidence)/2 AS confidence, {_UNION} {_PAIR_ROWS}), {_clean_sql("m0", "page_id, ord", "raw", "um")},
+one AS (SELECT tk.page_id, 0 AS lead, tk.ord, text, category, confidence, x, y, w, h {_UNUSED} UNION ALL SELECT m0.page_id, 1, m0.ord, um.t, 'value', confidence, x, y, w, h FROM m0 JOIN um ON um.page_id=m0.page_id AND um.ord=m0.ord),
+seq AS (SELECT *, x+w/2 AS cx, y+h/2 AS cy, row_number() OVER (PARTITION BY page_id ORDER BY lead, ord) AS k FROM one),
+n0 AS (SELECT l.page_id, l.k, l.lead, l.ord, concat(l.text, r.text) AS raw, (l.confidence+r.confidence)/2 AS confidence, {_UNION} FROM seq l JOIN seq r ON r.page_id=l.page_id AND r.k=l.k+1
+  WHERE regexp_matches(l.text,'^[0-9]$') AND regexp_matches(r.text,'^[.][0-9]+') AND r.cx-l.cx>0 AND r.cx-l.cx<80 AND abs(r.cy-l.cy)<greatest(l.h,r.h)*0.6), {_clean_sql("n0", "page_id, k", "raw", "un")},
+fin AS (SELECT s.page_id, s.lead, s.ord, s.text, s.category, s.confidence, s.x, s.y, s.w, s.h FROM seq s LEFT JOIN n0 a ON a.page_id=s.page_id AND a.k=s.k LEFT JOIN n0 b ON b.page_id=s.page_id AND b.k+1=s.k WHERE a.k IS NULL AND b.k IS NULL
+  UNION ALL SELECT n0.page_id, lead, ord, un.t, 'value', confidence, x, y, w, h FROM n0 JOIN un ON un.page_id=n0.page_id AND un.k=n0.k)
+SELECT page_id, concat(CAST(lead AS VARCHAR), '.', CAST(ord AS VARCHAR)) AS ord, text, category, {_ROUND} FROM fin""")
+def _(t):
+    return _show(O.merge_units(_tokens(t)))
 
 
 @query("contained_tokens_j10", rf"""WITH RECURSIVE {_TK},
@@ -209,12 +241,28 @@ def _(t):
     return _show(O.merge_columns(_tokens(t)))
 
 
-@query("slash_merge_g10")
+_ENDS_IN_SLASH, _STARTS_WITH_SLASH = "l.text LIKE '%/' AND l.category='value' AND r.cy-l.cy>0", "l.text LIKE '/%' AND length(l.text)>1 AND r.cy-l.cy<0 AND r.category IN ('value','net_label')"
+
+
+@query("slash_merge_g10", rf"""WITH RECURSIVE {_TK},
+rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, CASE WHEN {_ENDS_IN_SLASH} THEN 0 ELSE 1 END AS way, abs(r.cy-l.cy) AS d FROM tk l JOIN tk r ON {_NEAR}
+  WHERE abs(r.cx-l.cx)<=greatest(l.w,40) AND abs(r.cy-l.cy)<=l.h*4 AND (({_ENDS_IN_SLASH}) OR ({_STARTS_WITH_SLASH}))),
+{_pairing_sql("rel", "way, d, j")},
+m AS (SELECT p.page_id, p.i AS ord, CASE WHEN r.cy>l.cy THEN l.text ELSE r.text END AS up, CASE WHEN r.cy>l.cy THEN r.text ELSE l.text END AS low, least(l.confidence,r.confidence) AS confidence, {_UNION} {_PAIR_ROWS})
+SELECT page_id, concat('0.', CAST(ord AS VARCHAR)) AS ord, CASE WHEN up LIKE '%/' AND low LIKE '/%' THEN concat(up, substr(low,2)) ELSE concat(up, low) END AS text, 'value' AS category, {_ROUND} FROM m
+UNION ALL SELECT tk.page_id, concat('1.', CAST(tk.ord AS VARCHAR)), text, category, {_ROUND.replace(" AS confidence", "").replace(" AS x", "").replace(" AS y", "").replace(" AS w", "").replace(" AS h", "")} {_UNUSED}""")
 def _(t):
     return _show(O.merge_slashes(_tokens(t)))
 
 
-@query("hyphen_merge_g10")
+@query("hyphen_merge_g10", rf"""WITH RECURSIVE {_TK},
+rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, r.cy-l.cy AS d FROM tk l JOIN tk r ON r.page_id=l.page_id
+  WHERE l.text LIKE '%-' AND length(l.text)>=3 AND l.category<>'net_label' AND r.category<>'component' AND r.cy-l.cy>0 AND r.cy-l.cy<=l.h*4 AND abs(r.cx-l.cx)<=greatest(l.w,80)),
+{_pairing_sql("rel", "d, j")},
+m AS (SELECT p.page_id, p.i AS ord, concat(left(l.text, length(l.text)-1), r.text) AS text, 'other' AS category, (l.confidence+r.confidence)/2 AS confidence, {_UNION} {_PAIR_ROWS}),
+gone AS (SELECT page_id, i AS ord FROM got UNION SELECT page_id, j FROM got WHERE j>i),
+kept AS (SELECT tk.page_id, tk.ord, text, category, confidence, x, y, w, h FROM tk LEFT JOIN gone u ON u.page_id=tk.page_id AND u.ord=tk.ord WHERE u.ord IS NULL)
+SELECT {_SHOWN} FROM (SELECT * FROM kept UNION ALL SELECT * FROM m) q""")
 def _(t):
     return _show(O.merge_hyphens(_tokens(t)))
 
