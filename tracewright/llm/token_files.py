@@ -176,7 +176,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for b in batches:
             for part, number, payload in zip(column(b, "part").to_pylist(), column(b, "segment").to_pylist(), column(b, "payload")):
                 s = Segment(payload.as_py())
-                starts = s.starts.values().astype(np.int64)
+                starts = np.array([s.starts.select(i) for i in range(s.n_docs + 1)], np.int64)
                 flat = np.frombuffer(s.ids, f"<u{s.width}")
                 texts = [flat[a:e] for a, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 out = {
