@@ -37,6 +37,8 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: Stands between chunks that are normalized together; no normalizer changes it or looks across it.
+_APART = "\x00"
 #: Chunks kept in each of two generations, and the longest chunk kept.
 KEPT, LONGEST = 500_000, 64
 
@@ -117,6 +119,7 @@ class LibraryEncoder:
         else:
             self.pieces = None
         self.letters = byte_letters()
+        self.id_bytes = [i.to_bytes(self.size, "little") for i in range(min(self.tok.get_vocab_size(), 1 << 8 * self.size))]
         self.store = ChunkStore(self._chunks)
         self.known: dict[str, bytes] = {}
 
@@ -125,14 +128,24 @@ class LibraryEncoder:
             named = piece.replace(" ", self.letters[32])
         else:
             named = "".join(map(self.letters.__getitem__, piece.encode()))
-        return b"".join([t.id.to_bytes(self.size, "little") for t in self.tok.model.tokenize(named)])
+        known = self.id_bytes
+        return b"".join([known[t.id] for t in self.tok.model.tokenize(named)])
+
+    def _normalized(self, chunks: list[str]) -> list[str]:
+        """The chunks without the space in front, normalized; a separator keeps those beyond ASCII apart in one call."""
+        plain = [c.removeprefix(" ") for c in chunks]
+        odd = [i for i, c in enumerate(plain) if not c.isascii()]
+        if odd:
+            whole = self.normal.normalize_str(_APART.join([plain[i] for i in odd])).split(_APART)
+            if len(whole) != len(odd):  # a chunk holds the separator
+                whole = [self.normal.normalize_str(plain[i]) for i in odd]
+            for i, c in zip(odd, whole):
+                plain[i] = c
+        return [c.lower() if c.isascii() else c for c in plain]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         ids, out = self.known, []
-        for c in chunks:
-            if not self.space:
-                c = c.removeprefix(" ")
-                c = c.lower() if c.isascii() else self.normal.normalize_str(c)
+        for c in chunks if self.space else self._normalized(chunks):
             word = c.removeprefix(" ") if self.space else c
             if word.isalpha():
                 found = (c,)
