@@ -267,12 +267,36 @@ def _(t):
     return _show(O.merge_hyphens(_tokens(t)))
 
 
-@query("model_repair_g10")
+_PREFIXES = "('" + "','".join(O.PREFIX_FRAGMENTS) + "')"
+_FAR = "sqrt((l.cx-r.cx)*(l.cx-r.cx)+(l.cy-r.cy)*(l.cy-r.cy))"
+
+
+@query("model_repair_g10", rf"""WITH RECURSIVE {_TK},
+rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, {_FAR} AS d FROM tk l JOIN tk r ON {_NEAR}
+  WHERE upper(l.text) IN {_PREFIXES} AND regexp_matches(r.text, '{O.MODEL_BODY}') AND {_FAR}<=greatest(l.w,l.h)*6 AND regexp_matches(concat(l.text,r.text), '{K.SEMI_MODEL}')),
+{_pairing_sql("rel", "d, j")},
+m AS (SELECT p.page_id, p.i AS ord, concat(l.text, r.text) AS text, (l.confidence+r.confidence)/2 AS confidence, {_UNION} {_PAIR_ROWS}),
+one AS (SELECT tk.page_id, concat('0.', CAST(tk.ord AS VARCHAR)) AS ord, text, category, confidence, x, y, w, h {_UNUSED} UNION ALL SELECT page_id, concat('1.', CAST(ord AS VARCHAR)), text, 'value', confidence, x, y, w, h FROM m),
+c AS (SELECT *, x+w/2 AS cx, y+h/2 AS cy FROM one),
+lost AS (SELECT DISTINCT l.page_id, l.ord FROM c l JOIN c r ON r.page_id=l.page_id WHERE l.category='component' AND regexp_matches(l.text,'(?i)^[ABCDJK][0-9]{{4,}}$') AND regexp_matches(concat('2S',l.text),'{K.SEMI_MODEL}')
+  AND r.category='component' AND regexp_matches(upper(r.text),'^[QD]') AND {_FAR}<=greatest(l.w,l.h)*5)
+SELECT c.page_id, c.ord, CASE WHEN lost.ord IS NOT NULL THEN concat('2S', text) ELSE text END AS text, CASE WHEN lost.ord IS NOT NULL THEN 'value' ELSE category END AS category, {_ROUND}
+FROM c LEFT JOIN lost ON lost.page_id=c.page_id AND lost.ord=c.ord""")
 def _(t):
     return _show(O.fix_models(_tokens(t)))
 
 
-@query("designator_repair_g10")
+_CHAR = "(l.h/greatest(length(l.text),1))"
+
+
+@query("designator_repair_g10", rf"""WITH RECURSIVE {_TK},
+near AS (SELECT l.page_id, l.ord AS i, r.ord AS j, concat(l.text, r.text) AS lt FROM tk l JOIN tk r ON r.page_id=l.page_id
+  WHERE l.category='component' AND regexp_matches(l.text,'(?i)^[A-Z]{{1,2}}[0-9]+$') AND NOT upper(l.text) LIKE 'IC%' AND regexp_matches(r.text,'^[0-9]$')
+  AND abs(r.cx-l.cx)<=greatest(l.w*1.5,20) AND r.y-(l.y+l.h) BETWEEN -{_CHAR}*0.5 AND {_CHAR}*2.5),
+rel AS (SELECT page_id, i, j FROM near WHERE {_category_sql('lt')}='component'),
+{_pairing_sql("rel", "j")},
+m AS (SELECT p.page_id, p.i AS ord, concat(l.text, r.text) AS text, l.category, l.confidence, {_UNION} {_PAIR_ROWS})
+SELECT {_SHOWN} FROM (SELECT tk.page_id, tk.ord, text, category, confidence, x, y, w, h {_UNUSED} UNION ALL SELECT * FROM m) q""")
 def _(t):
     return _show(O.extend_designators(_tokens(t)))
 
