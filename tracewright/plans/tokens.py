@@ -310,12 +310,42 @@ def _ids(df, *cols):
     return df.select(*[F.array_join(F.col(c).cast("array<string>"), ".").alias(c) if c in ("comp", "val") else F.col(c) for c in cols])
 
 
-@query("primary_values_j09")
+_IC = "upper(l.text) LIKE 'IC%'"
+_FIELDS = "struct_pack(ord := o, text := t, d := d)"
+
+
+def _nearest_sql(name: str, cond: str, by: str) -> str:
+    return f"first({_FIELDS} ORDER BY {by}, extra, o) FILTER (WHERE {cond}) AS {name}"
+
+
+_PRIMARY = rf"""{_TK},
+near AS (SELECT l.page_id, l.ord AS comp, {_IC} AS ic, substr(upper(l.text),1,1) AS head, r.ord AS o, r.text AS t, {_FAR} AS d, r.category<>'value' AS extra, r.cx-l.cx AS dx, r.cy-l.cy AS dy,
+  l.w AS lw, l.h AS lh, greatest(l.w,l.h) AS side, r.cy>=l.cy-l.h*0.5 AS level, NOT ({_IC} AND (regexp_matches(r.text,'{P.SHORT_NUMBER}') OR regexp_matches(r.text,'{O.PASSIVE}'))) AS usable,
+  regexp_matches(r.text,'{P.SHORT_NUMBER}') AS short, regexp_matches(r.text,'{K.SEMI_MODEL}') AS model_text
+  FROM tk l JOIN tk r ON r.page_id=l.page_id AND l.category='component' AND r.category IN ('value','net_label','other') WHERE {_FAR}<=greatest(l.w,l.h)*3.5 AND (r.category='value' OR ({_IC} AND length(r.text)>=3))),
+cond AS (SELECT *, usable AND dy>=0 AND abs(dx)<=lw*0.5 AND dy<=side*2 AS down, usable AND dx>=0 AND abs(dy)<=lh*0.5 AND dx<=side*3 AS rgt, NOT short AND regexp_matches(t,'\p{{L}}') AND NOT (model_text AND head IN ('C','R','L','T')) AND level AS richer FROM near),
+per AS (SELECT page_id, comp, any_value(ic) AS ic, any_value(head) AS head, {_nearest_sql("a_down", "down", "dy")}, {_nearest_sql("a_rich_down", "down AND NOT short", "dy")}, {_nearest_sql("a_right", "rgt", "abs(dx)")},
+  {_nearest_sql("a_rich", "richer", "d")}, {_nearest_sql("a_any", "usable AND level", "d")}, {_nearest_sql("a_semi", "model_text AND level", "d")}, {_nearest_sql("a_passive", "NOT model_text AND level", "d")} FROM cond GROUP BY 1,2),
+s1 AS (SELECT *, CASE WHEN a_down IS NOT NULL THEN CASE WHEN regexp_matches(a_down.text,'{P.SHORT_NUMBER}') THEN coalesce(a_rich_down, a_down) ELSE a_down END ELSE a_right END AS c FROM per),
+s2 AS (SELECT * EXCLUDE (c), coalesce(CASE WHEN coalesce(NOT ic AND regexp_matches(c.text,'{P.SHORT_NUMBER}') AND a_rich.d<=c.d*2.5, false) THEN a_rich ELSE c END, a_any) AS c FROM s1),
+s3 AS (SELECT *, regexp_matches(c.text,'{K.SEMI_MODEL}') AS is_semi, regexp_matches(c.text,'{P.PLAIN_NUMBER}') AS plain FROM s2),
+s4 AS (SELECT page_id, comp, CASE WHEN head IN ('Q','D') AND NOT is_semi AND a_semi IS NOT NULL THEN CASE WHEN a_semi.d<c.d*(CASE WHEN plain THEN 1.5 ELSE 0.75 END) THEN a_semi ELSE c END
+  WHEN head IN ('Q','D') AND NOT is_semi AND plain THEN NULL WHEN head IN ('C','R','L','T') AND is_semi AND a_passive.d<c.d*0.75 THEN a_passive ELSE c END AS c FROM s3),
+prim AS (SELECT page_id, comp, c.ord AS val, c.d AS d FROM s4 WHERE c IS NOT NULL)"""
+
+
+@query("primary_values_j09", f"WITH {_PRIMARY} SELECT page_id, CAST(comp AS VARCHAR) AS comp, CAST(val AS VARCHAR) AS val, round(d,6) AS d FROM prim")
 def _(t):
     return _ids(P.primary_values(_tokens(t)).withColumn("d", F.round("d", 6)), "page_id", "comp", "val", "d")
 
 
-@query("exclusive_values_g09")
+@query("exclusive_values_g09", rf"""WITH RECURSIVE {_PRIMARY},
+hold AS (SELECT page_id, val, first(comp ORDER BY d, comp) AS comp FROM prim GROUP BY 1,2),
+lost AS (SELECT p.page_id, p.comp FROM prim p LEFT JOIN hold h ON h.page_id=p.page_id AND h.val=p.val AND h.comp=p.comp WHERE h.comp IS NULL),
+rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, {_FAR} AS d FROM tk l JOIN lost ON lost.page_id=l.page_id AND lost.comp=l.ord JOIN tk r ON r.page_id=l.page_id AND r.category='value' LEFT JOIN hold h ON h.page_id=r.page_id AND h.val=r.ord
+  WHERE h.val IS NULL AND {_FAR}<=greatest(l.w,l.h)*3.5 AND r.cy>=l.cy-l.h*0.5 AND NOT ({_IC} AND regexp_matches(r.text,'{O.PASSIVE}'))),
+{_pairing_sql("rel", "d, j")}
+SELECT page_id, CAST(comp AS VARCHAR) AS comp, CAST(val AS VARCHAR) AS val FROM hold UNION ALL SELECT page_id, CAST(i AS VARCHAR), CAST(j AS VARCHAR) FROM got""")
 def _(t):
     tk = _tokens(t)
     return _ids(P.exclusive_values(tk, P.primary_values(tk)), "page_id", "comp", "val")
