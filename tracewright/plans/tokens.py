@@ -236,7 +236,23 @@ def _(t):
     return _show(O.merge_lines(_tokens(t), "other", False, True))
 
 
-@query("column_merge_g11")
+# the text of the characters `col` from top to bottom
+_SPELT = "array_to_string(list_transform(list_sort(list_transform(col, lambda k, i: struct_pack(cy := toks[k].cy, i := i, t := toks[k].text))), lambda e: e.t), '')"
+_SPELLED = rf"(NOT list_contains(used, hd) AND len(col)>=3 AND (regexp_matches(upper({_SPELT}), '{O._DESIGNATOR}') OR regexp_matches({_SPELT}, '^[RCLQDMT]p[LP]$')))"
+
+
+@query("column_merge_g11", rf"""WITH RECURSIVE {_TK},
+ones AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cx, cy, ord) AS k FROM tk WHERE length(text)=1 AND trim(text)<>''),
+lists AS (SELECT page_id, count(*) AS n, list(struct_pack(cx := cx, cy := cy, y := y, w := w, h := h, text := text) ORDER BY k) AS toks FROM ones GROUP BY 1),
+walk AS (SELECT page_id, n, toks, CAST(1 AS BIGINT) AS hd, CAST(2 AS BIGINT) AS at_, CAST([] AS BIGINT[]) AS used, CAST([1] AS BIGINT[]) AS col FROM lists
+  UNION ALL SELECT page_id, n, toks, CASE WHEN at_>n THEN hd+1 ELSE hd END, CASE WHEN at_>n THEN hd+2 ELSE at_+1 END, CASE WHEN at_>n AND {_SPELLED} THEN list_concat(used, col) ELSE used END,
+    CASE WHEN at_>n THEN [hd+1] WHEN NOT list_contains(used, at_) AND abs(toks[at_].cx-toks[hd].cx)<=greatest(toks[hd].w*1.2, 15)
+      AND toks[at_].y-(toks[col[-1]].y+toks[col[-1]].h) BETWEEN -0.5*toks[hd].h AND greatest(toks[hd].h*2, 25) THEN list_append(col, at_) ELSE col END FROM walk WHERE hd<=n),
+found AS (SELECT page_id, hd, {_SPELT} AS text, unnest(col) AS k FROM walk WHERE hd<=n AND at_>n AND {_SPELLED}),
+m AS (SELECT f.page_id, f.hd, any_value(f.text) AS text, avg(confidence) AS confidence, min(x) AS x, min(y) AS y, max(x+w)-min(x) AS w, max(y+h)-min(y) AS h FROM found f JOIN ones o ON o.page_id=f.page_id AND o.k=f.k GROUP BY 1,2),
+kept AS (SELECT tk.* FROM tk LEFT JOIN (SELECT o.page_id, o.ord FROM found f JOIN ones o ON o.page_id=f.page_id AND o.k=f.k) u ON u.page_id=tk.page_id AND u.ord=tk.ord WHERE u.ord IS NULL)
+SELECT page_id, concat('0.', CAST(ord AS VARCHAR)) AS ord, text, category, {_ROUND} FROM kept
+UNION ALL SELECT page_id, concat('1.', CAST(row_number() OVER (PARTITION BY page_id ORDER BY hd) AS VARCHAR)), text, 'component', confidence, x, y, w, h FROM (SELECT page_id, hd, text, {_ROUND} FROM m) q""")
 def _(t):
     return _show(O.merge_columns(_tokens(t)))
 
