@@ -355,19 +355,43 @@ def _(t):
     return _ids(P.primary_values(_tokens(t)).withColumn("d", F.round("d", 6)), "page_id", "comp", "val", "d")
 
 
-@query("exclusive_values_g09", rf"""WITH RECURSIVE {_PRIMARY},
+_EXCLUSIVE = rf"""{_PRIMARY},
 hold AS (SELECT page_id, val, first(comp ORDER BY d, comp) AS comp FROM prim GROUP BY 1,2),
 lost AS (SELECT p.page_id, p.comp FROM prim p LEFT JOIN hold h ON h.page_id=p.page_id AND h.val=p.val AND h.comp=p.comp WHERE h.comp IS NULL),
 rel AS (SELECT l.page_id, l.ord AS i, r.ord AS j, {_FAR} AS d FROM tk l JOIN lost ON lost.page_id=l.page_id AND lost.comp=l.ord JOIN tk r ON r.page_id=l.page_id AND r.category='value' LEFT JOIN hold h ON h.page_id=r.page_id AND h.val=r.ord
   WHERE h.val IS NULL AND {_FAR}<=greatest(l.w,l.h)*3.5 AND r.cy>=l.cy-l.h*0.5 AND NOT ({_IC} AND regexp_matches(r.text,'{O.PASSIVE}'))),
-{_pairing_sql("rel", "d, j")}
-SELECT page_id, CAST(comp AS VARCHAR) AS comp, CAST(val AS VARCHAR) AS val FROM hold UNION ALL SELECT page_id, CAST(i AS VARCHAR), CAST(j AS VARCHAR) FROM got""")
+{_pairing_sql("rel", "d, j")},
+ex AS (SELECT page_id, comp, val FROM hold UNION ALL SELECT page_id, i, j FROM got)"""
+
+
+@query("exclusive_values_g09", f"WITH RECURSIVE {_EXCLUSIVE} SELECT page_id, CAST(comp AS VARCHAR) AS comp, CAST(val AS VARCHAR) AS val FROM ex")
 def _(t):
     tk = _tokens(t)
     return _ids(P.exclusive_values(tk, P.primary_values(tk)), "page_id", "comp", "val")
 
 
-@query("value_pairs_g12")
+_SHORT, _DIGITS = f"'{P.SHORT_NUMBER}'", "'^[0-9]+$'"
+_DIGIT_BELOW = f"(cap AND regexp_matches(vt,{_DIGITS}) AND r.cy-vcy>0 AND r.cy-vcy<=vh*3 AND abs(r.cx-vcx)<=greatest(vw,lw)*1.5)"
+_FIRST_FIT = "coalesce(list_position(list_transform({rest}, lambda e: e.y-{low}<=step), true), 0)"
+
+
+@query("value_pairs_g12", rf"""WITH RECURSIVE {_EXCLUSIVE},
+pv AS (SELECT ex.page_id, comp, val, l.text AS lt, {_IC} AS ic, upper(l.text) LIKE 'C%' AS cap, l.cx AS lcx, l.cy AS lcy, l.w AS lw, l.h AS lh, r.text AS vt, r.x AS vx, r.y AS vy, r.w AS vw, r.h AS vh, r.cx AS vcx, r.cy AS vcy
+  FROM ex JOIN tk l ON l.page_id=ex.page_id AND l.ord=comp JOIN tk r ON r.page_id=ex.page_id AND r.ord=val),
+sp AS (SELECT *, greatest(lw,vw)*(CASE WHEN ic THEN 0.6 ELSE 1 END) AS tol, greatest(lw,lh)*(CASE WHEN ic THEN 0.5 WHEN cap THEN 1.5 ELSE 1 END) AS span, greatest(vh,lh)*(CASE WHEN ic THEN 0.5 ELSE 1 END) AS step,
+  struct_pack(y := vy, x := vx, o := CAST(-1 AS BIGINT), text := vt, w := vw, h := vh) AS main FROM pv),
+un AS (SELECT sp.page_id, sp.comp, list(struct_pack(y := r.y, x := r.x, o := r.ord, text := r.text, w := r.w, h := r.h) ORDER BY r.y, r.x, r.ord) AS below FROM sp JOIN tk r ON r.page_id=sp.page_id AND r.category IN ('value','net_label','other')
+  LEFT JOIN ex t ON t.page_id=r.page_id AND t.val=r.ord WHERE t.val IS NULL AND (NOT ic OR r.category<>'value') AND NOT (substr(upper(lt),1,1) IN ('Q','D') AND regexp_matches(r.text,'{P.PLAIN_NUMBER}'))
+  AND (NOT regexp_matches(r.text,{_SHORT}) OR {_DIGIT_BELOW}) AND NOT regexp_matches(upper(r.text),'^(IC|[RCLQ])[0-9]{{2,4}}$') AND r.cy-lcy BETWEEN 0 AND span AND abs(r.cx-lcx)<=tol GROUP BY 1,2),
+j1 AS (SELECT sp.*, coalesce(un.below, []) AS below FROM sp LEFT JOIN un ON un.page_id=sp.page_id AND un.comp=sp.comp),
+j2 AS (SELECT *, {_FIRST_FIT.format(rest="below", low="(vy+vh)")} AS i1 FROM j1),
+j3 AS (SELECT *, CASE WHEN i1>0 THEN below[i1] END AS e1, CASE WHEN i1>0 AND NOT ic THEN below[i1+1:] ELSE [] END AS rest FROM j2),
+j4 AS (SELECT *, {_FIRST_FIT.format(rest="rest", low="(e1.y+e1.h)")} AS i2 FROM j3),
+j5 AS (SELECT *, list_sort(list_concat([main], list_concat(CASE WHEN i1>0 THEN [e1] ELSE [] END, CASE WHEN i2>0 THEN [rest[i2]] ELSE [] END))) AS parts FROM j4),
+j6 AS (SELECT *, list_transform(parts, lambda e: CASE WHEN cap AND regexp_matches(e.text,'^0?1/([0-9]{{2}})$') THEN concat(regexp_extract(e.text,'^0?1/([0-9]{{2}})$',1),'/10') ELSE e.text END) AS texts,
+  list_min(list_transform(parts, lambda e: e.x)) AS bx, list_min(list_transform(parts, lambda e: e.y)) AS by_ FROM j5)
+SELECT page_id, CAST(comp AS VARCHAR) AS comp, lt AS component, CASE WHEN cap AND len(texts)=2 AND len(list_filter(texts, lambda x: NOT regexp_matches(x,{_DIGITS})))=0 THEN array_to_string(texts, '/') ELSE array_to_string(texts, ' ') END AS value, bx AS x, by_ AS y,
+  list_max(list_transform(parts, lambda e: e.x+e.w))-bx AS w, list_max(list_transform(parts, lambda e: e.y+e.h))-by_ AS h FROM j6""")
 def _(t):
     return _ids(P.pair(_tokens(t)), "page_id", "comp", "component", "value", "x", "y", "w", "h")
 
