@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.plans.views import VIEWS, check_text, spark_text
+from tracewright.session import count_unpacked
 
 FAMILIES = ("evaluation", "boxes", "datasets", "quality", "tokens", "wires", "records", "streams", "files")
 
@@ -20,6 +21,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        count_unpacked(spark)
 
     def __call__(self, name: str) -> DataFrame:
         if name in VIEWS:
