@@ -280,3 +280,18 @@ def test_a_pile_is_matched_in_linear_rows(spark, monkeypatch):
     truth = spark.range(9_000).select(i.alias("ann_id"), F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), *[F.lit(v).alias(c) for c, v in zip("xywh", (6, 5, 10, 10))])
     got = evaluation.free_box_matches(preds, truth, 0.5).join(preds.select("pred_id", "score"), "pred_id").orderBy(F.desc("score")).select("ann_id").collect()
     assert [r.ann_id for r in got] == list(range(9_000))
+
+
+def test_groups_of_few_meet_without_cells(spark):
+    """Small groups send one row per box; boxes of a crowded group, and only those, are dealt over cells."""
+    rng = random.Random(5)
+    box = lambda g, i: (g, i, rng.randint(0, 90), rng.randint(0, 90), rng.choice([0, 3, 9, 70]), rng.randint(1, 12))
+    few, crowd = [box(i % 20, i) for i in range(200)], [box(77, 1000 + i) for i in range(150)]
+    frame = lambda rows, p: spark.createDataFrame(rows, f"g long, {p}i long, {p}x long, {p}y long, {p}w long, {p}h long")
+    hits = lambda a, b: sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and min(p[2] + p[4], q[2] + q[4]) > max(p[2], q[2]) and min(p[3] + p[5], q[3] + q[5]) > max(p[3], q[3]))
+    plain = spatial.overlap_join(frame(few, "l_"), frame(few[::2], "r_"), ["g"])
+    assert "Generate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    both = spatial.overlap_join(frame(few + crowd, "l_"), frame(few[::2] + crowd, "r_"), ["g"])
+    assert "Generate" in both._jdf.queryExecution().optimizedPlan().toString()
+    for got, a, b in ((plain, few, few[::2]), (both, few + crowd, few[::2] + crowd)):
+        assert sorted(tuple(r) for r in got.select("l_i", "r_i").collect()) == hits(a, b)

@@ -34,7 +34,7 @@ def shape_pairs(preds: DataFrame, truth: DataFrame, on: Sequence[str], min_iou:
     """
     left = _prefixed(preds.select(*on, *SHAPE).distinct(), "l_", SHAPE)
     right = _prefixed(truth.select(*on, *SHAPE).distinct(), "r_", SHAPE)
-    pairs = spatial.overlap_join(left, right, on)
+    pairs = spatial.overlap_join(left, right, on, counted=(preds, truth))
     return pairs.withColumn("iou", G.iou(G.box("l_"), G.box("r_"))).where(F.col("iou") >= min_iou)
 
 

@@ -1,4 +1,4 @@
-"""Grid-cell joins: rows meet only inside a shared cell, never across a whole group."""
+"""Grid-cell joins: rows meet only inside a shared cell, or in a group of few, never across a crowded group."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry as G
+from tracewright.session import stage
 
 
 #: Cells of a level are so many times as wide as those of the level below.
@@ -27,9 +28,41 @@ def _cells(box: Sequence[Column], level: Column, tag: int) -> Column:
         level.alias("level"), cx.alias("cx"), cy.alias("cy"), F.lit(tag).alias("tag")))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_box: str = "l_", right_box: str = "r_") -> DataFrame:
+#: Boxes of both sides in a group whose boxes all meet directly; larger groups are cut into cells.
+CROWD = 64
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_box: str = "l_", right_box: str = "r_",
+                 counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs of boxes with a common area, each once.
 
+    The boxes of a group of few meet directly, a row per box; only the boxes of crowded
+    groups are dealt over cells. `counted` may name cheaper tables whose groups are at
+    least as large as those of the sides, such as a table before its copies were dropped.
+    """
+    if not on:
+        return _cell_join(left, right, on, left_box, right_box)
+    sizes = counted or (left, right)
+    # a group lies on both sides or has no pairs, so the sizes are added up
+    crowded = stage(sizes[0].select(*on).unionByName(sizes[1].select(*on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).drop("n"))
+    if crowded.isEmpty():
+        return _meet(left, right, on, left_box, right_box)
+    few, many = (lambda df: df.join(crowded, list(on), "left_anti")), (lambda df: df.join(crowded, list(on), "left_semi"))
+    return _meet(few(left), few(right), on, left_box, right_box).unionByName(_cell_join(many(left), many(right), on, left_box, right_box))
+
+
+def _common(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether two boxes have a common area."""
+    return (F.least(a[0] + a[2], b[0] + b[2]) > F.greatest(a[0], b[0])) & (F.least(a[1] + a[3], b[1] + b[3]) > F.greatest(a[1], b[1]))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: Sequence[str], left_box: str, right_box: str) -> DataFrame:
+    return left.join(right, list(on)).where(_common(G.box(left_box), G.box(right_box)))
+
+
+def _cell_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_box: str, right_box: str) -> DataFrame:
+    """Pairs of boxes with a common area, found in cells.
+
     A box belongs to the level of its size and touches at most four cells there. Two
     boxes meet at the level of the larger one: the smaller asks in the cells around it
     of every level above its own that the other side has. Tags keep those who ask from
@@ -49,7 +82,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_box:
     return (
         flat(lc).join(flat(rc), [*on, "_level", "_cx", "_cy", "_tag"])
         .where((F.floor(x0 / size) == F.col("_cx")) & (F.floor(y0 / size) == F.col("_cy")))
-        .where((F.least(a[0] + a[2], b[0] + b[2]) > x0) & (F.least(a[1] + a[3], b[1] + b[3]) > y0))
+        .where(_common(a, b))
         .drop("_level", "_cx", "_cy", "_tag")
     )
 
