@@ -48,3 +48,12 @@ def test_endings_take_a_row_a_name(spark):
     names = spark.range(300).select(F.concat(F.lit("a" * 2000), F.col("id").cast("string"), F.lit(".png")).alias("name"))
     found = R.only_ending(spark.createDataFrame([("a7.png",), ("7.png",), (".png",), ("x",)], "_t string"), names).collect()
     assert [(r._t, r._u[-7:]) for r in found] == [("a7.png", "aa7.png")]
+
+
+def test_connector_summary_counts_once_per_history(spark):
+    """Owners of one id, of several ids that share pages, and of none; case and edge blanks do not matter."""
+    own = spark.createDataFrame([(1, " H1"), (1, "h1 "), (2, "h1"), (2, "H2"), (3, "h3"), (4, " "), (5, None)], "owner_id long, history_id string")
+    con = spark.createDataFrame([(10, "H1 ", "p", "a"), (11, "h1", "p", "b"), (12, "h2", "p", "a"), (13, "h2", None, "c"), (14, " ", "q", "d")],
+                                "connector_id long, history_id string, page string, edge_id string")
+    got = R.connector_summary(own, con)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 1, 2), (2, 4, 1, 3)]
