@@ -239,6 +239,30 @@ def test_spans_and_polygon_masks(spark):
     assert {(r.s, r.gt): r.iou for r in got.collect()} == pytest.approx(want)
 
 
+def test_polygon_masks_of_one_shape(spark, monkeypatch):
+    """Objects of one form become lines once, wherever they lie; forms with fractions stay in place."""
+    from tracewright.functions import regions
+    from tracewright.operators import evaluation
+
+    sizes = []
+    plain = regions.polygon_lines
+    monkeypatch.setattr(regions, "polygon_lines", lambda df, keys: (sizes.append(df.count()), plain(df, keys))[1])
+    rnd = random.Random(7)
+    diamond = lambda x, y: [[x + 4.0, y + 0.0], [x + 8.0, y + 3.0], [x + 4.0, y + 6.0], [x + 0.0, y + 3.0]]
+    at = lambda: (rnd.randint(-20, 20), rnd.randint(-20, 20))
+    truth, preds = ([(im, i, *at()) for im in range(3) for i in range(12)] for _ in range(2))
+    kind = "array<array<double>>"
+    frame = lambda rows, name: spark.createDataFrame([(im, i, diamond(x, y)) for im, i, x, y in rows], f"s int, {name} int, points {kind}")
+    half = spark.createDataFrame([(9, 1, [[0.5, 0.0], [2.5, 0.0], [2.5, 1.0], [0.5, 1.0]])], f"s int, gt int, points {kind}")
+    other = spark.createDataFrame([(9, 1, [[1.0, 0.0], [3.0, 0.0], [3.0, 1.0], [1.0, 1.0]]), (9, 1, [[7.0, 0.0], [8.0, 0.0], [8.0, 1.0]])], f"s int, pr int, points {kind}")
+    got = {(r.s, r.gt): r.iou for r in evaluation.polygon_mask_iou(frame(truth, "gt").unionByName(half), frame(preds, "pr").unionByName(other), ["s"]).collect()}
+    dots = lambda x, y: {(u, v) for v in range(y, y + 7) for u in range(x, x + 9) if abs(u - x - 4) * 3 + abs(v - y - 3) * 4 <= 12}
+    iou = lambda a, b: len(a & b) / len(a | b)
+    want = {(im, i): max(iou(dots(x, y), dots(u, v)) for jm, _, u, v in preds if jm == im) for im, i, x, y in truth}
+    assert got == pytest.approx(want | {(9, 1): 4 / 9})
+    assert sizes == [4]
+
+
 def _free_boxes(preds, truth, least):
     """The serial loop: each prediction of a model in score order takes the free box with the highest IoU, the first of equals."""
     def iou(a, b):

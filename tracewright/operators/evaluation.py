@@ -275,23 +275,51 @@ def mask_iou(truth: DataFrame, preds: DataFrame, on: Sequence[str]) -> DataFrame
     return both.join(best, [*keys, "gt"], "left").select(*keys, "gt", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
+def _shapes(df: DataFrame, keys: Sequence[str], name: str, side: str) -> DataFrame:
+    """(*keys, name, box, shape, polygons, place) of every object of `df(*keys, name, points)`, columns marked by `side`.
+
+    Polygons of whole numbers are moved to the origin, which moves their pixels alike, so objects of one
+    form share a shape wherever they lie. Other polygons stay in place, as rounding is not the same everywhere.
+    """
+    point = lambda p, i: F.get(p, F.lit(i)).cast("double")
+    axis = lambda i: F.transform(F.flatten("_polys"), lambda p: point(p, i))
+    objects = df.where(F.size("points") >= 3).groupBy(*keys, name).agg(F.collect_set("points").alias("_polys")).select(
+        *keys, name, "_polys", axis(0).alias("_xs"), axis(1).alias("_ys"))
+    whole = F.coalesce(F.forall(F.concat("_xs", "_ys"), lambda v: (v == F.floor(v)) & (F.abs(v) < 2.0**31)), F.lit(False))
+    low = lambda c: F.floor(F.array_min(c))
+    place = lambda c: F.when(whole, low(c)).otherwise(F.lit(0).cast("bigint"))
+    moved = objects.select("*", place("_xs").alias(side + "px"), place("_ys").alias(side + "py")).withColumn("_polys", F.sort_array(F.transform("_polys", lambda poly: F.transform(
+        poly, lambda p: F.array(point(p, 0) - F.col(side + "px"), point(p, 1) - F.col(side + "py"))))))
+    return moved.select(
+        *keys, name, low("_xs").alias(side + "x"), low("_ys").alias(side + "y"), (F.ceil(F.array_max("_xs")) - low("_xs") + 1).alias(side + "w"),
+        (F.ceil(F.array_max("_ys")) - low("_ys") + 1).alias(side + "h"), F.struct(F.xxhash64("_polys"), F.xxhash64(F.lit(1), "_polys")).alias(side + "shape"),
+        F.col("_polys").alias(side + "polys"), side + "px", side + "py")
+
+
 def polygon_mask_iou(truth: DataFrame, preds: DataFrame, on: Sequence[str]) -> DataFrame:
     """Best mask IoU of every truth object where its picture has predictions, from polygons.
 
     `truth(*on, gt, points)` and `preds(*on, pr, points)`; the polygons of an object are one
-    mask. Objects are kept as spans per line and meet only if their extents overlap;
-    lengths of common spans are added up, no pixel is a row. An object without pixels has IoU 0.
+    mask. Objects meet only if their extents overlap, as two shapes and the way from one to the other;
+    each such meeting is worked out once, however many pairs have it. Shapes are kept as spans per
+    line; lengths of common spans are added up, no pixel is a row. An object without pixels has IoU 0.
     """
     keys = list(on)
-    lines = {k: stage(R.polygon_lines(df.select(*keys, k, "points"), [*keys, k])) for k, df in (("gt", truth), ("pr", preds))}
-    length = F.sum(F.col("_z") - F.col("_a") + 1)
-    x, y = F.min("_a"), F.min("_y")
-    extent = lambda k, p: lines[k].groupBy(*keys, k).agg(
-        x.alias(p + "x"), y.alias(p + "y"), (F.max("_z") + 1 - x).alias(p + "w"), (F.max("_y") + 1 - y).alias(p + "h"), length.alias(p + "n"))
-    pairs = stage(spatial.overlap_join(extent("gt", "l_"), extent("pr", "r_"), keys).select(*keys, "gt", "pr", "l_n", "r_n"))
-    mine = pairs.join(lines["gt"].withColumnsRenamed({"_a": "l_a", "_z": "l_z"}), [*keys, "gt"])
-    both = mine.join(lines["pr"], [*keys, "pr", "_y"]).where((F.col("_a") <= F.col("l_z")) & (F.col("l_a") <= F.col("_z")))
-    common = both.groupBy(*keys, "gt", "pr", "l_n", "r_n").agg(F.sum(F.least("_z", "l_z") - F.greatest("_a", "l_a") + 1).alias("i"))
-    best = common.groupBy(*keys, "gt").agg(F.max(F.col("i") / (F.col("l_n") + F.col("r_n") - F.col("i"))).alias("iou"))
+    left, right = stage(_shapes(truth, keys, "gt", "l_")), stage(_shapes(preds, keys, "pr", "r_"))
+    shapes = left.select(F.col("l_shape").alias("shape"), F.col("l_polys").alias("polys")).unionByName(right.select(F.col("r_shape").alias("shape"), F.col("r_polys").alias("polys"))).distinct()
+    lines = stage(R.polygon_lines(shapes.select("shape", F.explode("polys").alias("points")), ["shape"]))
+    top = F.greatest("l_y", "r_y")
+    bottom = F.least(F.col("l_y") + F.col("l_h"), F.col("r_y") + F.col("r_h"))
+    way = ["l_shape", "r_shape", "dx", "dy", "top", "bottom"]
+    pairs = stage(spatial.overlap_join(left.drop("l_polys"), right.drop("r_polys"), keys).select(
+        *keys, "gt", "l_shape", "r_shape", (F.col("r_px") - F.col("l_px")).alias("dx"), (F.col("r_py") - F.col("l_py")).alias("dy"),
+        (top - F.col("l_py")).alias("top"), (bottom - F.col("l_py")).alias("bottom")))
+    of = lambda p: lines.select(F.col("shape").alias(p + "shape"), F.col("_y").alias(p + "y"), F.col("_a").alias(p + "a"), F.col("_z").alias(p + "z"))
+    size = lambda p: lines.groupBy(F.col("shape").alias(p + "shape")).agg(F.sum(F.col("_z") - F.col("_a") + 1).alias(p + "n"))
+    mine = pairs.select(way).distinct().join(of("l_"), "l_shape").where((F.col("l_y") >= F.col("top")) & (F.col("l_y") < F.col("bottom"))).withColumn("r_y", F.col("l_y") - F.col("dy"))
+    both = mine.join(of("r_"), ["r_shape", "r_y"]).withColumns({"r_a": F.col("r_a") + F.col("dx"), "r_z": F.col("r_z") + F.col("dx")}).where("r_a <= l_z AND l_a <= r_z")
+    common = both.groupBy(way).agg(F.sum(F.least("r_z", "l_z") - F.greatest("r_a", "l_a") + 1).alias("i")).join(size("l_"), "l_shape").join(size("r_"), "r_shape")
+    met = stage(common.select(*way, (F.col("i") / (F.col("l_n") + F.col("r_n") - F.col("i"))).alias("iou")))
+    best = pairs.join(met, way).groupBy(*keys, "gt").agg(F.max("iou").alias("iou"))
     every = truth.select(*keys, "gt").distinct().join(preds.select(*keys).distinct(), keys)
     return every.join(best, [*keys, "gt"], "left").select(*keys, "gt", F.coalesce("iou", F.lit(0.0)).alias("iou"))
