@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import wires
+from tracewright.operators import scale, wires
 
 
 def _lines(seed, n=24):
@@ -203,3 +203,28 @@ def test_forest_of_a_long_path(spark):
         return sorted((s, a, b, n) for n in {*left, *right})
     ways = forests.paths(spark.createDataFrame(asked, "sheet_id long, a long, b long"), tree, on)
     assert sorted(map(tuple, ways.collect())) == sorted(x for p in asked for x in way(*p))
+
+
+def test_small_sheets_take_no_rounds(spark, monkeypatch):
+    """Sheets of few edges are worked out in a row each, with the results of the rounds that larger ones take."""
+    rnd = random.Random(12)
+    rows = [(s, rnd.randint(0, 9), rnd.randint(0, 9)) for s in range(12) for _ in range(2 + s)] + [(50, i, i + 1) for i in range(40)] + [(None, 1, 2)]
+    edges = spark.createDataFrame(rows, "sheet_id long, source long, target long")
+    nodes = spark.createDataFrame(sorted({(s, n) for s, *ab in rows for n in ab if s is not None}), "sheet_id long, n long")
+
+    def run():
+        staged = []
+        plain = scale.stage
+        monkeypatch.setattr(scale, "stage", lambda df: (staged.append(1), plain(df))[1])
+        members = wires.nets(nodes, edges.where("sheet_id IS NOT NULL"))
+        found = sorted(map(tuple, members.collect())), len(staged)
+        monkeypatch.setattr(scale, "stage", plain)
+        return found, sorted(map(tuple, wires.cycle_basis(members, edges.where("sheet_id IS NOT NULL")).collect()))
+
+    (flat, staged), cycles = run()
+    assert staged == 2 and len(cycles) > 10
+    lone = {r.node: r.root for r in scale.connected_components(edges.selectExpr("sheet_id", "source AS a", "target AS b"), ["sheet_id"]).where("sheet_id IS NULL").collect()}
+    assert lone == {1: 1, 2: 2}  # a null key joins nothing
+    monkeypatch.setattr(scale, "SMALL", 6)
+    (again, rounds), others = run()
+    assert again == flat and others == cycles and rounds > 2

@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,12 +230,60 @@ def ordered_pairing(pairs: DataFrame, taste: Sequence[Column]) -> DataFrame:
     return pairs.select("i", "j").limit(0) if made is None else made
 
 
+#: Edges of a group that are worked out at once in one row; larger groups take rounds of joins.
+SMALL = 64
+
+
+def small_groups(edges: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(*on, edges) with the sorted distinct edges of every group of at most SMALL rows, and the rows of all other groups.
+
+    `edges(*on, a, b)` is read twice. None stands for no other groups; groups with a null key are among the others.
+    """
+    on = list(on)
+    named = F.lit(True)
+    for k in on:
+        named = named & F.col(k).isNotNull()
+    large = stage(edges.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > SMALL) | ~named).drop("_n"))
+    row = lambda df: df.groupBy(*on).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("edges"))
+    if large.isEmpty():
+        return row(edges), None
+    return row(edges.where(named).join(large, on, "left_anti")), edges.join(large.where(named), on, "left_semi").unionByName(edges.where(~named))
+
+
+def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of `values`, which are worked out once."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), body), F.lit(0))
+
+
+def _small_components(groups: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(*on, node, root): the edges of a row are taken one by one, each gives the larger of two roots the name of the smaller."""
+    nodes = groups.select(*on, "edges", F.array_distinct(F.concat("edges.a", "edges.b")).alias("nodes"))
+    root = lambda roots, n: F.get(roots, F.array_position(F.col("nodes"), n).cast("int") - 1)
+    joined = lambda roots, e: bound(
+        {"low": F.least(root(roots, e["a"]), root(roots, e["b"])), "high": F.greatest(root(roots, e["a"]), root(roots, e["b"]))},
+        lambda x: F.transform(roots, lambda r: F.when(r == x["high"], x["low"]).otherwise(r)))
+    roots = nodes.select(*on, "nodes", F.aggregate("edges", F.col("nodes"), joined).alias("roots"))
+    return roots.select(*on, F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("roots").alias("root"))).alias("x")).select(*on, F.col("x.node").alias("node"), F.col("x.root").alias("root"))
+
+
 def connected_components(edges: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """(*on, node, root): smallest node of the connected component, for every node of `edges(*on, a, b)`.
 
+    `on` names outer keys no edge crosses; groups of few edges are worked out in a row each, the others in rounds.
+    """
+    if not on:
+        return _component_rounds(edges, on)
+    groups, others = small_groups(stage(edges.select(*on, "a", "b")), on)
+    small = _small_components(groups, on)
+    return small if others is None else small.unionByName(_component_rounds(others, on))
+
+
+def _component_rounds(edges: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The components of groups of any size.
+
     Alternates two steps that hang each node's larger neighbours, then its smaller
     ones, on the smallest; paths shrink geometrically and a hub only ever needs a
-    minimum, which combines before the shuffle. `on` names outer keys no edge crosses.
+    minimum, which combines before the shuffle.
     """
     on = list(on)
     e = stage(edges.select(*on, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
