@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import scale
@@ -126,3 +126,30 @@ def paths(pairs: DataFrame, tree: DataFrame, on: Sequence[str]) -> DataFrame:
         parts = F.when(F.col("c") > half, F.array(F.struct("n", half.alias("c")), F.struct(F.col("_up").alias("n"), (F.col("c") - half).alias("c")))).otherwise(F.array(F.struct("n", "c")))
         ways = stage(cut.select(*on, "a", "b", F.explode(parts).alias("s")).select(*on, "a", "b", "s.*"))
     return ways.select(*on, "a", "b", "n")
+
+
+def closed_ways(groups: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(*on, a, b, n): for every edge (a, b) that closes a circle of edges before it, the nodes on the way from a to b over those.
+
+    `groups(*on, edges)` holds the edges of a small group in one row, in order. They are taken one by one;
+    every node keeps its way to the root of its tree, and an edge between two trees hangs one on the other.
+    """
+    on = list(on)
+    nodes = groups.select(*on, "edges", F.array_distinct(F.concat("edges.a", "edges.b")).alias("nodes"))
+    way = lambda ways, n: F.get(ways, F.array_position(F.col("nodes"), n).cast("int") - 1)
+    # ways share their last nodes, from the node where they meet on
+    between = lambda p, q: F.concat(F.array_except(p, q), F.slice(p, F.size(F.array_except(p, q)) + 1, 1), F.reverse(F.array_except(q, p)))
+
+    def taken(state: Column, e: Column) -> Column:
+        def add(x: Column) -> Column:
+            moved = F.transform(x["ways"], lambda w: F.when(F.element_at(w, -1) == F.element_at(x["q"], -1), F.concat(between(w, x["q"]), x["p"])).otherwise(w))
+            closes = F.element_at(x["p"], -1) == F.element_at(x["q"], -1)
+            found = F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"), between(x["p"], x["q"]).alias("way")))
+            return F.struct(F.when(closes, x["ways"]).otherwise(moved).alias("ways"), F.when(closes, F.concat(x["out"], found)).otherwise(x["out"]).alias("out"))
+
+        return scale.bound({"ways": state["ways"], "out": state["out"], "a": e["a"], "b": e["b"], "p": way(state["ways"], e["a"]), "q": way(state["ways"], e["b"])}, add)
+
+    kind = groups.schema["edges"].dataType.elementType["a"].dataType.simpleString()
+    start = F.struct(F.transform("nodes", lambda n: F.array(n)).alias("ways"), F.array().cast(f"array<struct<a:{kind},b:{kind},way:array<{kind}>>>").alias("out"))
+    done = nodes.select(*on, F.explode(F.aggregate("edges", start, taken, lambda s: s["out"])).alias("c"))
+    return done.select(*on, "c.a", "c.b", F.explode("c.way").alias("n"))

@@ -464,9 +464,14 @@ def cycle_basis(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(sheet_id, a, b, n): the nodes of one cycle per edge (a, b) outside the spanning forest.
 
     A basis is not unique; this one closes each outside edge over the tree of the edges
-    before it. A loop is a cycle of one node.
+    before it. A loop is a cycle of one node. Sheets of few edges are worked out in a row each.
     """
-    tree = stage(spanning_forest(members, edges))
+    groups, others = scale.small_groups(stage(simple_edges(edges)), ["sheet_id"])
+    small = forests.closed_ways(groups, ["sheet_id"])
+    if others is None:
+        return small
+    rest = others.withColumnsRenamed({"a": "source", "b": "target"})
+    tree = stage(spanning_forest(members.join(others.select("sheet_id").distinct(), "sheet_id", "left_semi"), rest))
     used = tree.where("parent IS NOT NULL").select("sheet_id", F.least("n", "parent").alias("a"), F.greatest("n", "parent").alias("b"))
-    outside = simple_edges(edges).join(used, ["sheet_id", "a", "b"], "left_anti")
-    return forests.paths(outside, tree, ["sheet_id"])
+    outside = others.join(used, ["sheet_id", "a", "b"], "left_anti")
+    return small.unionByName(forests.paths(outside, tree, ["sheet_id"]))
