@@ -57,3 +57,16 @@ def test_connector_summary_counts_once_per_history(spark):
                                 "connector_id long, history_id string, page string, edge_id string")
     got = R.connector_summary(own, con)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 1, 2), (2, 4, 1, 3)]
+
+
+def test_best_scoring_counts_without_sorting(spark, monkeypatch):
+    """Rows are counted by one whole number in hash tables; of equal dates the first entry wins, a null date is the oldest."""
+    plans = []
+    plain = R.stage
+    monkeypatch.setattr(R, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    kind = "history string, kind string, source string, filename string, url string"
+    entries = [(1, "a", "K", "s", None, None, None, 1), (2, "a", "k", None, None, None, 7, 3), (3, "a", "k", "", None, None, 7, 2), (4, "b", None, "s", None, None, None, 1)]
+    lookups = [(1, "a", "k", None, None, None), (2, None, None, "s", None, None), (3, "b", "k", "s", None, None), (4, "z", None, None, None, None)]
+    got = R.best_scoring(spark.createDataFrame(lookups, f"lookup_id long, {kind}"), spark.createDataFrame(entries, f"entry_id long, {kind}, updated_at long, ord long"))
+    assert sorted(map(tuple, got.select("lookup_id", "entry_id", "score").collect())) == [(1, 3, 7), (2, 4, 2), (3, 4, 7)]
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
