@@ -228,3 +228,11 @@ def test_small_sheets_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(scale, "SMALL", 6)
     (again, rounds), others = run()
     assert again == flat and others == cycles and rounds > 2
+
+
+def test_small_sheets_build_no_forest(spark, monkeypatch):
+    monkeypatch.setattr(wires.forests, "rooted", None)
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, 3), (2, 0, 1)], "sheet_id long, source long, target long")
+    members = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 3), (2, 0, 0), (2, 1, 0)], "sheet_id long, n long, root long")
+    got = sorted(map(tuple, wires.cycle_basis(members, edges).collect()))
+    assert got == [(1, 1, 2, 0), (1, 1, 2, 1), (1, 1, 2, 2), (1, 3, 3, 3)]
