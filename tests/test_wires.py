@@ -236,3 +236,25 @@ def test_small_sheets_build_no_forest(spark, monkeypatch):
     members = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 3), (2, 0, 0), (2, 1, 0)], "sheet_id long, n long, root long")
     got = sorted(map(tuple, wires.cycle_basis(members, edges).collect()))
     assert got == [(1, 1, 2, 0), (1, 1, 2, 1), (1, 1, 2, 2), (1, 3, 3, 3)]
+
+
+@pytest.mark.parametrize("tol", [0.0, 3.0, 9.0])
+def test_sheets_in_a_row_are_assembled_like_those_in_rounds(spark, monkeypatch, tol):
+    rng = random.Random(int(tol))
+    line = lambda s, i: (s, i, *[float(rng.randint(0, 40)) + rng.choice([0.0, 0.5]) for _ in range(4)], rng.choice([0, 1, 2, None]))
+    rows = [line(s, i) for s in range(12) for i in range(rng.randint(1, 25))] + [line(40, i) for i in range(scale.SMALL + 9)]
+    rows += [(50, i, *[None if i == 1 and k == 0 else float(9 * i + 30 * k) for k in range(4)], 1) for i in range(3)] + [line(None, i) for i in range(3)]
+
+    def found(frames):
+        return [sorted(map(tuple, f.select(*c).collect())) for f, c in zip(frames, (["sheet_id", "seg", "a", "b", "s_x", "s_y", "e_x", "e_y", "length", "angle_deg"], ["sheet_id", "n", "x", "y", "ends"]))]
+
+    data = _frame(spark, rows)
+    rounds, taken = wires._assemble_rounds, []
+    monkeypatch.setattr(wires, "_assemble_rounds", lambda c, *a: taken.append({r.sheet_id for r in c.select("sheet_id").distinct().collect()}) or rounds(c, *a))
+    mixed = wires.assemble(data, tol, 5.0)
+    assert taken == [{40}]
+    first = found(mixed)
+    monkeypatch.setattr(scale, "SMALL", 0)
+    every = wires.assemble(data, tol, 5.0)
+    assert first == found(every) and first[0] and taken[1] >= {0, 40}
+    assert [f.dtypes for f in mixed] == [f.dtypes for f in every]

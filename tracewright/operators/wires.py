@@ -304,9 +304,61 @@ def assemble(candidates: DataFrame, merge_tolerance: float, min_length: float) -
 
     `candidates(sheet_id, ord, s_x, s_y, e_x, e_y, priority)`. Points join the first
     earlier leader within the tolerance, leaders being found in candidate order;
-    every leader pair keeps its best line. Ids are dense per sheet.
+    every leader pair keeps its best line. Ids are dense per sheet. Sheets of few
+    candidates are worked out in a row each, the others in rounds; those without a
+    sheet_id make nothing.
     """
-    c = candidates.withColumns({k: F.col(k).cast("double") for k in ("s_x", "s_y", "e_x", "e_y")})
+    c = stage(candidates.where("sheet_id IS NOT NULL").select(
+        "sheet_id", F.col("ord").cast("bigint").alias("ord"), *[F.col(k).cast("double").alias(k) for k in ("s_x", "s_y", "e_x", "e_y")], "priority"))
+    large = stage(c.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("_n"), F.count("ord").alias("_o")).where((F.col("_n") > scale.SMALL) | (F.col("_o") < F.col("_n"))).select("sheet_id"))
+    if large.isEmpty():
+        return _assemble_rows(c, merge_tolerance, min_length)
+    few = _assemble_rows(c.join(large, "sheet_id", "left_anti"), merge_tolerance, min_length)
+    many = _assemble_rounds(c.join(large, "sheet_id", "left_semi"), merge_tolerance, min_length)
+    return few[0].unionByName(many[0]), few[1].unionByName(many[1])
+
+
+def _assemble_rows(candidates: DataFrame, merge_tolerance: float, min_length: float) -> tuple[DataFrame, DataFrame]:
+    """`assemble` for sheets of few candidates: the points of a row are taken one by one."""
+    point = lambda c, p, k: F.struct(k.alias("k"), c[f"{p}_x"].alias("x"), c[f"{p}_y"].alias("y"))
+    lines = candidates.groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("ord", "s_x", "s_y", "e_x", "e_y", "priority"))).alias("c"))
+    points = lines.select("sheet_id", "c", F.flatten(F.transform("c", lambda c: F.array(point(c, "s", c["ord"] * 2), point(c, "e", c["ord"] * 2 + 1)))).alias("points"))
+
+    def taken(state: Column, p: Column) -> Column:
+        def near(q: Column) -> Column:
+            return F.coalesce((G.distance(p["x"], p["y"], q["x"], q["y"]) <= merge_tolerance) | ((p["x"] == q["x"]) & (p["y"] == q["y"])), F.lit(False))
+
+        return scale.bound({"found": state["found"], "at": state["at"], "own": F.coalesce(F.get(F.filter(state["found"], near), F.lit(0)), p)}, lambda x: F.struct(
+            F.when(x["own"]["k"] == p["k"], F.array_append(x["found"], p)).otherwise(x["found"]).alias("found"), F.array_append(x["at"], x["own"]).alias("at")))
+
+    none = F.array().cast("array<struct<k:bigint,x:double,y:double>>")
+    led = points.select("sheet_id", "c", F.aggregate("points", F.struct(none.alias("found"), none.alias("at")), taken, lambda x: x["at"]).alias("at"))
+
+    def line(c: Column, i: Column) -> Column:
+        s, e = F.get("at", 2 * i), F.get("at", 2 * i + 1)
+        length = G.distance(c["s_x"], c["s_y"], c["e_x"], c["e_y"])
+        return F.struct(F.least(s["k"], e["k"]).alias("p"), F.greatest(s["k"], e["k"]).alias("q"), (-c["priority"]).alias("f"), (-length).alias("g"), c["ord"].alias("ord"), length.alias("len"), s.alias("s"), e.alias("e"))
+
+    good = led.select("sheet_id", F.sort_array(F.filter(F.transform("c", line), lambda x: (x["p"] != x["q"]) & (x["len"] >= min_length))).alias("good"))
+    first = good.select("sheet_id", F.filter("good", lambda x, i: ~(F.get("good", i - 1)["p"].eqNullSafe(x["p"]) & F.get("good", i - 1)["q"].eqNullSafe(x["q"]))).alias("first"))
+    whole = lambda q: F.struct(q["k"].alias("k"), F.bround(q["x"]).cast("bigint").alias("x"), F.bround(q["y"]).cast("bigint").alias("y"))
+    ends = first.select("sheet_id", F.transform("first", lambda x: F.struct(whole(x["s"]).alias("s"), whole(x["e"]).alias("e"))).alias("segs"))
+    far = lambda x: G.distance(x["s"]["x"], x["s"]["y"], x["e"]["x"], x["e"]["y"])
+    ends = ends.select("sheet_id", F.filter("segs", lambda x: far(x) >= min_length).alias("segs"))
+    ends = ends.select("sheet_id", "segs", F.concat("segs.s", "segs.e").alias("ends"))
+    rows = stage(ends.select("sheet_id", "segs", "ends", F.sort_array(F.array_distinct("ends")).alias("nodes")))
+    number = lambda p: F.array_position("nodes.k", F.col(f"_p.{p}.k")) - 1
+    seg = rows.select("sheet_id", "nodes", F.posexplode("segs").alias("i", "_p")).select(
+        "sheet_id", F.col("i").cast("bigint").alias("seg"), *[F.col(f"_p.{p}.{v}").alias(f"{p}_{v}") for p in "se" for v in "xy"], far(F.col("_p")).alias("length"), number("s").alias("a"), number("e").alias("b"))
+    segments = seg.select(
+        "sheet_id", "seg", "s_x", "s_y", "e_x", "e_y", "length", _angle(F.col("e_x") - F.col("s_x"), F.col("e_y") - F.col("s_y")).alias("angle_deg"), "a", "b")
+    nodes = rows.select("sheet_id", "ends", F.posexplode("nodes").alias("i", "_p")).select(
+        "sheet_id", F.col("i").cast("bigint").alias("n"), "_p.x", "_p.y", F.size(F.filter("ends", lambda e: e["k"] == F.col("_p.k"))).cast("bigint").alias("ends"))
+    return segments, nodes
+
+
+def _assemble_rounds(c: DataFrame, merge_tolerance: float, min_length: float) -> tuple[DataFrame, DataFrame]:
+    """`assemble` for sheets of any size."""
     pts = c.select("sheet_id", F.explode(F.array(
         F.struct((F.col("ord") * 2).alias("k"), F.col("s_x").alias("x"), F.col("s_y").alias("y")),
         F.struct((F.col("ord") * 2 + 1).alias("k"), F.col("e_x").alias("x"), F.col("e_y").alias("y")))).alias("p")).select("sheet_id", "p.*")
