@@ -258,3 +258,17 @@ def test_sheets_in_a_row_are_assembled_like_those_in_rounds(spark, monkeypatch,
     every = wires.assemble(data, tol, 5.0)
     assert first == found(every) and first[0] and taken[1] >= {0, 40}
     assert [f.dtypes for f in mixed] == [f.dtypes for f in every]
+
+
+def test_nearest_of_small_sheets_takes_no_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    nodes = [(s, float(rng.randint(0, 500)), float(rng.randint(0, 500))) for s, n in ((1, 15), (2, 5), (4, 1)) for _ in range(n)]
+    points = [(s, i, x, y, *rng.choice(nodes)[1:]) for i, (s, x, y) in enumerate(nodes)] + [(3, 99, 0.0, 0.0, 1.0, 1.0)]
+    frames = spark.createDataFrame(points, "sheet_id int, id int, x double, y double, ox double, oy double"), spark.createDataFrame(nodes, "sheet_id int, x double, y double")
+    near, sheets = wires.spatial.near_join, set()
+    monkeypatch.setattr(wires.spatial, "near_join", lambda left, *a, **k: sheets.update(r[0] for r in left.select("sheet_id").distinct().collect()) or near(left, *a, **k))
+    direct = sorted((r.id, r.nearest) for r in wires.nearest_other(*frames, 10.0).collect())
+    assert not sheets
+    monkeypatch.setattr(scale, "SMALL", 10)
+    mixed = sorted((r.id, r.nearest) for r in wires.nearest_other(*frames, 10.0).collect())
+    assert sheets == {1} and direct == mixed and any(d is None for _, d in direct)

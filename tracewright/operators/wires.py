@@ -169,17 +169,23 @@ def nearest_other(points: DataFrame, nodes: DataFrame, first_radius: float) -> D
     """Distance to the nearest node that stands neither at the point nor at its opposite end.
 
     `points(sheet_id, id, x, y, ox, oy)`. The search square doubles until every
-    point has a neighbour inside it or the square covers all nodes.
+    point has a neighbour inside it or the square covers all nodes; on sheets of few
+    nodes points meet all of them at once.
     """
     spots = stage(nodes.select("sheet_id", F.col("x").cast("double").alias("r_x"), F.col("y").cast("double").alias("r_y")).distinct())
     span = spots.agg(F.max(F.greatest(F.abs("r_x"), F.abs("r_y"))).alias("m")).first()["m"] or 0.0
     todo = stage(points.select("sheet_id", "id", *[F.col(c).cast("double").alias(n) for c, n in (("x", "l_x"), ("y", "l_y"), ("ox", "ox"), ("oy", "oy"))]))
-    radius, parts = float(first_radius), []
-    while True:
+    own = (F.col("l_x") == F.col("r_x")) & (F.col("l_y") == F.col("r_y"))
+    opposite = (F.col("ox") == F.col("r_x")) & (F.col("oy") == F.col("r_y"))
+    d = G.distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
+    large = stage(spots.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > scale.SMALL).select("sheet_id"))
+    whole = large.isEmpty()
+    few = todo if whole else todo.join(large, "sheet_id", "left_anti")
+    radius, parts = float(first_radius), [few.join(spots, "sheet_id").where(~own & ~opposite).groupBy("sheet_id", "id").agg(F.min(d).alias("nearest"))]
+    if not whole:
+        spots, todo = (stage(x.join(large, "sheet_id", "left_semi")) for x in (spots, todo))
+    while not whole:
         near = spatial.near_join(todo, spots, ["sheet_id"], radius)
-        own = (F.col("l_x") == F.col("r_x")) & (F.col("l_y") == F.col("r_y"))
-        opposite = (F.col("ox") == F.col("r_x")) & (F.col("oy") == F.col("r_y"))
-        d = G.distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
         last = radius > 4 * span
         # inside the square only distances up to the radius are sure to be smallest
         found = near.where(~own & ~opposite).withColumn("d", d).where(F.lit(last) | (F.col("d") <= radius))
